@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import decontaminate, mixing, simhash, token_ids, toxicity
+from citeweave.llm import decontaminate, html_text, mixing, simhash, token_ids, toxicity
 from citeweave.llm.common import table, written
 
 #: The chain's categories, in its order, as SQL over ``labels``.
@@ -32,6 +32,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op7_decontamination, op8_token_ids, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_html_text, op7_decontamination, op8_token_ids, op9_simhash)}
 ORACLES: dict[str, str] = {}
