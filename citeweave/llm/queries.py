@@ -7,11 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import decontaminate, html_text, mixing, simhash, token_ids, toxicity
+from citeweave.llm import decontaminate, html_text, media, mixing, pii, simhash, token_ids, toxicity, url_filters, warc
 from citeweave.llm.common import table, written
 
 #: The chain's categories, in its order, as SQL over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+#: The url rules: verdict, host and path.
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
 def tokenizer_path() -> str:
@@ -36,6 +38,18 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +64,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_html_text, op7_decontamination, op8_token_ids, op9_simhash)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_html_text, op4_pii, op5_warc, op6_url_filters, op7_decontamination, op8_token_ids, op9_simhash, op10_media)}
 ORACLES: dict[str, str] = {}
