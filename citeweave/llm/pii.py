@@ -52,11 +52,13 @@ LAST = {
 
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+#: What names a secret; it is found with the secret and stays.
+_NAMED = r"(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?"
 #: Patterns in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?))[A-Za-z0-9+/_.\-]{6,}(?<![.])",
+    "secret": _NAMED + r"[A-Za-z0-9+/_.\-]{6,}(?<![.])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -77,9 +79,14 @@ def kind_of(entity) -> F.Column:
     return out.otherwise("secret")
 
 
+def _value(entity) -> F.Column:
+    """A secret without its name."""
+    return F.regexp_replace(entity, "^" + _NAMED, "")
+
+
 def canonical(kind, entity) -> F.Column:
     """What equal entities have in common."""
-    return F.when(kind.isin("email", "person"), F.lower(entity)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
+    return F.when(kind.isin("email", "person"), F.lower(entity)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, "[^0-9]", "")).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "secret", _value(entity)).otherwise(entity)
 
 
 def _digest(key: str, *parts) -> F.Column:
@@ -90,9 +97,9 @@ def _pick(alphabet: str, number) -> F.Column:
     return F.substr(F.lit(alphabet), F.pmod(number, F.lit(len(alphabet))) + 1, F.lit(1))
 
 
-def _redrawn(text, digest, keep: int = 0) -> F.Column:
-    """Each character replaced by one of its class; the first ``keep`` stay. Lower hexadecimal words stay hexadecimal."""
-    hexed = text.rlike("^[0-9a-f]+$")
+def _redrawn(text, digest, keep: int = 0, hexadecimal: bool = False) -> F.Column:
+    """Each character replaced by one of its class; the first ``keep`` stay, and lower hexadecimal if it is asked for."""
+    hexed = text.rlike("^[0-9a-f]+$") if hexadecimal else F.lit(False)
 
     def one(c, i):
         n = F.conv(F.substr(F.sha2(F.concat(digest, (i / 16).cast("int").cast("string")), 256), F.pmod(i, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
@@ -162,18 +169,29 @@ def _person(key: str, entity, attempt) -> F.Column:
     return F.concat_ws(" ", title, F.when(first.isNotNull(), given), cased)
 
 
-def surrogate(kind, entity, attempt, key: str = KEY) -> F.Column:
-    """The surrogate of an entity at an attempt."""
-    canon = canonical(kind, entity)
-    digest = _digest(key, kind, canon, attempt)
+def described(found) -> F.Column:
+    """Array of (entity, kind, canon) of an array of entities. Each step is a transform of its own, so that an
+    expression is in the plan once however often it is used."""
+    kinds = F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
+    return F.transform(kinds, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), canonical(s["kind"], s["entity"]).alias("canon")))
+
+
+def surrogates(found, key: str = KEY) -> F.Column:
+    """The surrogates of an array of (entity, kind, canon, attempt)."""
+    digests = F.transform(found, lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["attempt"].alias("attempt"), _digest(key, s["kind"], s["canon"], s["attempt"]).alias("digest")))
+    return F.transform(digests, lambda s: _surrogate(s["kind"], s["entity"], s["attempt"], s["digest"], key))
+
+
+def _surrogate(kind, entity, attempt, digest, key: str) -> F.Column:
     at = F.instr(entity, "@")
     local, domain = F.substr(entity, F.lit(1), at - 1), F.substr(entity, at + 1)
     labels = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
     # shapes keep their case where the canonical form has none: the draw is by place, the case by character
     email = F.concat(_redrawn(local, digest), F.lit("@"), _redrawn(labels, _digest(key, F.lit("domain"), F.lower(domain))), F.lit("."), F.regexp_extract(domain, r"([^.]*)$", 1))
+    secret = F.concat(F.regexp_extract(entity, "^" + _NAMED, 0), _redrawn(_value(entity), digest, hexadecimal=True))
     return (
         F.when(kind == "email", email).when(kind == "ip", _ip(entity, digest)).when(kind == "card", _digits(entity, digest, True)).when(kind.isin("ssn", "phone"), _digits(entity, digest))
-        .when(kind == "iban", _iban(entity, digest)).when(kind == "person", _person(key, entity, attempt)).when(kind == "key", _redrawn(entity, digest, 4)).otherwise(_redrawn(entity, digest))
+        .when(kind == "iban", _iban(entity, digest)).when(kind == "person", _person(key, entity, attempt)).when(kind == "key", _redrawn(entity, digest, 4)).otherwise(secret)
     )
 
 
@@ -187,7 +205,12 @@ def exceptions(found: DataFrame, key: str = KEY, max_rounds: int = 40) -> DataFr
 
     ``found`` has the distinct entities: kind, canon and one ``entity`` of each.
     """
-    state = written(found.withColumn("attempt", F.lit(0)).withColumn("drawn", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))), "surrogates")
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        one = F.array(F.struct("entity", "kind", "canon", "attempt"))
+        return written(rows.withColumn("drawn", F.get(F.transform(surrogates(one, key), lambda s: canonical(F.col("kind"), s)), F.lit(0))), "surrogates")
+
+    state = drawn(found.withColumn("attempt", F.lit(0)))
     for _ in range(max_rounds):
         # an entity's own form counts as the first owner of that form
         owners = state.groupBy("kind", "drawn").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("claims"))
@@ -197,7 +220,7 @@ def exceptions(found: DataFrame, key: str = KEY, max_rounds: int = 40) -> DataFr
         if settled.where(lost).limit(1).count() == 0:
             break
         step = settled.withColumn("attempt", F.col("attempt") + lost.cast("int"))
-        state = written(step.select("kind", "canon", "entity", "attempt").withColumn("drawn", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))), "surrogates")
+        state = drawn(step.select("kind", "canon", "entity", "attempt"))
     else:
         raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
     moved = state.where("attempt > 0").select("kind", "canon", "attempt")
@@ -207,8 +230,8 @@ def exceptions(found: DataFrame, key: str = KEY, max_rounds: int = 40) -> DataFr
 def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, only: bool = True) -> DataFrame:
     """Documents with their entities replaced, and ``n_entities``; one row per row."""
     text = F.col(text_col)
-    struct = lambda e: F.struct(kind_of(e).alias("kind"), canonical(kind_of(e), e).alias("canon"), e.alias("entity"))
-    every = docs.select(F.explode(F.transform(F.array_distinct(entities(text)), struct)).alias("e")).select("e.*")
+    listed = described(F.array_distinct(entities(text)))
+    every = docs.select(F.explode(listed).alias("e")).select("e.*")
     distinct = every.groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
     moved = exceptions(distinct, key)
     base = docs.select(id_col, text_col) if only else docs
@@ -216,20 +239,21 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     if moved is None:
         base = base.withColumn("_pii_moved", none)
     else:
-        held = docs.select(F.col(id_col).alias("_pii_id"), F.explode(F.transform(F.array_distinct(entities(text)), struct)).alias("e")).select("_pii_id", "e.kind", "e.canon").distinct()
+        held = docs.select(F.col(id_col).alias("_pii_id"), F.explode(listed).alias("e")).select("_pii_id", "e.kind", "e.canon").distinct()
         tag = F.concat_ws("|", "kind", "canon")
         maps = held.join(moved, ["kind", "canon"]).groupBy("_pii_id").agg(F.map_from_entries(F.collect_list(F.struct(tag, "attempt"))).alias("_pii_moved"))
         maps = written(maps, "moved")
         base = base.join(maps, base[id_col].eqNullSafe(maps["_pii_id"]), "left").drop("_pii_id")
-    pieces = F.split(text, ANY, -1)
-
-    def drawn(e):
-        kind = kind_of(e)
-        attempt = F.coalesce(F.element_at(F.coalesce("_pii_moved", F.create_map().cast("map<string,int>")), F.concat_ws("|", kind, canonical(kind, e))), F.lit(0)) if moved is not None else F.lit(0)
-        return surrogate(kind, e, attempt, key)
+    def tried(s):
+        if moved is None:
+            return F.lit(0)
+        return F.coalesce(F.element_at(F.coalesce("_pii_moved", F.create_map().cast("map<string,int>")), F.concat_ws("|", s["kind"], s["canon"])), F.lit(0))
 
     found = F.col("_pii_found")
+    known = F.transform(described(found), lambda s: F.struct(s["entity"].alias("entity"), s["kind"].alias("kind"), s["canon"].alias("canon"), tried(s).alias("attempt")))
     out = base.withColumn("_pii_found", entities(text))
-    woven = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(F.transform(found, drawn), F.slice(pieces, F.lit(2), F.size(found)), lambda s, p: F.concat(s, p)), ""))
+    # the text between the entities, and the surrogates in their places
+    pieces = F.split(text, ANY, -1)
+    woven = F.array_join(F.flatten(F.zip_with(pieces, surrogates(known, key), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
     out = out.withColumn(text_col, F.when(F.size(found) > 0, woven).otherwise(text)).withColumn("n_entities", F.coalesce(F.size(found), F.lit(0)).cast("long"))
     return out.drop("_pii_found", "_pii_moved")
