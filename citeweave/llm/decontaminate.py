@@ -30,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import pieces
+from citeweave.llm.common import Shipped, pieces
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 20
 _WORD = re.compile(r"\w+")
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 _CACHE_WORDS = 400_000
+_STRETCH = 1 << 15
 FOUND = "item_id long, start_word long, n_words int, hamming int, similarity double"
 
 
@@ -121,14 +122,12 @@ class Index:
             if own:
                 self.known[k] = np.array(sorted(own), np.uint64)
         # a bit map of 2^20 hash prefixes: most shingles of a text are told apart by it alone
-        self.gate = {}
+        self.gate, self.known_weight = {}, {}
         for k, own in self.known.items():
             g = np.zeros(1 << 20, bool)
             g[(own >> np.uint64(44)).astype(int)] = True
             self.gate[k] = g
-
-    def _weights(self, hashes: np.ndarray) -> np.ndarray:
-        return np.fromiter((self.weight.get(h, self.other) for h in hashes.tolist()), np.float64, len(hashes))
+            self.known_weight[k] = np.array([self.weight[h] for h in own.tolist()])
 
     def similarity(self, window: np.ndarray, number: int) -> float:
         """Exact weighted Jaccard similarity of a window's shingles and an item's."""
@@ -149,42 +148,59 @@ class Index:
         best: dict[int, tuple] = {}
         for k, known in self.known.items():
             runs = self.hasher.runs(hashes, k)
-            hits = np.flatnonzero(self.gate[k][(runs >> np.uint64(44)).astype(np.int64)]) if len(runs) else runs
-            if len(hits):
-                hits = hits[np.isin(runs[hits], known)]
-            if not len(hits):
+            if not len(runs):
                 continue
-            for length, numbers in self.by_length.items():
-                if min(SHINGLE, length) == k and length <= len(words):
-                    self._search(runs, hits, length, k, numbers, best)
+            hits = np.flatnonzero(self.gate[k][(runs >> np.uint64(44)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(known, runs[hits]), len(known) - 1)
+            real = known[place] == runs[hits]
+            if real.any():
+                self._search(runs, hits[real], place[real], k, best)
         return [(self.ids[i], s, n, d, sim) for i, (sim, s, n, d) in sorted(best.items())]
 
-    def _search(self, runs: np.ndarray, hits: np.ndarray, length: int, k: int, numbers: list[int], best: dict) -> None:
-        size, last = length - k + 1, len(runs) - (length - k + 1)
-        # spans of window starts that hold a hit, merged
-        lo, hi = np.maximum(hits - size + 1, 0), np.minimum(hits, last)
-        lo, hi = lo[lo <= hi], hi[lo <= hi]
-        if not len(lo):
+    def _search(self, runs: np.ndarray, hits: np.ndarray, place: np.ndarray, k: int, best: dict) -> None:
+        """Fingerprint and compare the windows that hold one of ``hits``, in stretches of text around them."""
+        lengths = [n for n in self.by_length if min(SHINGLE, n) == k and n - k + 1 <= len(runs)]
+        if not lengths:
             return
-        cuts = np.flatnonzero(lo[1:] > hi[:-1] + 1)
-        for a, b in zip(lo[np.r_[0, cuts + 1]].tolist(), hi[np.r_[cuts, len(hi) - 1]].tolist()):
-            for at in range(a, b + 1, 4096):
-                to = min(b, at + 4095)
-                part = runs[at : to + size]
-                sums = np.zeros((len(part) + 1, 64), np.float64)
-                np.cumsum(_signs(part) * self._weights(part)[:, None], axis=0, out=sums[1:])
-                prints = _pack(sums[size:] - sums[:-size] if size else sums)[: to - at + 1]
-                candidates = np.zeros((len(prints), len(numbers)), bool)
-                for (p, q), t in zip(self.blocks, self.lookup[length]):
-                    candidates |= t[((prints >> np.uint64(p)) & np.uint64((1 << (q - p)) - 1)).astype(np.int64)]
-                rows, cols = np.nonzero(candidates)
-                distance = np.bitwise_count(prints[rows] ^ self.fingerprints[length][cols])
-                near = distance <= self.radius
-                for r, c, d in zip(rows[near].tolist(), cols[near].tolist(), distance[near].tolist()):
-                    number = numbers[c]
-                    sim = self.similarity(runs[at + r : at + r + size], number)
-                    if sim >= self.threshold and (number not in best or sim > best[number][0]):
-                        best[number] = (sim, at + r, length, d)
+        reach = max(lengths) - k + 1
+        cuts = np.flatnonzero(np.diff(hits) > 2 * reach)
+        for a, b in zip(np.r_[0, cuts + 1].tolist(), np.r_[cuts + 1, len(hits)].tolist()):
+            first, last = max(0, int(hits[a]) - reach + 1), int(hits[b - 1])
+            for at in range(first, last + 1, _STRETCH):
+                to = min(last + 1, at + _STRETCH)  # starts of windows: at <= start < to
+                part = runs[at : to + reach]
+                inside = (hits >= at) & (hits < at + len(part))
+                weight = np.full(len(part), self.other)
+                weight[hits[inside] - at] = self.known_weight[k][place[inside]]
+                held = np.zeros(len(part) + 1, np.int64)
+                held[hits[inside] - at + 1] = 1
+                held = np.cumsum(held)
+                sums = np.zeros((len(part) + 1, 64))
+                np.cumsum(_signs(part) * weight[:, None], axis=0, out=sums[1:])
+                for length in lengths:
+                    size = length - k + 1
+                    n = min(to - at, len(part) - size + 1)
+                    if n > 0:
+                        starts = np.flatnonzero(held[size : size + n] > held[:n])
+                        if len(starts):
+                            self._compare(runs, at + starts, _pack(sums[starts + size] - sums[starts]), size, length, best)
+
+    def _compare(self, runs: np.ndarray, starts: np.ndarray, prints: np.ndarray, size: int, length: int, best: dict) -> None:
+        """Candidates among the items of ``length`` words by the blocks, then by distance, then verified."""
+        numbers = self.by_length[length]
+        candidates = np.zeros((len(prints), len(numbers)), bool)
+        for (p, q), t in zip(self.blocks, self.lookup[length]):
+            candidates |= t[((prints >> np.uint64(p)) & np.uint64((1 << (q - p)) - 1)).astype(np.int64)]
+        rows, cols = np.nonzero(candidates)
+        distance = np.bitwise_count(prints[rows] ^ self.fingerprints[length][cols])
+        near = np.flatnonzero(distance <= self.radius)
+        for i in near[np.argsort(distance[near], kind="stable")].tolist():
+            number, start = numbers[cols[i]], int(starts[rows[i]])
+            if number in best and best[number][0] >= 1:
+                continue
+            sim = self.similarity(runs[start : start + size], number)
+            if sim >= self.threshold and (number not in best or sim > best[number][0]):
+                best[number] = (sim, start, length, int(distance[i]))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
@@ -202,9 +218,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each document and benchmark item that it holds: ids, place, fingerprint distance and similarity."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"{id_col} {dict(source.dtypes)['_id']}, {FOUND}"
-    sc, parts = docs.sparkSession.sparkContext, []
+    parts = []
     for items in _blocks(benchmark, item_col, item_text_col, block_items):
-        sent = sc.broadcast(Index(items, threshold, radius))  # of at most block_items items
+        sent = Shipped(docs.sparkSession, Index(items, threshold, radius))  # of at most block_items items
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             out = pa.schema([])
@@ -223,7 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, block_items: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns, no shuffle."""
     for items in _blocks(benchmark, item_col, item_text_col, block_items):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(items, threshold, radius))
+        sent = Shipped(docs.sparkSession, Index(items, threshold, radius))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, text_col):
