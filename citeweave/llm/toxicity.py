@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import pieces, written
+from citeweave.llm.common import Shipped, pieces, written
 
-MAX_LABELLED, POOL, FEATURES, FOLDS = 20_000, 12_000, 3_000, 5
+MAX_LABELLED, POOL, FEATURES, FOLDS = 8_000, 2_000, 1_000, 4
 GRAMS = (3, 4, 5, 6)
 _LONG = 64
 _CACHE_WORDS = 300_000
@@ -86,25 +86,49 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: _Rows, y: np.ndarray, penalty: float = 1.0, rounds: int = 120) -> np.ndarray:
-    """Weights (the last is the intercept) by accelerated proximal-free gradient steps with a diagonal scale."""
-    w = np.zeros(x.width + x.extra.shape[1])
-    scale = 0.25 * x.back(np.ones(x.n)) + penalty
-    width = max(1.0, len(x.row) / max(x.n, 1) + x.extra.shape[1])
-    scale = scale * min(width, 40.0)
-    v, t = w.copy(), 1.0
+def fit_logistic(x: _Rows, y: np.ndarray, penalty: float = 1.0, rounds: int = 80, memory: int = 8) -> np.ndarray:
+    """Weights (the last is the unpenalised intercept) of an L2 logistic regression, by L-BFGS with backtracking."""
+    ridge = np.r_[np.full(x.width + x.extra.shape[1] - 1, penalty), 0.0]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x.dot(w)
+        value = np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * w) @ w
+        return float(value), x.back(_sigmoid(z) - y) + ridge * w
+
+    w = np.zeros(len(ridge))
+    w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    value, g = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    first = max(1e-12, float(np.abs(g).max()))
     for _ in range(rounds):
-        g = x.back(_sigmoid(x.dot(v)) - y) + penalty * np.r_[v[:-1], 0.0]
-        new = v - g / scale
-        if g @ (new - w) > 0:
-            t = 1.0
-        nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / nt * (new - w), new, nt
+        if np.abs(g).max() <= 1e-3 * first:
+            break
+        d, alphas = -g, []
+        for s, t, r in reversed(steps):
+            alphas.append(a := r * (s @ d))
+            d = d - a * t
+        if steps:
+            s, t, r = steps[-1]
+            d = d / (r * (t @ t))
+        else:
+            d = d / max(1.0, float(np.abs(g).sum()))
+        for (s, t, r), a in zip(steps, reversed(alphas)):
+            d = d + (a - r * (t @ d)) * s
+        slope, size = float(g @ d), 1.0
+        while True:
+            new, new_g = loss(w + size * d)
+            if new <= value + 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        s, t = size * d, new_g - g
+        w, value, g = w + s, new, new_g
+        if s @ t > 1e-12:
+            steps = [*steps, (s, t, 1 / (s @ t))][-memory:]
     return w
 
 
 def _association(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
-    """Signed-free likelihood-ratio statistic of a feature's counts in two classes."""
+    """Likelihood-ratio statistic of a feature's counts in two classes."""
     total, share = pos + neg, n_pos / max(n_pos + n_neg, 1)
     expected = np.maximum(total * share, 1e-9), np.maximum(total * (1 - share), 1e-9)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -174,7 +198,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
             best[row["gram"]] = [row[c] for c in cells]
     vocabulary = sorted(best)
     stats = np.array([best[g] for g in vocabulary], np.float64).reshape(len(vocabulary), len(names), folds, 2)
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = Shipped(docs.sparkSession, vocabulary)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = _Presence({g: i for i, g in enumerate(sent.value)})
@@ -239,7 +263,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, p_<category> for each category of the chain, and <last category> as 0 or 1; one row per row."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sent = docs.sparkSession.sparkContext.broadcast(chain)  # at most pool n-grams a category
+    sent = Shipped(docs.sparkSession, chain)  # at most pool n-grams a category
     names = [f"p_{c}" for c in chain.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +277,7 @@ def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
 def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows that the chain doesn't reject; all columns, no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent = Shipped(docs.sparkSession, chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
