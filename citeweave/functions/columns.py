@@ -39,7 +39,7 @@ def valid_list(c: Column, empty: bool = False) -> Column:
 
 def clean_references(c: Column) -> Column:
     """Trimmed references without nulls and blanks; the empty list for null."""
-    return F.coalesce(F.filter(F.transform(c, F.trim), lambda x: x != ""), F.array().cast(EMPTY_LIST))
+    return F.coalesce(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast(EMPTY_LIST))
 
 
 def is_name(c: Column) -> Column:

@@ -58,7 +58,8 @@ def _best(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, eu
                     scores.append(np.take_along_axis(s, order, 1))
                     others.append(order)
                 picked, score = np.concatenate(others), np.concatenate(scores)
-                rows = pa.table({"query": pa.array(np.repeat(q_keys, picked.shape[1])), "neighbour": pa.array(ids[picked.ravel()]), "score": pa.array(score.ravel())} | {c: batch.column(2 + i).take(pa.array(picked.ravel())) for i, c in enumerate(keep)})
+                kind = batch.schema.field(0).type
+                rows = pa.table({"query": pa.array(np.repeat(q_keys, picked.shape[1])).cast(kind), "neighbour": batch.column(0).take(pa.array(picked.ravel())), "score": pa.array(score.ravel())} | {c: batch.column(2 + i).take(pa.array(picked.ravel())) for i, c in enumerate(keep)})
                 held = rows if held is None else pa.concat_tables([held, rows])
                 if held.num_rows > 4 * k * len(q):
                     held = _cut(held, k)
