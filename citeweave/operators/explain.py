@@ -44,7 +44,7 @@ def local_linear(row: dict[str, float], spread: dict[str, float], predict: Calla
     near = base.select("id", *(F.col(f"_z{i}") for i in range(len(names))), *((F.lit(float(row[n])) + F.col(f"_z{i}") * float(spread[n])).alias(n) for i, n in enumerate(names)))
     distance = sum(F.col(f"_z{i}") ** 2 for i in range(len(names)))
     scored = predict(near).withColumn("_w", F.exp(-distance / F.lit(0.75**2 * len(names))))
-    data = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(names))], outputCol="_x").transform(scored)
+    data = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(names))], outputCol="_x").transform(scored).select("_x", "_w", "probability")
     model = LinearRegression(featuresCol="_x", labelCol="probability", weightCol="_w").fit(data)
     return spark.createDataFrame([(n, float(w)) for n, w in zip(names, model.coefficients)], "feature string, weight double")
 
