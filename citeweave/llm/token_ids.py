@@ -10,9 +10,7 @@ reading the rest.
 The first id of a document in the whole output is its ``local_start`` plus the ids of all ranges before: a sum over
 one row for each file.
 
-Encoding is the library's, by the whole text; as a text's pieces (the tokenizer's own split) repeat, a piece that
-was encoded before is looked up. Texts with characters outside those whose split is the same in both regular expression
-engines (ASCII and Latin letters), or with a special token's text, are given to the library whole.
+Encoding is the library's, with what it made of each piece remembered (see Encoder).
 
 Edge cases: a null or empty text has the end id only; equal ids are ordered by text; null ids come first; an empty
 table gives an empty result; other columns aren't read. Lost tasks are retried and committed by Spark's writer.
@@ -20,9 +18,13 @@ table gives an empty result; other columns aren't read. Lost tasks are retried a
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -35,40 +37,74 @@ from citeweave.llm.common import fresh_path, pieces
 END_ID = 2
 #: Parquet options of the files.
 LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.dictionary.page.size": str(1 << 20)}
-#: The tokenizer's split, as its file states it (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-¬®-ɏ]")
-_CACHE_PIECES = 400_000
+#: The tokenizer's split (a fixed value), for texts of ASCII and Latin characters only; other texts go to the library whole.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+").findall
+_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\u00a1-\u00ac\u00ae-\u024f]")
+_CACHE_PIECES = 350_000
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others, in order, for U+0100 and up."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _process_cache() -> dict[str, dict]:
+    """What this process remembers between tasks."""
+    return sys.modules.setdefault("_citeweave_process_cache", ModuleType("_citeweave_process_cache")).__dict__
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit integers."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit integers.
+
+    Merges never cross the pieces that the tokenizer splits a text into, so a piece's ids are the same wherever it stands:
+    the library's model merges each piece once for as long as it is remembered (two generations of at most _CACHE_PIECES). Texts
+    with other characters, or with a special token's text, go to the library whole.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID) -> None:
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        own = _process_cache().setdefault(path, {})
+        if not own:
+            tokenizer = Tokenizer.from_file(path)
+            model = tokenizer.model
+            model._resize_cache(0)  # it would only see pieces that are new
+            own |= {"tokenizer": tokenizer, "model": model, "special": [t.content for t in tokenizer.get_added_tokens_decoder().values()], "new": {}, "old": {}}
+        self.own, self.tokenizer, self.special, self.model = own, own["tokenizer"], own["special"], own["model"]
+        self.alphabet = _byte_alphabet()
         self.end = np.uint32(end_id).astype("<u4").tobytes()
-        self.split = regex.compile(PATTERN).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids by the library's model alone: its bytes in the byte-level alphabet, merged."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > _CACHE_PIECES:
-            known.clear()
-        split: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            split.append(None if _OTHER.search(t) or any(s in t for s in self.special) else self.split(t))
-        new = list({p for own in split if own for p in own} - known.keys())
-        known.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t for t, own in zip(texts, split) if own is None]))
-        return [(next(whole) if own is None else b"".join(map(known.__getitem__, own))) + self.end for own in split]
+        own = self.own
+        if len(own["new"]) > _CACHE_PIECES:
+            own["old"], own["new"] = own["new"], {}
+        known, old = own["new"], own["old"]
+        split = [None if not t or _OTHER.search(t) or any(s in t for s in self.special) else _SPLIT(t) for t in texts]
+        pieces_: set[str] = set()
+        for found in split:
+            if found:
+                pieces_.update(found)
+        new = []
+        for piece in pieces_.difference(known):
+            ids = old.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                known[piece] = ids
+        known.update(zip(new, map(self._piece, new)))
+        get = known.__getitem__
+        return [(b"".join(map(get, found)) if found is not None else self._whole(t) if t else b"") + self.end for t, found in zip(texts, split)]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, parts: int | None = None, layout: dict[str, str] = LAYOUT) -> None:
@@ -80,11 +116,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "_text", 2 << 20):
+        for batch in pieces(batches, "_text", 3 << 20):
             ids = encoder(batch.column("_text").to_pylist())
             sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
             ends = np.cumsum(sizes)
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
             crc = pa.array([zlib.crc32(i) for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), crc, lists], ["_id", "part", "local_start", "n_tokens", "crc", "ids"])
@@ -104,8 +140,8 @@ def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest = [n for n in batch.schema.names if n != "ids"]
         ids = batch.column(batch.schema.get_field_index("ids"))
-        values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], [*rest, "n_tokens", "ids_crc32"])
 
 
