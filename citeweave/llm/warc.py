@@ -83,7 +83,7 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def field(header, name: str) -> F.Column:
     """A field of a header block."""
-    return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)$", 1)
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
