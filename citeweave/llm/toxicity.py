@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,6 @@ from citeweave.llm.common import Shipped, pieces, written
 MAX_LABELLED, POOL, FEATURES, FOLDS = 8_000, 2_000, 1_000, 4
 GRAMS = (3, 4, 5, 6)
 _LONG = 64
-_CACHE_WORDS = 300_000
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def grams(word: str) -> set[str]:
@@ -46,25 +45,23 @@ def grams(word: str) -> set[str]:
 
 
 class _Presence:
-    """Indices of the features that are present in a text."""
+    """Indices of the features that are present in a text (UTF-8), found in one pass over its distinct words."""
 
     def __init__(self, index: dict[str, int]) -> None:
-        self.index, self.known = index, {}
-
-    def __call__(self, text: str | None) -> list[int]:
-        if not text:
+        self.find = ahocorasick.Automaton()
+        for gram, i in index.items():
+            self.find.add_word(gram, i)
+        if index:
+            self.find.make_automaton()
+        self.any = bool(index)
+
+    def __call__(self, text: bytes | None) -> list[int]:
+        words = set(text.lower().split()) if text and self.any else None  # of bytes: ASCII letters, ASCII white space
+        if not words:
             return []
-        known, index, out = self.known, self.index, set()
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        for word in set(text.translate(_LOWER).split()):
-            own = known.get(word)
-            if own is None:
-                own = tuple({index[g] for g in grams(word) if g in index})
-                if len(word) <= _LONG:
-                    known[word] = own
-            out.update(own)
-        return sorted(out)
+        # the marks around words keep n-grams, which hold none inside, within one word
+        marked = b"\x02" + b"\x03\x02".join(words) + b"\x03"
+        return sorted({i for _, i in self.find.iter(marked.decode())})
 
 
 class _Rows:
@@ -145,7 +142,7 @@ class Chain:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_presence": None}
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[bytes | None]) -> np.ndarray:
         if self._presence is None:
             self._presence = _Presence({g: i for i, g in enumerate(self.vocabulary)})
         rows = [self._presence(t) for t in texts]
@@ -202,8 +199,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = _Presence({g: i for i, g in enumerate(sent.value)})
-        for batch in pieces(batches, "_text"):
-            own = [presence(t.as_py()) for t in batch.column("_text")]
+        for batch in pieces(batches, "_text", 2 << 20):
+            own = [presence(t.as_py()) for t in batch.column("_text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("fold"), *(batch.column(f"y{k}") for k in range(len(names))), pa.array(own, pa.list_(pa.int32()))], ["_id", "fold", *(f"y{k}" for k in range(len(names))), "own"])
 
     schema = ", ".join([f"_id {dict(rows.dtypes)['_id']}", "fold int", *(f"y{k} int" for k in range(len(names))), "own array<int>"])
@@ -267,8 +264,8 @@ def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     names = [f"p_{c}" for c in chain.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            p = sent.value.score(batch.column("_text").to_pylist())
+        for batch in pieces(batches, "_text", 2 << 20):
+            p = sent.value.score(batch.column("_text").cast(pa.binary()).to_pylist())
             verdict = (p[:, -1] > sent.value.threshold).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(verdict)], [id_col, *names, chain.names[-1]])
 
@@ -280,8 +277,8 @@ def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
     sent = Shipped(docs.sparkSession, chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            p = sent.value.score(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        for batch in pieces(batches, text_col, 2 << 20):
+            p = sent.value.score(batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist())
             yield batch.filter(pa.array(p[:, -1] <= sent.value.threshold))
 
     return docs.mapInArrow(run, docs.schema)
