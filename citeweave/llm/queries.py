@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeweave.llm import decontaminate, html_text, media, mixing, pii, simhash, token_ids, toxicity, url_filters, warc
 from citeweave.llm.common import table, written
+from citeweave.llm.oracles import ORACLES
 
 #: The chain's categories, in its order, as SQL over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -69,4 +70,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_html_text, op4_pii, op5_warc, op6_url_filters, op7_decontamination, op8_token_ids, op9_simhash, op10_media)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
