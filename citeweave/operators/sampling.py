@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
 from citeweave.operators.ordering import last_within, running_share
+from citeweave.session import written
 
 
 def hash_order(seed: object, *keys: str):
@@ -22,10 +23,28 @@ def shuffled(rows: DataFrame, seed: object, *keys: str) -> DataFrame:
     return rows.withColumn("position", C.keyed(seed, *(F.col(k) for k in keys)))
 
 
+def mark_first(rows: DataFrame, by: str, quotas: DataFrame, seed: object, *keys: str) -> DataFrame:
+    """Adds ``_first``: whether a row is among the first ``quota`` of its stratum in hash order; exact.
+
+    ``quotas`` has a row (by, quota) for each stratum. Strata may be few and huge, so none is put in order as a whole:
+    counts by the hash's first 16 bits show in which of 65,536 bins a stratum's last row lies; only that bin is ordered.
+    """
+    tagged = rows.withColumn("_h", C.keyed(seed, *(F.col(k) for k in keys))).withColumn("_bin", F.substring("_h", 1, 4))
+    counts = tagged.groupBy(by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).join(quotas.select(by, F.col("quota").alias("_quota")), by)
+    last = sums.where(F.col("_before") < F.col("_quota")).groupBy(by).agg(F.max(F.struct("_bin", "_before")).alias("_last"), F.first("_quota").alias("_quota"))
+    last = written(last.select(by, F.col("_last._bin").alias("_cut"), (F.col("_quota") - F.col("_last._before")).alias("_rest")), "cuts")
+    marked = tagged.join(last, by, "left")
+    away = marked.where(F.col("_cut").isNull() | (F.col("_bin") != F.col("_cut"))).withColumn("_first", F.coalesce(F.col("_bin") < F.col("_cut"), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", *keys))
+    inside = marked.where(F.col("_bin") == F.col("_cut")).withColumn("_rank", rank).withColumn("_first", F.col("_rank") <= F.col("_rest")).drop("_rank")
+    return away.unionByName(inside).drop("_h", "_bin", "_cut", "_rest")
+
+
 def stratified(rows: DataFrame, by: str, quotas: DataFrame, seed: object, *keys: str) -> DataFrame:
-    """min(quota, available) rows of each stratum; ``quotas`` has a row (by, quota) for each of the few strata."""
-    ranked = rows.join(quotas, by).withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*hash_order(seed, *keys))))
-    return ranked.where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
+    """min(quota, available) rows of each stratum."""
+    return mark_first(rows, by, quotas, seed, *keys).where("_first").drop("_first")
 
 
 def papers_per_year(weights: DataFrame, target: int) -> DataFrame:
@@ -83,9 +102,11 @@ def imbalance(rows: DataFrame, target: str, sizes: dict, seed: object, key: str,
 
 
 def _resized(rows: DataFrame, sizes: DataFrame, target: str, seed: object, key: str) -> DataFrame:
-    ranked = rows.join(sizes, target).withColumn("_rank", F.row_number().over(Window.partitionBy(target).orderBy(*hash_order(seed, key))))
-    copies = F.floor((F.col("_want") - F.col("_rank")) / F.col("_have")).cast("int") + 1
-    return ranked.where(F.col("_rank") <= F.col("_want")).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_rank", "_want", "_have")
+    sizes = written(sizes, "class-sizes")
+    # each row as often as its class fits whole, the first rows in hash order once more
+    marked = mark_first(rows, target, sizes.select(target, F.expr("_want % _have").alias("quota")), seed, key)
+    out = marked.join(sizes, target).withColumn("_n", F.expr("int(_want div _have)") + F.col("_first").cast("int")).where("_n > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_first", "_want", "_have")
 
 
 def random_split(rows: DataFrame, seed: object, key: str, train_of_ten: int = 8) -> DataFrame:
@@ -94,5 +115,7 @@ def random_split(rows: DataFrame, seed: object, key: str, train_of_ten: int = 8)
 
 def one_of_each_and_more(rows: DataFrame, target: str, n: int, seed: object, key: str) -> DataFrame:
     """A sample with one row of each class at least: those first, the rest in hash order."""
-    rank = F.row_number().over(Window.partitionBy(target).orderBy(*hash_order(seed, key)))
-    return rows.withColumn("_rank", rank).orderBy(F.when(F.col("_rank") == 1, 0).otherwise(1), *hash_order(seed, key)).limit(n).drop("_rank")
+    order = F.struct(*hash_order(seed, key))
+    firsts = rows.groupBy(target).agg(F.min(order).alias("_least"))
+    marked = rows.join(firsts, rows[target].eqNullSafe(firsts[target]), "left").drop(firsts[target])
+    return marked.orderBy(F.when(order == F.col("_least"), 0).otherwise(1), *hash_order(seed, key)).limit(n).drop("_least")
