@@ -82,3 +82,10 @@ def robust_statistics(train: DataFrame, columns: Sequence[str]) -> dict[str, tup
 
 def robust_scale(rows: DataFrame, statistics: dict[str, tuple[float, float]]) -> DataFrame:
     return rows.withColumns({c: (C.finite(F.col(c).cast("double")) - F.lit(m)) / F.lit(r) for c, (m, r) in statistics.items()})
+
+
+def scaled_sample(train: DataFrame, rows: DataFrame, columns: Sequence[str], n: int, seed: object, key: str) -> DataFrame:
+    """A keyed sample of ``rows``, scaled by the statistics of all of ``train``."""
+    from citeweave.operators.sampling import bounded_sample
+
+    return robust_scale(bounded_sample(rows, n, seed, key), robust_statistics(train, columns))

@@ -65,3 +65,14 @@ def training_pairs(exploded: DataFrame, papers: DataFrame, seed: object = 42, st
     keys = positives.withColumn("is_reference_valid", F.lit(1)).unionByName(negatives.withColumn("is_reference_valid", F.lit(0)))
     pairs = keys.join(suffixed(papers, "ref"), "ref_id").join(suffixed(papers, "article"), "article_id")
     return pairs.na.drop().where(F.col("year_article") >= F.col("year_ref")) if strict else pairs
+
+
+def pairs_by_split(exploded: DataFrame, papers: DataFrame, seeds: dict[str, int], strict: bool = True) -> DataFrame:
+    """Pairs within each split of ``papers`` (column split), each with a seed of its own, in one table."""
+    out = None
+    for split, seed in seeds.items():
+        own = papers.where(F.col("split") == split).drop("split")
+        refs = exploded.join(own.select("id"), "id", "left_semi")
+        part = training_pairs(refs, own, seed, strict).withColumn("split", F.lit(split))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -68,3 +68,10 @@ def field_profile(papers: DataFrame, column: str) -> DataFrame:
 def year_profile(papers: DataFrame, max_year: int) -> DataFrame:
     y = F.col("year")
     return papers.agg(F.count_if(y.isNull()).alias("n_null"), F.count_distinct(y).alias("n_unique"), F.count_if((y <= 1800) | (y > max_year)).alias("n_invalid"))
+
+
+def split_summary(raw: DataFrame, final: DataFrame, split: str = "split") -> DataFrame:
+    """(split, n_raw, n_final, ratio) of each split and of all together."""
+    counts = raw.groupBy(split).agg(F.count(F.lit(1)).alias("n_raw")).join(final.groupBy(split).agg(F.count(F.lit(1)).alias("n_final")), split, "left").na.fill(0, ["n_final"])
+    both = counts.unionByName(counts.agg(F.lit("total").alias(split), F.sum("n_raw").alias("n_raw"), F.sum("n_final").alias("n_final")))
+    return both.select(split, "n_raw", "n_final", F.when(F.col("n_raw") > 0, F.round(F.col("n_final") / F.col("n_raw"), 3)).otherwise(0.0).alias("ratio"))

@@ -107,3 +107,19 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
     from citeweave.operators.neighbours import best_by_cosine
 
     return best_by_cosine(queries, base, key, vector, k, exclude_self, keep)
+
+
+def classic_matrix(pairs: DataFrame, weights: DataFrame, vocab: DataFrame, key: str, left: str, right: str, numeric: Sequence[str] = ()) -> DataFrame:
+    """Pairs with ``features``: numeric columns, both sides' TF-IDF vectors over ``vocab`` and their cosine."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+
+    terms = [r["term"] for r in vocab.orderBy("term").collect()]
+    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    mapped = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
+    dense = mapped.select(key, F.transform(F.sequence(F.lit(0), F.lit(len(terms) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("v"))
+    zero = F.array_repeat(F.lit(0.0), len(terms))
+    out = pairs.join(pair_cosine(pairs, weights, key, left, right), [left, right])
+    for side, name in ((left, "_a"), (right, "_b")):
+        out = out.join(dense.select(F.col(key).alias(side), F.col("v").alias(name)), side, "left").withColumn(name, array_to_vector(F.coalesce(name, zero)))
+    return VectorAssembler(inputCols=[*numeric, "_a", "_b", "cosine"], outputCol="features").transform(out).drop("_a", "_b")

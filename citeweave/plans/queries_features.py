@@ -231,3 +231,23 @@ def j07_feature_join(t: Inputs) -> DataFrame:
     keys = normal.select("article_id", "ref_id", "is_reference_valid").distinct()
     out = keys.join(keys.groupBy("article_id").agg(F.count(F.lit(1)).alias("out_article")), "article_id")
     return combine.join_features(normal, out, keys).select("article_id", "ref_id", "is_reference_valid", "year_article", "year_ref", "out_article")
+
+
+@query("SELECT c_custkey, round((c_acctbal - m) / CASE WHEN r = 0 THEN 1 ELSE r END, 6) AS c_acctbal FROM (SELECT * FROM customer ORDER BY md5('42|' || c_custkey), c_custkey LIMIT 50), (SELECT median(c_acctbal) AS m, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS r FROM customer)")
+def e07_scaled_sample(t: Inputs) -> DataFrame:
+    rows = t.table("customer").select("c_custkey", "c_acctbal")
+    return encoding.scaled_sample(rows, rows, ["c_acctbal"], 50, 42, "c_custkey").select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
+
+
+@query()
+def t09_classic_matrix(t: Inputs) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    from citeweave.operators.pairs import positive_keys
+
+    keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("a"), F.substring("ref_id", 2, 20).cast("long").alias("b")).distinct()
+    terms = written(_terms(t), "terms")
+    vocab = written(text.vocabulary(terms, 64), "vocabulary")
+    weights = written(text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id"), "weights")
+    rows = text.classic_matrix(keys, weights, vocab, "doc_id", "a", "b")
+    return rows.select("a", "b", F.round("cosine", 6).alias("cosine"), F.size(vector_to_array("features")).alias("n_features"))

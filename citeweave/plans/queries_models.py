@@ -130,3 +130,16 @@ def i02_permutation_importance(t: Inputs) -> DataFrame:
     rows = written(rows.select("vec_id", "is_reference_valid", *names), "features")
     model = models.Logistic("logistic", names, maxIter=20).train(rows)
     return explain.permutation_importance(rows, "vec_id", names, "is_reference_valid", model.predict)
+
+
+@query(f"WITH {_PRED} SELECT 'guess' AS model, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pp WHERE doc_id % 2 <> 0")
+def a25_test_scores(t: Inputs) -> DataFrame:
+    rows = predictions(t)
+    table = metrics.compare({"guess": {"train": rows.where("doc_id % 2 = 0"), "test": rows.where("doc_id % 2 <> 0")}})
+    return rounded(table.where(F.col("set") == "test"), "accuracy").select("model", "accuracy")
+
+
+@query(f"WITH {_PRED} SELECT doc_id, CAST(p > 0.5 AS INTEGER) AS prediction, CASE WHEN p > 0.85 THEN 'Excellent' WHEN p > 0.65 THEN 'Good' WHEN p > 0.40 THEN 'Weak' ELSE 'Poor' END AS grade FROM pr")
+def l10_predict_with_grade(t: Inputs) -> DataFrame:
+    rows = metrics.at_threshold(predictions(t).drop("prediction"), "p", 0.5, strict=True)
+    return rows.select("doc_id", "prediction", C.grade(F.col("p")).alias("grade"))

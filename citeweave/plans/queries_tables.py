@@ -363,3 +363,39 @@ def o07_set_union(t: Inputs) -> DataFrame:
 @query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM fx_papers")
 def o10_dense_index(t: Inputs) -> DataFrame:
     return ordering.dense_index(t.papers, "id")[0]
+
+
+@query("SELECT paper_id, count(*) AS n, count(author_id) AS n_ids FROM fx_authors LEFT JOIN (SELECT DISTINCT paper_id AS p2, k AS kw FROM fx_authors) ON p2 = paper_id GROUP BY 1")
+def x03_explode_authors_keywords(t: Inputs) -> DataFrame:
+    both = t.author_papers.select("paper_id", F.explode_outer("authors").alias("a"), "keywords").select("paper_id", "a", F.explode_outer("keywords"))
+    return both.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.count("a.id").alias("n_ids"))
+
+
+@query("SELECT id, pos, ref_id FROM fx_refs WHERE ref_id IN (SELECT id FROM fx_papers WHERE year > 1990)")
+def j08_semi_join(t: Inputs) -> DataFrame:
+    return t.refs.join(t.papers.where("year > 1990").select(F.col("id").alias("ref_id")), "ref_id", "left_semi").select("id", "pos", "ref_id")
+
+
+@query("SELECT DISTINCT paper_id, author_id FROM fx_authors")
+def o05_drop_duplicates(t: Inputs) -> DataFrame:
+    return t.authorship.select("paper_id", "author_id").dropDuplicates(["paper_id", "author_id"])
+
+
+@query("SELECT count(*) AS n, count(DISTINCT id) AS n_ids, count(n_citation) AS n_citations FROM fx_clean")
+def s13_checkpoint_by_size(t: Inputs) -> DataFrame:
+    path = shared_path(t.spark, "by-size")
+    sources.write_checkpoint(clean(t), path, rows_per_file=500)
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.count("n_citation").alias("n_citations"))
+
+
+@query("""WITH x AS (SELECT lang AS split, year FROM fx_papers), c AS (SELECT split, count(*) AS n_raw, count(*) FILTER (year > 1990) AS n_final FROM x GROUP BY 1), b AS (SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(n_raw) AS BIGINT), CAST(sum(n_final) AS BIGINT) FROM c)
+SELECT split, n_raw, n_final, round(n_final / n_raw, 3) AS ratio FROM b""")
+def a24_split_summary(t: Inputs) -> DataFrame:
+    rows = t.papers.select(F.col("lang").alias("split"), "year")
+    return profiling.split_summary(rows, rows.where("year > 1990"))
+
+
+@query()
+def m12_pairs_by_split(t: Inputs) -> DataFrame:
+    papers = t.papers.select("id", "year", F.when(F.col("year") < 1985, "train").when(F.col("year") < 2005, "validation").otherwise("test").alias("split"))
+    return pairs.pairs_by_split(t.refs, papers, {"train": 42, "validation": 43, "test": 44}).select("article_id", "ref_id", "is_reference_valid", "split")
