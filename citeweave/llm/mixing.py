@@ -11,8 +11,8 @@ A source may hold any share of all rows: its cut is found from sums over bins of
 shuffle), then over finer bins inside the bin of the cut, and only the rows of one fine bin (a millionth of a source)
 are ever put in order. The decision for a document is a comparison with its source's cut; texts are never shuffled.
 
-Edge cases: a null text has size 0, a null source is a source of its own, last in the order; rows that repeat an id and
-size share a rank and are taken or left together; a source of size 0 has target 0 and nothing is taken; an empty table
+Edge cases: a null text has size 0, a null source is a source of its own, last in the order; rows that repeat an id
+share a rank and are taken or left together; a source of size 0 has target 0 and nothing is taken; an empty table
 gives an empty result. Other columns pass through.
 """
 
@@ -80,16 +80,22 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         inside = sums.where(F.col("before") <= F.col("left")).groupBy("_source").agg(F.max(F.struct("bin", "before")).alias("b"), F.first("left").alias("left"))
         at = written(inside.select("_source", F.col("b.bin").alias("cut_bin"), (F.col("left") - F.col("b.before")).alias("left")), "bins")
     last = _with(ranked.where("p > 0").withColumn("bin", F.floor(F.col("rank") * F.lit(float(BINS**2))).cast("long")), at).where("bin = cut_bin")
-    ties = last.groupBy("_source", "left", "rank", "_id", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"))
-    run = Window.partitionBy("_source").orderBy("rank", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = last.groupBy("_source", "left", "cut_bin", "rank", _tie().alias("tie")).agg(F.sum("size").alias("words"))
+    run = Window.partitionBy("_source").orderBy("rank", "tie").rowsBetween(Window.unboundedPreceding, -1)
     ties = ties.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    # a row whose middle lies within what is left brings the sum nearer
-    cut = ties.where(F.col("before") + F.col("words") / 2 <= F.col("left")).groupBy("_source").agg(F.max(F.struct("rank", F.coalesce("_id", F.lit(-1)).alias("_id"), "size")).alias("cut"))
-    cuts = sources.join(at, sources["_source"].eqNullSafe(at["_source"]), "left").drop(at["_source"]).drop("left")
-    cuts = cuts.join(cut, cuts["_source"].eqNullSafe(cut["_source"]), "left").drop(cut["_source"])
+    # ids whose middle lies within what is left bring the sum nearer; without any the cut is the bin's lower edge
+    edge = F.struct((F.col("cut_bin") / F.lit(float(BINS**2))).alias("rank"), F.lit(-(1 << 63)).cast("long").alias("tie"))
+    inside = F.when(F.col("before") + F.col("words") / 2 <= F.col("left"), F.struct("rank", "tie"))
+    cut = ties.groupBy("_source").agg(F.coalesce(F.max(inside), F.max(edge)).alias("cut"))
+    cuts = sources.join(cut, sources["_source"].eqNullSafe(cut["_source"]), "left").drop(cut["_source"])
     return ranked, written(cuts, "cuts")
 
 
+def _tie() -> F.Column:
+    """Tells ids of equal rank apart."""
+    return F.xxhash64("_id")
+
+
 def _with(rows: DataFrame, small: DataFrame) -> DataFrame:
     """Inner join on the source, nulls equal; ``small`` has one row for each source."""
     other = small.withColumnRenamed("_source", "_other")
@@ -117,16 +123,14 @@ def rank(rows: DataFrame, sources: DataFrame, cap: float, seed: str) -> DataFram
     out = _with(rows, sources.select("_source", "per_weight")).withColumn("copies", copies)
     out = out.withColumn("whole", F.floor("copies").cast("long")).withColumn("p", F.col("copies") - F.floor("copies"))
     u = _uniform(F.col("_id"), seed)
-    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    return out.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds))).drop("per_weight", "copies")
+    ratio = (F.col("p") / (1 - F.col("p"))) * (1 / u - 1)  # 1 / Q
+    return out.withColumn("rank", F.when(F.col("p") > 0, 1 / (1 + ratio))).drop("per_weight", "copies")
 
 
 def _taken():
     """Copies taken of a row that has its source's cut."""
-    bin_ = F.floor(F.col("rank") * F.lit(float(BINS**2))).cast("long")
-    own = F.struct(F.col("rank"), F.coalesce("_id", F.lit(-1)).alias("_id"), F.col("size"))
-    extra = F.when(F.col("p") > 0, (bin_ < F.col("cut_bin")) | ((bin_ == F.col("cut_bin")) & (own <= F.col("cut")))).otherwise(False)
-    return F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
+    extra = F.struct(F.col("rank"), _tie().alias("tie")) <= F.col("cut")
+    return F.col("whole") + F.coalesce((F.col("p") > 0) & extra, F.lit(False)).cast("long")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -140,9 +144,9 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; all columns, texts unshuffled."""
     cap, seed = options.get("cap", CAP), options.get("seed", "mix")
-    id_col, text_col, source_col, weight_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source"), options.get("weight_col")
+    id_col, source_col, weight_col = options.get("id_col", "doc_id"), options.get("source_col", "source"), options.get("weight_col")
     _, cuts = plan(docs, **options)
     columns = docs.columns
-    own = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("_w"))
-    rows = _with(rank(own, cuts, cap, seed), cuts.select("_source", "cut_bin", "cut")).withColumn("n", _taken()).where("n > 0")
+    own = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("_w"))
+    rows = _with(rank(own, cuts, cap, seed), cuts.select("_source", "cut")).withColumn("n", _taken()).where("n > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("_row.*")
