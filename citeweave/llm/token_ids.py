@@ -18,6 +18,7 @@ table gives an empty result; other columns aren't read. Lost tasks are retried a
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -41,7 +42,7 @@ LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+").findall
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\u00a1-\u00ac\u00ae-\u024f]")
-_CACHE_PIECES = 350_000
+_CACHE_PIECES = 300_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -115,8 +116,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     dealt = source.repartitionByRange(parts, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and full collections would walk the remembered pieces
         encoder, part, at = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "_text", 3 << 20):
+        for batch in pieces(batches, "_text", 2 << 20):
             ids = encoder(batch.column("_text").to_pylist())
             sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
             ends = np.cumsum(sizes)
@@ -125,6 +127,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             crc = pa.array([zlib.crc32(i) for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), crc, lists], ["_id", "part", "local_start", "n_tokens", "crc", "ids"])
             at += int(ends[-1])
+        gc.enable()
 
     kind = dict(source.dtypes)["_id"]
     dealt.mapInArrow(run, f"_id {kind}, part int, local_start long, n_tokens long, crc long, ids array<int>").withColumnRenamed("_id", id_col).write.options(**layout).parquet(path)
