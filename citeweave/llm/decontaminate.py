@@ -35,7 +35,7 @@ from citeweave.llm.common import Shipped, pieces
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 20
 _WORD = re.compile(r"\w+")
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _STRETCH = 1 << 15
 FOUND = "item_id long, start_word long, n_words int, hamming int, similarity double"
 
@@ -224,7 +224,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             out = pa.schema([])
-            for batch in pieces(batches, "_text"):
+            for batch in pieces(batches, "_text", 2 << 20):
                 out = pa.schema([(id_col, batch.schema.field("_id").type), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int32()), ("hamming", pa.int32()), ("similarity", pa.float64())])
                 found = [(i, *m) for i, t in zip(batch.column("_id").to_pylist(), batch.column("_text")) for m in sent.value.matches(t.as_py())]
                 if found:
@@ -242,7 +242,7 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
         sent = Shipped(docs.sparkSession, Index(items, threshold, radius))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, text_col):
+            for batch in pieces(batches, text_col, 2 << 20):
                 keep = [not sent.value.matches(t.as_py()) for t in batch.column(text_col)]
                 yield batch.filter(pa.array(keep))
 
