@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id``, ``fp`` (the fingerprint's bits as a signed long) and the columns of ``keep``; one row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", 2 << 20):
             texts = batch.column(batch.schema.get_field_index("_text")).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, batch.num_rows)
             rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_text"]
@@ -229,28 +229,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, split_at: int = 50_000) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``prints`` (id, fp): the smallest id of its component."""
+    """(fp, root, component_id) of each distinct fingerprint of ``prints`` (id, fp): its component's smallest fingerprint and id."""
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = components(links(nodes, split_at))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.where("root <> fp").groupBy("root").agg(F.min("first").alias("least"))
     # a root's own id joins the minimum of its other members
     lead = nodes.join(least, nodes["fp"] == least["root"], "inner").select("root", F.least("first", "least").alias("lead"))
-    return rooted.join(lead, "root", "left").select("fp", F.coalesce("lead", "first").alias("component_id"))
+    return rooted.join(lead, "root", "left").select("fp", "root", F.coalesce("lead", "first").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without their near-duplicates: of each component, the row of the smallest id stays.
 
-    Rows are numbered as they are written once with their fingerprints, so rows that repeat an id are told apart.
+    Rows are numbered as they are written once, so rows that repeat an id are told apart.
     """
     columns = docs.columns
-    numbered = docs.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("_cw_id"), F.col(text_col).alias("_cw_text"))
-    # fingerprints() reads id and text and passes the rest on
-    rows = written(fingerprints(numbered, "_cw_id", "_cw_text", keep=("rid", "row")), "rows")
-    prints = rows.select("id", "rid", "fp")
+    rows = written(docs.select(F.struct(*columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+    texts = rows.select("rid", F.col("row")[id_col].alias("_cw_id"), F.col("row")[text_col].alias("_cw_text"))
+    prints = written(fingerprints(texts, "_cw_id", "_cw_text", keep=("rid",)), "fingerprints")
     found = prints.join(near_duplicates(prints), "fp")
     first = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "rid"))
-    # one row for each component: grouped by root id and, for components without ids, by fingerprint
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
+    # one row for each component; ids may repeat between components, their roots don't
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
     return rows.join(written(kept, "kept"), "rid", "left_semi").select("row.*")

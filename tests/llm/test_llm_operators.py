@@ -109,10 +109,10 @@ def test_near_anchors_hold_every_linked_pair():
 
 def test_one_of_each_keeps_one_row(spark):
     base = " ".join(words(200, 2))
-    rows = [(5, base), (3, base), (3, base), (None, base), (7, ""), (8, None), (9, " ".join(words(50, 9))), (None, " ".join(words(50, 10)))]
+    rows = [(5, base), (3, base), (3, base), (None, base), (7, ""), (8, None), (9, " ".join(words(50, 9))), (None, " ".join(words(50, 10))), (9, " ".join(words(50, 11)))]
     out = simhash.one_of_each(docs(spark, rows))
     assert out.columns == docs(spark, rows).columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 3), (False, 7), (False, 9), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 3), (False, 7), (False, 9), (False, 9), (True, 0)]
     assert simhash.one_of_each(docs(spark, rows).limit(0)).count() == 0
 
 

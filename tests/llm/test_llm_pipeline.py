@@ -48,3 +48,18 @@ def test_queries_run(spark, data, name):
         assert compared(QUERIES[name](spark, data).toArrow(), duck(data).execute(ORACLES[name]).to_arrow_table()) == ""
     else:
         assert QUERIES[name](spark, data).count() > 0
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, data):
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "one two three", "en", None, 13), (2, "one two three", "en", None, 13), (3, "word " * 30_000, "fr", "a", 150_000), (4, "é ü", None, "b", 3)]
+    odd = spark.createDataFrame([(*r, 1.5, "x", [1]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size double, rank string, fp array<int>")
+    for d in (odd, odd.limit(0)):
+        empty = d is not odd
+        for name, stage in corpus_pipeline.STAGES:
+            columns = d.columns
+            d = written(stage(spark, d, data), f"odd-{name}")
+            assert d.columns == columns or name == "token_ids"
+            assert (d.count() == 0) == empty
+    single = corpus_pipeline.drop_near_duplicates(spark, odd, data)
+    # the null and the empty text share a fingerprint: the row that has an id stays
+    assert sorted(r.doc_id for r in single.collect()) == [1, 2, 3, 4]
