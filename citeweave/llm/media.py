@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from citeweave.llm.common import fresh_path, pieces
+from citeweave.llm.common import fresh_path, pieces, small_batches
 
 WIDTH, ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 64, 16 << 20, 8 << 20, 2 << 20, 3
 SCHEMA = "archive string, offset long, name string, media binary, error string"
@@ -251,7 +251,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 number += 1
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(media, pa.binary())], ["name", "media"])
 
-    docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "name string, media binary").write.format("media_archive").options(**options).mode("append").save(path)
+    members = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "name string, media binary")
+    with small_batches(spark):
+        members.write.format("media_archive").options(**options).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:

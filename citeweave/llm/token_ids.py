@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import fresh_path, pieces
+from citeweave.llm.common import fresh_path, pieces, small_batches
 
 END_ID = 2
 #: Parquet options of the files.
@@ -130,7 +130,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         gc.enable()
 
     kind = dict(source.dtypes)["_id"]
-    dealt.mapInArrow(run, f"_id {kind}, part int, local_start long, n_tokens long, crc long, ids array<int>").withColumnRenamed("_id", id_col).write.options(**layout).parquet(path)
+    files = dealt.mapInArrow(run, f"_id {kind}, part int, local_start long, n_tokens long, crc long, ids array<int>").withColumnRenamed("_id", id_col)
+    with small_batches(spark):
+        files.write.options(**layout).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
