@@ -65,10 +65,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     records.select("id", "type", "refers_to", "address", F.encode(header, "UTF-8").alias("header")).write.options(compression="zstd").parquet(f"{path}/records")
     # each payload once: the rows of the smallest id. Address and id deal the rows out, so copies don't meet in one
     # task; rows that repeat both are told apart where they already lie
-    kept = spark.read.parquet(f"{path}/records").groupBy("address").agg(F.min("id").alias("id"))
-    own = own.select(F.sha2("payload", 256).alias("address"), "id", "payload")
-    chosen = own.join(kept, (own["address"] == kept["address"]) & own["id"].eqNullSafe(kept["id"]), "left_semi")
-    chosen.dropDuplicates(["address", "id"]).select("address", F.length("payload").cast("long").alias("bytes"), "payload").write.options(**PAYLOAD_OPTIONS).parquet(f"{path}/payloads")
+    key = F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key")  # never null: join and distinct share one shuffle
+    kept = spark.read.parquet(f"{path}/records").groupBy("address").agg(F.min("id").alias("id")).select("address", key)
+    own = own.select(F.sha2("payload", 256).alias("address"), key, "payload")
+    chosen = own.join(kept, ["address", "key"], "left_semi").dropDuplicates(["address", "key"])
+    chosen.select("address", F.length("payload").cast("long").alias("bytes"), "payload").write.options(**PAYLOAD_OPTIONS).parquet(f"{path}/payloads")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
