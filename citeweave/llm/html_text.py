@@ -13,7 +13,8 @@ element whose node is in MIN_PAGES pages of the host or more with an importance
 text: one line for each block, in page order.
 
 The statistics are counts by host, node and feature, combined before each shuffle, so that a host may hold any share of
-the pages; pages are never shuffled by host. The hosts' low nodes are joined to the pages; the planner broadcasts them
+the pages; pages are never shuffled by host. What a branch holds, to any depth, is gathered in rounds that double the
+levels covered. The hosts' low nodes are joined to the pages; the planner broadcasts them
 only if their written size allows it, and else splits a large host's partition.
 
 Edge cases: null html or html without text gives an empty text; a page cut anywhere gives what came before the cut, an
@@ -185,25 +186,40 @@ def host_of(url: str | None) -> str:
 
 
 def features(html: str | None) -> tuple[list[int], list[list[int]], list[int], list[bool], list[list[int]]]:
-    """Of each style node of a page: its key, its ancestors' keys, its child sequences, whether it may be cut, its blocks."""
+    """Of each style node of a page: its key, its ancestors' keys 1, 2, 4, 8 ... levels up, its child sequences, whether it may be cut, its blocks."""
     blocks, nodes = parse(html or "")
     found: dict[int, tuple[Node, list[str], set[int]]] = {}
     for n in nodes:
         found.setdefault(n.key, (n, [], set()))[1].append("|".join(n.children))
     for n, text in blocks:
         found[n.key][2].add(xxhash.xxh64_intdigest(text) - (1 << 63))
-    keys, up, shape, free, own = [], [], [], [], []
-    for key, (n, sequences, texts) in found.items():
-        chain, a = [], n
+    above: dict[int, list[int]] = {}
+    keys, shape, free, own = [], [], [], []
+    for key, (n, sequences, texts) in found.items():  # ancestors come first
+        a, above[key] = n.up and n.up.key, []
         while a is not None:
-            chain.append(a.key)
-            a = a.up
+            k = len(above[key])
+            above[key].append(a)
+            a = above[a][k] if k < len(above[a]) else None
         keys.append(key)
-        up.append(chain[:16])
         shape.append(xxhash.xxh64_intdigest("/".join(sequences)) - (1 << 63) if any(sequences) else 0)
         free.append(not (n.inside or n.tag in KEPT_TAGS or n.tag == "#root"))
         own.append(sorted(texts))
-    return keys, up, shape, free, own
+    return keys, list(above.values()), shape, free, own
+
+
+def _over_branches(nodes: DataFrame, values: list[str], total, both) -> DataFrame:
+    """``values`` of each node taken together with those of all nodes below it, whatever the depth.
+
+    Round k adds to each node what the nodes 2^k levels below it have gathered, so a tree takes the logarithm of its
+    depth in rounds and each node is in one row throughout.
+    """
+    rounds = nodes.agg(F.max(F.size("up"))).first()[0] or 0
+    for k in range(rounds):
+        below = nodes.where(F.size("up") > k).groupBy("host", F.col("up")[k].alias("node")).agg(*(total(v).alias(f"below_{v}") for v in values))
+        joined = nodes.join(below, ["host", "node"], "left")
+        nodes = written(joined.select(*(both(F.col(c), F.col(f"below_{c}")).alias(c) if c in values else c for c in nodes.columns)), "style-branches")
+    return nodes
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -234,11 +250,12 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     base = F.log("pages")
     nodes = written(nodes.withColumn("differs", F.when(F.col("pages") > 1, F.col("texts") - F.col("text_log") / base).otherwise(F.col("texts").cast("double"))), "style-nodes")
     # each node's blocks count for it and all branches that hold it
-    branch = nodes.where("texts > 0").select("host", F.explode("up").alias("node"), "texts", "differs").groupBy("host", "node").agg((F.sum("differs") / F.sum("texts")).alias("content"))
+    branch = nodes.select("host", "node", "up", F.col("texts").alias("branch_texts"), F.col("differs").alias("branch_differs"))
+    branch = _over_branches(branch, ["branch_texts", "branch_differs"], F.sum, lambda own, below: own + F.coalesce(below, F.lit(0)))
     look = F.when(F.col("pages") > 1, 1 - F.col("shape_log") / (F.col("pages") * base)).otherwise(1.0)
-    content = F.coalesce("content", F.lit(0.0))
+    content = F.when(F.col("branch_texts") > 0, F.col("branch_differs") / F.col("branch_texts")).otherwise(0.0)
     importance = F.when(F.col("parent"), PRESENTATION * look + (1 - PRESENTATION) * content).otherwise(content)
-    return nodes.join(branch, ["host", "node"], "left").select("host", "node", "pages", importance.alias("importance"), "free")
+    return nodes.join(branch.drop("up"), ["host", "node"]).select("host", "node", "pages", importance.alias("importance"), "free")
 
 
 def extract(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:

@@ -322,6 +322,16 @@ def test_low_entropy_branches_go(spark):
     assert html_text.main_text(d.limit(0)).count() == 0
 
 
+def test_blocks_count_for_every_ancestor(spark):
+    inner = lambda i: "<div>" * 20 + f"<p>{' '.join(words(30, 7000 + i))}</p>" + "</div>" * 20
+    rows = [(i, f"http://deep.x/{i}", f"<html><body><div class=wrap>{inner(i)}</div></body></html>") for i in range(12)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(d).collect()}
+    assert got == {i: " ".join(words(30, 7000 + i)) for i in range(12)}
+    tree = html_text.style_tree(d).collect()
+    assert len(tree) >= 24 and min(r.importance for r in tree if r.free) > 0.69
+
+
 # --- 4 PII ---
 
 
