@@ -9,8 +9,9 @@ look the same and say the same few things on many pages, so they rank low; artic
 
 From each page those branches go that are noise by their own mark (element names, classes, ids and roles of menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments), and those outside an article or main
-element whose node is in MIN_PAGES pages of the host or more with an importance below THRESHOLD. What is left is the
-text: one line for each block, in page order.
+element whose node is in MIN_PAGES pages of the host or more, if it and all nodes below it in the host's tree have an
+importance below THRESHOLD and none of them is an article or main element. So a wrapper of menus and articles stays, and
+its menus go by themselves. What is left is the text: one line for each block, in page order.
 
 The statistics are counts by host, node and feature, combined before each shuffle, so that a host may hold any share of
 the pages; pages are never shuffled by host. What a branch holds, to any depth, is gathered in rounds that double the
@@ -185,8 +186,8 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower()
 
 
-def features(html: str | None) -> tuple[list[int], list[list[int]], list[int], list[bool], list[list[int]]]:
-    """Of each style node of a page: its key, its ancestors' keys 1, 2, 4, 8 ... levels up, its child sequences, whether it may be cut, its blocks."""
+def features(html: str | None) -> tuple[list[int], list[list[int]], list[int], list[bool], list[bool], list[list[int]]]:
+    """Of each style node of a page: its key, its ancestors' keys 1, 2, 4, 8 ... levels up, its child sequences, whether it may be cut, whether it is an article or main element, its blocks."""
     blocks, nodes = parse(html or "")
     found: dict[int, tuple[Node, list[str], set[int]]] = {}
     for n in nodes:
@@ -194,7 +195,7 @@ def features(html: str | None) -> tuple[list[int], list[list[int]], list[int], l
     for n, text in blocks:
         found[n.key][2].add(xxhash.xxh64_intdigest(text) - (1 << 63))
     above: dict[int, list[int]] = {}
-    keys, shape, free, own = [], [], [], []
+    keys, shape, free, main, own = [], [], [], [], []
     for key, (n, sequences, texts) in found.items():  # ancestors come first
         a, above[key] = n.up and n.up.key, []
         while a is not None:
@@ -204,8 +205,9 @@ def features(html: str | None) -> tuple[list[int], list[list[int]], list[int], l
         keys.append(key)
         shape.append(xxhash.xxh64_intdigest("/".join(sequences)) - (1 << 63) if any(sequences) else 0)
         free.append(not (n.inside or n.tag in KEPT_TAGS or n.tag == "#root"))
+        main.append(n.tag in CONTENT_TAGS)
         own.append(sorted(texts))
-    return keys, list(above.values()), shape, free, own
+    return keys, list(above.values()), shape, free, main, own
 
 
 def _over_branches(nodes: DataFrame, values: list[str], total, both) -> DataFrame:
@@ -223,27 +225,27 @@ def _over_branches(nodes: DataFrame, values: list[str], total, both) -> DataFram
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, pages, importance, free) of each style node of each host."""
+    """(host, node, pages, importance, free, top) of each style node of each host; ``top`` is the greatest importance of the node and all nodes below it, infinite with an article or main element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "node", "up", "free", "kind", "feature"]
+        names = ["host", "node", "up", "free", "main", "kind", "feature"]
         for batch in pieces(batches, "_html", 4 << 20):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             for url, html in zip(batch.column("_url").to_pylist(), batch.column("_html")):
                 host = host_of(url)
-                for key, up, shape, free, own in zip(*features(html.as_py())):
+                for key, up, shape, free, main, own in zip(*features(html.as_py())):
                     for kind, values in ((0, (shape,)), (1, own)):
                         for v in values:
-                            for column, x in zip(rows, (host, key, up, free, kind, v)):
+                            for column, x in zip(rows, (host, key, up, free, main, kind, v)):
                                 column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64()))], names)
 
     source = pages.select(F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    seen = source.mapInArrow(run, "host string, node long, up array<long>, free boolean, kind int, feature long")
-    counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.first("up").alias("up"), F.first("free").alias("free"))
+    seen = source.mapInArrow(run, "host string, node long, up array<long>, free boolean, main boolean, kind int, feature long")
+    counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.first("up").alias("up"), F.first("free").alias("free"), F.first("main").alias("main"))
     shape, text = F.col("kind") == 0, F.col("kind") == 1
     nodes = counts.groupBy("host", "node").agg(
-        F.first("up").alias("up"), F.first("free").alias("free"),
+        F.first("up").alias("up"), F.first("free").alias("free"), F.first("main").alias("main"),
         F.sum(F.when(shape, F.col("c"))).alias("pages"), F.sum(F.when(shape, F.col("c") * F.log("c"))).alias("shape_log"), F.max(F.when(shape, F.col("feature") != 0)).alias("parent"),
         F.sum(F.when(text, F.col("c")).otherwise(0)).alias("texts"), F.sum(F.when(text, F.col("c") * F.log("c")).otherwise(0.0)).alias("text_log"),
     )
@@ -255,7 +257,10 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     look = F.when(F.col("pages") > 1, 1 - F.col("shape_log") / (F.col("pages") * base)).otherwise(1.0)
     content = F.when(F.col("branch_texts") > 0, F.col("branch_differs") / F.col("branch_texts")).otherwise(0.0)
     importance = F.when(F.col("parent"), PRESENTATION * look + (1 - PRESENTATION) * content).otherwise(content)
-    return nodes.join(branch.drop("up"), ["host", "node"]).select("host", "node", "pages", importance.alias("importance"), "free")
+    tree = nodes.join(branch.drop("up"), ["host", "node"]).select("host", "node", "up", "pages", importance.alias("importance"), "free", "main")
+    # a branch is low only as a whole
+    tree = written(tree.withColumn("top", F.when(F.col("main"), float("inf")).otherwise(F.col("importance"))), "style-tree")
+    return _over_branches(tree, ["top"], F.max, F.greatest).drop("up", "main")
 
 
 def extract(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
@@ -278,7 +283,7 @@ def extract(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> s
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """id, url, text and n_chars (code points) of each page."""
-    low = style_tree(pages, url_col, html_col).where(F.col("free") & (F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+    low = style_tree(pages, url_col, html_col).where(F.col("free") & (F.col("pages") >= min_pages) & (F.col("top") < threshold))
     low = written(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "low-nodes")
     host = F.lower(F.regexp_extract(F.col(url_col), r"^(?s:.*?)://([^/?#]*)", 1))
     kind = dict(pages.dtypes)

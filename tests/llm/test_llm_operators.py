@@ -322,6 +322,15 @@ def test_low_entropy_branches_go(spark):
     assert html_text.main_text(d.limit(0)).count() == 0
 
 
+def test_wrappers_of_text_stay(spark):
+    menu, text = "".join(f"<li>Entry {n}</li>" for n in range(8)), lambda i: f"<p>{' '.join(words(12, 8000 + i))}</p><p>{' '.join(words(12, 9000 + i))}</p>"
+    rows = [(i, "http://wrap.x/a", f"<body><div class=page><ul>{menu}</ul><div class=text>{text(i)}</div></div></body>") for i in range(40)]
+    rows += [(100 + i, "http://main.x/a", f"<body><div class=page><ul>{menu}</ul><article>Same article</article></div></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(words(12, 8000 + i)) + "\n" + " ".join(words(12, 9000 + i)) for i in range(40))
+    assert {got[100 + i] for i in range(40)} == {"Same article"}
+
+
 def test_blocks_count_for_every_ancestor(spark):
     inner = lambda i: "<div>" * 20 + f"<p>{' '.join(words(30, 7000 + i))}</p>" + "</div>" * 20
     rows = [(i, f"http://deep.x/{i}", f"<html><body><div class=wrap>{inner(i)}</div></body></html>") for i in range(12)]
