@@ -5,7 +5,7 @@ SimHash of its weighted five-word shingles, from running sums over the document.
 item of that length are candidates; the search is by blocks: 64 bits in RADIUS + 1 blocks, of which two fingerprints
 within RADIUS share one at least, so an exact look-up of each block misses none. Candidates are then verified by the
 exact weighted Jaccard similarity of the shingles (as multisets; a shingle weighs 1 + ln((1 + items) / (1 + items that
-have it))), 0.8 or more by default.
+have it))), 0.8 or more by default. A text of fewer words than an item is itself its one window for that item.
 
 A window that shares no shingle with any item has similarity 0 with all of them. Windows are fingerprinted only where
 they hold at least one shingle of the benchmark, which changes no result and keeps the cost linear in the text.
@@ -121,6 +121,11 @@ class Index:
             own = {h for length, numbers in self.by_length.items() if min(SHINGLE, length) == k for i in numbers for h in shingles[i]}
             if own:
                 self.known[k] = np.array(sorted(own), np.uint64)
+        # items of more than one shingle in order of length, for texts shorter than they are
+        longer = sorted((length - SHINGLE + 1, number) for number, length in lengths.items() if length > SHINGLE)
+        self.sizes, self.longer = np.array([n for n, _ in longer], np.int64), [number for _, number in longer]
+        prints = {number: p for length, numbers in self.by_length.items() for number, p in zip(numbers, self.fingerprints[length])}
+        self.prints = np.array([prints[number] for number in self.longer], np.uint64)
         # a bit map of 2^20 hash prefixes: most shingles of a text are told apart by it alone
         self.gate, self.known_weight = {}, {}
         for k, own in self.known.items():
@@ -155,6 +160,8 @@ class Index:
             real = known[place] == runs[hits]
             if real.any():
                 self._search(runs, hits[real], place[real], k, best)
+                if k == SHINGLE:
+                    self._whole(runs, hits[real], place[real], best)
         return [(self.ids[i], s, n, d, sim) for i, (sim, s, n, d) in sorted(best.items())]
 
     def _search(self, runs: np.ndarray, hits: np.ndarray, place: np.ndarray, k: int, best: dict) -> None:
@@ -185,6 +192,19 @@ class Index:
                         if len(starts):
                             self._compare(runs, at + starts, _pack(sums[starts + size] - sums[starts]), size, length, best)
 
+    def _whole(self, runs: np.ndarray, hits: np.ndarray, place: np.ndarray, best: dict) -> None:
+        """Compare the whole text with the items of more words than it has."""
+        first = int(np.searchsorted(self.sizes, len(runs), "right"))
+        if first == len(self.sizes):
+            return
+        weight = np.full(len(runs), self.other)
+        weight[hits] = self.known_weight[SHINGLE][place]
+        distance = np.bitwise_count(self.prints[first:] ^ _pack((_signs(runs) * weight[:, None]).sum(axis=0, keepdims=True)))
+        for i in np.flatnonzero(distance <= self.radius).tolist():
+            number = self.longer[first + i]
+            if (sim := self.similarity(runs, number)) >= self.threshold:
+                best[number] = (sim, 0, len(runs) + SHINGLE - 1, int(distance[i]))
+
     def _compare(self, runs: np.ndarray, starts: np.ndarray, prints: np.ndarray, size: int, length: int, best: dict) -> None:
         """Candidates among the items of ``length`` words by the blocks, then by distance, then verified."""
         numbers = self.by_length[length]

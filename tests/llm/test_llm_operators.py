@@ -169,6 +169,29 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contamination(docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_texts_shorter_than_an_item_are_compared_whole(spark):
+    items = [(i, " ".join(words(n, 300 + i))) for i, n in enumerate((25, 30, 40, 60, 6, 5))]
+    cut = lambda i, a, b: " ".join(items[i][1].split()[a:b])
+    rows = [(0, cut(0, 0, -1)), (1, cut(0, 0, -2)), (2, cut(1, 2, None)), (3, cut(2, 1, -1)), (4, cut(3, 0, 30)), (5, cut(3, 5, 58)), (6, cut(4, 0, 5)), (7, cut(5, 0, 4)), (8, "a b"), (9, cut(1, 0, 9) + " other " + cut(1, 10, 29)), (10, cut(3, 0, 48)), (11, items[2][1])]
+    df = Counter()
+    for _, t in items:
+        w = t.split()
+        df.update({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        for i, item in items:
+            size = min(len(item.split()), len(w))
+            best = max(plain_similarity(" ".join(w[s : s + size]), item, df, len(items)) for s in range(len(w) - size + 1))
+            if best >= 0.8:
+                want[d, i] = (size, round(best, 9))
+    assert {(0, 0), (1, 0), (2, 1), (3, 2), (5, 3)} <= set(want) and not {d for d, _ in want} & {4, 7, 8}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.n_words, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+    assert {r.doc_id for r in decontaminate.clean_of(docs(spark, rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_block_lookup_is_complete():
     index = decontaminate.Index([(0, " ".join(words(30, 1)))])
     item = index.fingerprints[30][0]
