@@ -12,8 +12,10 @@ they hold at least one shingle of the benchmark, which changes no result and kee
 
 Words are runs of letters, digits and underscores, lower-cased, so case and punctuation don't hide a passage. An item
 of fewer than five words is one shingle of all its words; an item or text without words, or null, matches nothing.
-Items are read in blocks of ``block_items``; each block is one more pass over the documents, so the benchmark has no
-size limit either. Equal rows get equal results; an empty table on either side gives an empty result.
+Items are read in blocks of ``block_items``, so the benchmark has no size limit either; the counts behind the weights are
+of the whole benchmark. Beyond one block each is two more passes over the documents: one notes the weights of the block's
+shingles in a text, one finds its items by the weights that all blocks noted. So results don't depend on the blocks.
+Equal rows get equal results; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Shipped, pieces
+from citeweave.llm.common import Shipped, pieces, written
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 20
 _WORD = re.compile(r"\w+")
@@ -86,9 +88,9 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """A block of benchmark items, by number of words."""
+    """A block of benchmark items, by number of words; ``whole`` has the items and shingle counts of all blocks (default: of this one)."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, radius: int = RADIUS) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, radius: int = RADIUS, whole: tuple[int, dict[int, int]] | None = None) -> None:
         self.threshold, self.radius, self.hasher = threshold, radius, _Hasher()
         shingles: dict[int, Counter] = {}
         lengths: dict[int, int] = {}
@@ -98,8 +100,7 @@ class Index:
                 shingles[number] = Counter(self.hasher.runs(self.hasher.words(words), k).tolist())
                 lengths[number] = len(words)
         self.ids = [i for i, _ in items]
-        df = Counter(h for c in shingles.values() for h in c)
-        n = len(shingles)
+        n, df = whole or (len(shingles), Counter(h for c in shingles.values() for h in c))
         self.weight = {h: 1 + math.log((1 + n) / (1 + c)) for h, c in df.items()}
         self.other = 1 + math.log(1 + n)  # of shingles that no item has
         self.shingles = shingles
@@ -134,23 +135,19 @@ class Index:
             self.gate[k] = g
             self.known_weight[k] = np.array([self.weight[h] for h in own.tolist()])
 
-    def similarity(self, window: np.ndarray, number: int) -> float:
-        """Exact weighted Jaccard similarity of a window's shingles and an item's."""
+    def similarity(self, window: np.ndarray, number: int, weights: np.ndarray) -> float:
+        """Exact weighted Jaccard similarity of a window's shingles, which have ``weights``, and an item's."""
         item, own = self.shingles[number], Counter(window.tolist())
+        weight = dict(zip(window.tolist(), weights.tolist()))
         low = high = 0.0
         for h in item.keys() | own.keys():
-            w, a, b = self.weight.get(h, self.other), item.get(h, 0), own.get(h, 0)
+            w, a, b = weight[h] if h in weight else self.weight[h], item.get(h, 0), own.get(h, 0)
             low += w * min(a, b)
             high += w * max(a, b)
         return low / high if high else 0.0
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
-        """(item_id, start_word, n_words, hamming, similarity) of the best window of each item found in ``text``."""
-        words = words_of(text)
-        if not words or not self.known:
-            return []
-        hashes = self.hasher.words(words)
-        best: dict[int, tuple] = {}
+    def _hits(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of shingle: a text's shingles, the places of those that items have, and their rows in ``known``."""
         for k, known in self.known.items():
             runs = self.hasher.runs(hashes, k)
             if not len(runs):
@@ -159,13 +156,38 @@ class Index:
             place = np.minimum(np.searchsorted(known, runs[hits]), len(known) - 1)
             real = known[place] == runs[hits]
             if real.any():
-                self._search(runs, hits[real], place[real], k, best)
-                if k == SHINGLE:
-                    self._whole(runs, hits[real], place[real], best)
+                yield k, runs, hits[real], place[real]
+
+    def noted(self, text: str | None) -> tuple[list[int], list[float]] | None:
+        """Places and weights of the five-word shingles of ``text`` that items have; None if it has no shingle of an item."""
+        out = None
+        for k, _, hits, place in self._hits(self.hasher.words(words_of(text))):
+            if k == SHINGLE:
+                return hits.tolist(), self.known_weight[k][place].tolist()
+            out = [], []
+        return out
+
+    def matches(self, text: str | None, noted: tuple[list[int], list[float]] | None = None) -> list[tuple[int, int, int, int, float]]:
+        """(item_id, start_word, n_words, hamming, similarity) of the best window of each item found in ``text``.
+
+        ``noted`` has places and weights of shingles that other blocks' items have.
+        """
+        words = words_of(text)
+        if not words or not self.known:
+            return []
+        best: dict[int, tuple] = {}
+        for k, runs, hits, place in self._hits(self.hasher.words(words)):
+            at, weight = hits, self.known_weight[k][place]
+            if noted and k == SHINGLE:  # a shingle of fewer words is an item's only one: its weight cancels out
+                at, first = np.unique(np.concatenate([at, np.array(noted[0], np.int64)]), return_index=True)
+                weight = np.concatenate([weight, np.array(noted[1])])[first]
+            self._search(runs, hits, at, weight, k, best)
+            if k == SHINGLE:
+                self._whole(runs, at, weight, best)
         return [(self.ids[i], s, n, d, sim) for i, (sim, s, n, d) in sorted(best.items())]
 
-    def _search(self, runs: np.ndarray, hits: np.ndarray, place: np.ndarray, k: int, best: dict) -> None:
-        """Fingerprint and compare the windows that hold one of ``hits``, in stretches of text around them."""
+    def _search(self, runs: np.ndarray, hits: np.ndarray, places: np.ndarray, weights: np.ndarray, k: int, best: dict) -> None:
+        """Fingerprint and compare the windows that hold one of ``hits``, in stretches of text around them; the shingles at ``places`` have ``weights``."""
         lengths = [n for n in self.by_length if min(SHINGLE, n) == k and n - k + 1 <= len(runs)]
         if not lengths:
             return
@@ -177,8 +199,9 @@ class Index:
                 to = min(last + 1, at + _STRETCH)  # starts of windows: at <= start < to
                 part = runs[at : to + reach]
                 inside = (hits >= at) & (hits < at + len(part))
+                lo, hi = np.searchsorted(places, (at, at + len(part)))
                 weight = np.full(len(part), self.other)
-                weight[hits[inside] - at] = self.known_weight[k][place[inside]]
+                weight[places[lo:hi] - at] = weights[lo:hi]
                 held = np.zeros(len(part) + 1, np.int64)
                 held[hits[inside] - at + 1] = 1
                 held = np.cumsum(held)
@@ -190,22 +213,22 @@ class Index:
                     if n > 0:
                         starts = np.flatnonzero(held[size : size + n] > held[:n])
                         if len(starts):
-                            self._compare(runs, at + starts, _pack(sums[starts + size] - sums[starts]), size, length, best)
+                            self._compare(part, at, starts, weight, _pack(sums[starts + size] - sums[starts]), size, length, best)
 
-    def _whole(self, runs: np.ndarray, hits: np.ndarray, place: np.ndarray, best: dict) -> None:
+    def _whole(self, runs: np.ndarray, places: np.ndarray, weights: np.ndarray, best: dict) -> None:
         """Compare the whole text with the items of more words than it has."""
         first = int(np.searchsorted(self.sizes, len(runs), "right"))
         if first == len(self.sizes):
             return
         weight = np.full(len(runs), self.other)
-        weight[hits] = self.known_weight[SHINGLE][place]
+        weight[places] = weights
         distance = np.bitwise_count(self.prints[first:] ^ _pack((_signs(runs) * weight[:, None]).sum(axis=0, keepdims=True)))
         for i in np.flatnonzero(distance <= self.radius).tolist():
             number = self.longer[first + i]
-            if (sim := self.similarity(runs, number)) >= self.threshold:
+            if (sim := self.similarity(runs, number, weight)) >= self.threshold:
                 best[number] = (sim, 0, len(runs) + SHINGLE - 1, int(distance[i]))
 
-    def _compare(self, runs: np.ndarray, starts: np.ndarray, prints: np.ndarray, size: int, length: int, best: dict) -> None:
+    def _compare(self, part: np.ndarray, at: int, starts: np.ndarray, weight: np.ndarray, prints: np.ndarray, size: int, length: int, best: dict) -> None:
         """Candidates among the items of ``length`` words by the blocks, then by distance, then verified."""
         numbers = self.by_length[length]
         candidates = np.zeros((len(prints), len(numbers)), bool)
@@ -218,9 +241,9 @@ class Index:
             number, start = numbers[cols[i]], int(starts[rows[i]])
             if number in best and best[number][0] >= 1:
                 continue
-            sim = self.similarity(runs[start : start + size], number)
+            sim = self.similarity(part[start : start + size], number, weight[start : start + size])
             if sim >= self.threshold and (number not in best or sim > best[number][0]):
-                best[number] = (sim, start, length, int(distance[i]))
+                best[number] = (sim, at + start, length, int(distance[i]))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
@@ -234,19 +257,91 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_items: int)
         yield block
 
 
+def _whole_counts(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, DataFrame]:
+    """Number of items with words, and (h, df): the items that have each shingle, over the whole benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for batch in pieces(batches, "_text", 2 << 20):
+            found = [np.unique(hasher.runs(hasher.words(w), min(SHINGLE, len(w)))) for t in batch.column("_text") if (w := words_of(t.as_py()))]
+            if found:
+                item = np.concatenate([np.arange(len(f)) == 0 for f in found]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(item)], ["h", "item"])
+
+    items = benchmark.select(id_col, text_col).dropDuplicates().select(F.col(text_col).alias("_text"))
+    counts = items.mapInArrow(run, "h long, item long").groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.sum("item").alias("items"))
+    counts = written(counts, "benchmark-shingles")
+    return counts.agg(F.sum("items")).first()[0] or 0, counts.select("h", "df")
+
+
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, threshold: float, radius: int, block_items: int) -> list[Shipped]:
+    """The index of each block of items, sent to executors, with weights of the whole benchmark."""
+    spark, out, whole = benchmark.sparkSession, [], None
+    blocks = _blocks(benchmark, id_col, text_col, block_items)
+    items, following = next(blocks, None), next(blocks, None)
+    while items is not None:
+        if out or following is not None:
+            n, counts = whole = whole or _whole_counts(benchmark, id_col, text_col)
+            hasher, own = _Hasher(), set()
+            for _, text in items:
+                if words := words_of(text):
+                    own.update(hasher.runs(hasher.words(words), min(SHINGLE, len(words))).view(np.int64).tolist())
+            keys = spark.createDataFrame(pa.table({"h": pa.array(sorted(own), pa.int64())}))  # of at most block_items items
+            found = counts.join(keys, "h").toArrow()
+            df = dict(zip(found.column("h").to_numpy().view(np.uint64).tolist(), found.column("df").to_pylist()))
+            out.append(Shipped(spark, Index(items, threshold, radius, (n, df))))
+        else:
+            out.append(Shipped(spark, Index(items, threshold, radius)))
+        items, following = following, next(blocks, None)
+    return out
+
+
+_NOTED = pa.struct([("at", pa.list_(pa.int64())), ("weight", pa.list_(pa.float64()))])
+
+
+def _with_notes(docs: DataFrame, text_col: str, indexes: list[Shipped]) -> tuple[DataFrame, str]:
+    """``docs`` with the places and weights of each text's shingles that items of any block have, or null, and that column's name."""
+    name = "noted"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    docs = docs.withColumn(name, F.lit(None).cast("struct<at:array<bigint>,weight:array<double>>"))
+    for sent in indexes:
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, text_col, 2 << 20):
+                noted = []
+                for t, before in zip(batch.column(text_col), batch.column(name).to_pylist()):
+                    own = sent.value.noted(t.as_py())
+                    if own and before:
+                        both = dict(zip(before["at"], before["weight"])) | dict(zip(*own))
+                        own = list(both), list(both.values())
+                    noted.append({"at": own[0], "weight": own[1]} if own else before)
+                yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(noted, _NOTED))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs, name
+
+
+def _of(noted: dict | None) -> tuple[list[int], list[float]] | None:
+    return (noted["at"], noted["weight"]) if noted else None
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, block_items: int = 20_000) -> DataFrame:
     """One row for each document and benchmark item that it holds: ids, place, fingerprint distance and similarity."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"{id_col} {dict(source.dtypes)['_id']}, {FOUND}"
-    parts = []
-    for items in _blocks(benchmark, item_col, item_text_col, block_items):
-        sent = Shipped(docs.sparkSession, Index(items, threshold, radius))  # of at most block_items items
+    parts, indexes, noted = [], _indexes(benchmark, item_col, item_text_col, threshold, radius, block_items), None
+    if len(indexes) > 1:
+        source, noted = _with_notes(source, "_text", indexes)
+        source = written(source.where(F.col(noted).isNotNull()), "noted-texts")
+    for sent in indexes:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             out = pa.schema([])
             for batch in pieces(batches, "_text", 2 << 20):
                 out = pa.schema([(id_col, batch.schema.field("_id").type), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int32()), ("hamming", pa.int32()), ("similarity", pa.float64())])
-                found = [(i, *m) for i, t in zip(batch.column("_id").to_pylist(), batch.column("_text")) for m in sent.value.matches(t.as_py())]
+                notes = batch.column(noted).to_pylist() if noted else [None] * batch.num_rows
+                found = [(i, *m) for i, t, w in zip(batch.column("_id").to_pylist(), batch.column("_text"), notes) for m in sent.value.matches(t.as_py(), _of(w))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), out)], schema=out)
 
@@ -258,13 +353,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, block_items: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns, no shuffle."""
-    for items in _blocks(benchmark, item_col, item_text_col, block_items):
-        sent = Shipped(docs.sparkSession, Index(items, threshold, radius))
+    indexes, noted = _indexes(benchmark, item_col, item_text_col, threshold, radius, block_items), None
+    if len(indexes) > 1:
+        docs, noted = _with_notes(docs, text_col, indexes)
+    for sent in indexes:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, text_col, 2 << 20):
-                keep = [not sent.value.matches(t.as_py()) for t in batch.column(text_col)]
+                notes = batch.column(noted).to_pylist() if noted else [None] * batch.num_rows
+                keep = [not sent.value.matches(t.as_py(), _of(w)) for t, w in zip(batch.column(text_col), notes)]
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.drop(noted) if noted else docs

@@ -192,6 +192,36 @@ def test_texts_shorter_than_an_item_are_compared_whole(spark):
     assert {r.doc_id for r in decontaminate.clean_of(docs(spark, rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_similarities_are_equal_at_any_block_size(spark):
+    common = words(20, 500)
+    items = [(i, " ".join(common + words(34, 510 + i))) for i in range(9)] + [(9, " ".join(words(54, 530))), (10, "three word item"), (11, None)]
+    rows = []
+    for i, t in items[:10]:
+        for k, at in enumerate((22, 27, 40)):
+            w = t.split()
+            w[at] = "changed"
+            rows.append((10 * i + k, " ".join(words(15, 600 + i) + w + words(15, 700 + i))))
+        # a text of the item's end and another item's beginning
+        rows.append((10 * i + 5, " ".join(t.split()[1:] + common[:6])))
+    rows += [(200, "a three, word item"), (201, None), (202, "none of it at all here")]
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), docs(spark, rows).withColumn("noted", F.lit(1))
+    want = None
+    for size in (20_000, 12, 11, 5, 4, 1):
+        got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.hamming, round(r.similarity, 9)) for r in decontaminate.contamination(d, bench, block_items=size).collect())
+        want = want or got
+        assert got == want, size
+        if size in (5, 1):
+            clean = decontaminate.clean_of(d, bench, block_items=size)
+            assert sorted(r.doc_id for r in clean.collect()) == sorted({i for i, _ in rows} - {g[0] for g in want}) and clean.columns == d.columns
+    df, n = Counter(), 11
+    for _, t in items[:10]:
+        df.update({tuple(t.split()[i : i + 5]) for i in range(50)})
+    for i, item, start, size, _, similarity in want:
+        text = dict(rows)[i].split()[start : start + size]
+        assert item == 10 or similarity == pytest.approx(plain_similarity(" ".join(text), items[item][1], df, n))
+    assert len(want) > 12
+
+
 def test_block_lookup_is_complete():
     index = decontaminate.Index([(0, " ".join(words(30, 1)))])
     item = index.fingerprints[30][0]
