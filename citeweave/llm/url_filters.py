@@ -1,15 +1,16 @@
 """URL filters by path-template trees.
 
 Explicit rules come first: a rule (host, path prefix) fits its host and all subdomains; of those that fit, the longest
-wins. Urls that no rule fits are judged by templates learnt from the others (or from a label
-column).
-
-Each host's paths form a tree. A segment becomes a wildcard by its shape (numbers, long hexadecimal strings, dates,
-slugs with digits), or when its place holds more than MAX_NAMES different names in the host. Branches of a place whose
-labelled purity doesn't differ significantly (a two-proportion z of less than Z) from the place's as a whole are merged
-with it: they take the counts of the place. A template's purity is its share of blocked urls, smoothed towards its
-parent's with STRENGTH pseudo-counts: the host's towards its registered suffix's, that towards the whole table's rate. A
-template is rejected if its smoothed purity is REJECT or more and it, or the branch that it is merged with, has
+wins. Urls that no rule fits are judged by templates learnt from the others.
+
+Each host's paths form a tree with a level for each segment. A segment becomes a wildcard by its shape (numbers, long
+hexadecimal strings, dates, slugs with digits), or when its place holds more than MAX_NAMES different names in the host;
+what comes after the first DEPTH segments is one wildcard, ``**``. Every prefix of a template is a place with the counts
+of all urls below it. From the host down to the template itself, branches of a place whose labelled purity doesn't differ
+significantly (a two-proportion z of less than Z) from the place's as a whole are merged with it: they take the purity
+and labelled count of the place. The purity of the others is their share of blocked urls, smoothed towards that of the
+place above with STRENGTH pseudo-counts: the host's towards its registered suffix's, that towards the whole table's rate.
+A template is rejected if its smoothed purity is REJECT or more and it, or the branch that it is merged with, has
 MIN_LABELLED labelled urls or more; else it is allowed.
 
 All counts are grouped sums, combined before the shuffle; the narrow table of urls joins a template's verdict where
@@ -61,9 +62,8 @@ def matching_rule(host, path, rules: Sequence[tuple[str, str]]) -> F.Column:
     return out if out is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
-def _apart(b: str, n: str, of_b: str, of_n: str) -> F.Column:
+def _apart(b: F.Column, n: F.Column, of_b: F.Column, of_n: F.Column) -> F.Column:
     """Whether a branch's purity differs significantly from the rest of its place: |z| of Z or more."""
-    b, n, of_b, of_n = (F.col(c).cast("double") for c in (b, n, of_b, of_n))
     rest_b, rest_n = of_b - b, of_n - n
     pooled = of_b / F.nullif(of_n, F.lit(0.0))
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(n, F.lit(0.0)) + 1 / F.nullif(rest_n, F.lit(0.0))))
@@ -77,9 +77,10 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     parts = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     parts = parts.withColumn("match", matching_rule(F.col("host"), F.col("path"), rules))
     # cells: counts of each host and shape of path; the first segments carry the tree, deeper ones are one wildcard
-    segments = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, DEPTH)
-    shaped = F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
-    parts = parts.withColumn("steps", shaped)
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    shaped = F.transform(F.slice(segments, 1, DEPTH), lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
+    tail = F.when(F.size(segments) > DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
+    parts = parts.withColumn("steps", F.concat(shaped, tail))
     blocked, labelled = F.when(F.col("match.verdict") == "block", 1).otherwise(0), F.when(F.col("match").isNotNull(), 1).otherwise(0)
     cells = written(parts.groupBy("host", "steps").agg(F.sum(labelled).alias("n"), F.sum(blocked).alias("b")), "url-cells")
     # places that hold too many names become wildcards too
@@ -88,12 +89,14 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     wide = wide.groupBy("host").agg(F.collect_set(F.concat(F.col("at").cast("string"), F.lit(":"), F.array_join("under", "/"))).alias("wide"))
     wildcard = F.transform("steps", lambda s, i: F.when(F.array_contains(F.coalesce("wide", F.array().cast("array<string>")), F.concat(i.cast("string"), F.lit(":"), F.array_join(F.slice("steps", F.lit(1), i), "/"))), "*").otherwise(s))
     named = cells.join(wide, "host", "left").withColumn("template", F.concat(F.lit("/"), F.array_join(wildcard, "/"))).drop("wide")
-    leaf = named.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    first = F.concat(F.lit("/"), F.substring_index(F.substr("template", F.lit(2)), "/", 1))
-    leaf = leaf.withColumn("branch", first)
-    branches = leaf.groupBy("host", "branch").agg(F.sum("n").alias("bn"), F.sum("b").alias("bb"))
+    leaf = written(named.groupBy("host", "template").agg(F.sum("n").cast("double").alias("n"), F.sum("b").cast("double").alias("b")), "url-leaves")
+    # every prefix of a template is a place of the tree, with the counts of all below it
+    names = F.split(F.substr("template", F.lit(2)), "/")
+    prefixes = F.transform(names, lambda s, i: F.concat(F.lit("/"), F.array_join(F.slice(names, F.lit(1), i + 1), "/")))
+    above = leaf.select("host", "template", "n", "b", F.posexplode(prefixes).alias("level", "place"))
+    tree = written(above.groupBy("host", "place").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb")), "url-places")
     suffix = F.regexp_extract("host", r"([^.]*(?:\.[^.]*)?)$", 1)
-    hosts = branches.groupBy("host").agg(F.sum("bn").alias("hn"), F.sum("bb").alias("hb")).withColumn("suffix", suffix)
+    hosts = leaf.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb")).withColumn("suffix", suffix)
     suffixes = hosts.groupBy("suffix").agg(F.sum("hn").alias("sn"), F.sum("hb").alias("sb"))
     whole = suffixes.agg(F.sum("sn").alias("wn"), F.sum("sb").alias("wb"))
     smooth = lambda b, n, prior: (b + strength * prior) / (n + strength)
@@ -101,12 +104,19 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     suffixes = suffixes.crossJoin(F.broadcast(whole)).withColumn("s", smooth(F.col("sb"), F.col("sn"), F.when(F.col("wn") > 0, F.col("wb") / F.col("wn")).otherwise(0.0)))
     hosts = hosts.join(suffixes.select("suffix", "s"), "suffix").withColumn("h", smooth(F.col("hb"), F.col("hn"), F.col("s")))
 
-    branches = branches.join(hosts.select("host", "hn", "hb", "h"), "host")
-    branches = branches.withColumn("apart", _apart("bb", "bn", "hb", "hn"))
-    branches = branches.withColumn("p", F.when(F.col("apart"), smooth(F.col("bb"), F.col("bn"), F.col("h"))).otherwise(F.col("h"))).withColumn("support", F.when(F.col("apart"), F.col("bn")).otherwise(F.col("hn")))
-    leaf = leaf.join(branches.select("host", "branch", "bn", "bb", "p", "support"), ["host", "branch"])
-    leaf = leaf.withColumn("apart", _apart("b", "n", "bb", "bn"))
-    leaf = leaf.select("host", "template", F.when(F.col("apart"), smooth(F.col("b"), F.col("n"), F.col("p"))).otherwise(F.col("p")).alias("purity"), F.when(F.col("apart"), F.col("n")).otherwise(F.col("support")).alias("support"))
+    # from the host down to the template itself, each place against the one above it
+    chain = above.select("host", "template", "level", "place").join(tree, ["host", "place"])
+    chain = chain.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", F.col("pn").alias("n"), F.col("pb").alias("b")))).alias("chain"))
+    steps = F.concat("chain", F.array(F.struct(F.size("chain").alias("level"), "n", "b")))
+
+    def down(at: F.Column, x: F.Column) -> F.Column:
+        apart = _apart(x.b, x.n, at.b, at.n)
+        purity, support = F.when(apart, smooth(x.b, x.n, at.purity)).otherwise(at.purity), F.when(apart, x.n).otherwise(at.support)
+        return F.struct(x.n.alias("n"), x.b.alias("b"), purity.alias("purity"), support.alias("support"))
+
+    start = F.struct(F.col("hn").alias("n"), F.col("hb").alias("b"), F.col("h").alias("purity"), F.col("hn").alias("support"))
+    leaf = leaf.join(chain, ["host", "template"]).join(hosts.select("host", "hn", "hb", "h"), "host")
+    leaf = leaf.withColumn("at", F.aggregate(steps, start, down)).select("host", "template", "at.purity", "at.support")
     verdicts = named.select("host", "steps", "template").join(leaf, ["host", "template"])
     verdicts = written(verdicts, "url-templates")
     key = F.array_join("steps", "/")

@@ -522,6 +522,17 @@ def test_pure_templates_are_rejected(spark):
     assert url_filters.judged(d.limit(0), rules).count() == 0 and url_filters.judged(d, rules).count() == len(rows) + 1
 
 
+def test_every_prefix_is_a_place_of_the_tree(spark):
+    deep = "/a/b/c/d/e/f/g/h"
+    rules = [("block", "h.x/blog/spam/old/"), ("allow", "h.x/blog/good/"), ("block", "d.x" + deep), ("allow", "d.x" + deep + "/i/j")]
+    rows = [f"http://h.x/blog/spam/old/{'ab'[i % 2]}" for i in range(40)] + [f"http://h.x/blog/good/{'ab'[i % 2]}" for i in range(40)]
+    rows += ["http://h.x/blog/spam/new/page", "http://h.x/blog/spam/new", "http://h.x/blog/other", "http://h.x/shop"] + [f"http://d.x{deep}" for _ in range(20)] + [f"http://d.x{deep}/i/j" for _ in range(20)]
+    got = {r.page_id: r for r in url_filters.judged(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
+    assert [(got[i].rule, got[i].verdict) for i in range(80, 84)] == [(None, "block"), (None, "block"), (None, "allow"), (None, "allow")]
+    assert got[80].template == "/blog/spam/new/page" and got[80].purity == got[81].purity > 0.9 and got[82].purity == got[83].purity < 0.7
+    assert got[84].template == deep and got[104].template == deep + "/**" and got[84].purity > 0.7 > got[104].purity
+
+
 # --- 8 Token ids ---
 
 
