@@ -185,7 +185,7 @@ def t05_pair_tfidf_cosine(t: Inputs) -> DataFrame:
 @query()
 def t08_svd_embedding(t: Inputs) -> DataFrame:
     weights, vocab = _weights(t)
-    return text.flat(text.svd(weights, vocab.limit(500), "doc_id", 16), "embedding", "article_emb", 16, ["doc_id"])
+    return text.flat(text.svd(weights, vocab, "doc_id", 64), "embedding", "article_emb", 64, ["doc_id"])
 
 
 @query("SELECT round(avg(n), 6) AS norm_mean, round(stddev_pop(n), 6) AS norm_std FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
@@ -247,7 +247,7 @@ def t09_classic_matrix(t: Inputs) -> DataFrame:
 
     keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("a"), F.substring("ref_id", 2, 20).cast("long").alias("b")).distinct()
     terms = written(_terms(t), "terms")
-    vocab = written(text.vocabulary(terms, 64), "vocabulary")
+    vocab = written(text.vocabulary(terms, 256), "vocabulary")
     weights = written(text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id"), "weights")
     rows = text.classic_matrix(keys, weights, vocab, "doc_id", "a", "b")
     return rows.select("a", "b", F.round("cosine", 6).alias("cosine"), F.size(vector_to_array("features")).alias("n_features"))

@@ -126,7 +126,6 @@ def l08_logistic(t: Inputs) -> DataFrame:
 @query()
 def i02_permutation_importance(t: Inputs) -> DataFrame:
     rows, names = _features(t)
-    names = names[:3]
     rows = written(rows.select("vec_id", "is_reference_valid", *names), "features")
     model = models.Logistic("logistic", names, maxIter=20).train(rows)
     return explain.permutation_importance(rows, "vec_id", names, "is_reference_valid", model.predict)

@@ -157,3 +157,12 @@ def test_knn_ties_and_self(spark):
     assert got == {i: i // 3 for i in range(9)}
     near = text.nearest(rows.where("id = 0"), rows, "id", "v", 3)
     assert near.count() == 3 and text.nearest(rows.limit(0), rows, "id", "v", 3).count() == 0
+
+
+def test_queries_take_all_features(spark, data):
+    from citeweave.plans import catalog
+
+    queries = catalog.queries()
+    assert queries["i02_permutation_importance"](spark, data).count() == 16
+    assert {r.n_features for r in queries["t09_classic_matrix"](spark, data).select("n_features").distinct().collect()} == {2 * 256 + 1}
+    assert [c for c in queries["t08_svd_embedding"](spark, data).columns if c.startswith("article_emb")] == [f"article_emb_{i:03d}" for i in range(64)]
