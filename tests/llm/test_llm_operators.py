@@ -394,6 +394,104 @@ def test_blocks_count_for_every_ancestor(spark):
     assert len(tree) >= 24 and min(r.importance for r in tree if r.free) > 0.69
 
 
+def plain_tree(pages, min_pages):
+    """(importance, top) of each chain of styles of one host, by its definition."""
+    seen, shapes, texts, size, children, own = Counter(), {}, {}, {}, {}, {}
+    for html in pages:
+        blocks, nodes = html_text.parse(html)
+        chains, here, whole = {}, {}, 0
+        for n in nodes:
+            if not n.hard:
+                chains[n] = (*chains.get(n.up, ()), n.style)
+                here.setdefault(chains[n], ([], set()))[0].append("|".join(n.children))
+                own[chains[n]] = n
+                children.setdefault(chains[n][:-1], set()).add(chains[n])
+        page_size = {c: [0, 0] for c in here}
+        for block in blocks:
+            for n, text, links in block:
+                if not n.hard and (text := " ".join(text.split())):
+                    whole += len(text)
+                    here[chains[n]][1].add(text)
+                    for k in range(1, len(chains[n]) + 1):
+                        page_size[chains[n][:k]][0] += len(text)
+                        page_size[chains[n][:k]][1] += min(links, len(text))
+        for c, (sequences, found) in here.items():
+            seen[c] += 1
+            shapes.setdefault(c, Counter())["/".join(sequences) if any(sequences) else ""] += 1
+            texts.setdefault(c, Counter()).update(found)
+            total = size.setdefault(c, [0, 0, 0])
+            for k, v in enumerate((*page_size[c], whole)):
+                total[k] += v
+    below = lambda c: [c] + [x for d in children.get(c, ()) for x in below(d)]
+    has_main = any(n.tag in ("article", "main") and not n.marked for n in own.values())
+    differs = lambda c: sum(1 - (np.log(v) / np.log(seen[c]) if seen[c] > 1 else 0) for v in texts[c].values() for _ in range(v))
+    importance, marked = {}, {}
+    for c in sorted(seen, key=len):
+        m, branch = seen[c], below(c)
+        itself = size[c][0] > 0 and size[c][0] >= 0.5 * size[c][2] and (m >= min_pages or not has_main)
+        marked[c] = marked.get(c[:-1], False) or (own[c].mark and not itself)
+        n = sum(sum(texts[x].values()) for x in branch)
+        value = sum(differs(x) for x in branch) / n if n else 0.0
+        if any(shapes[c]):
+            value = 0.3 * (-sum(v / m * np.log(v / m) for v in shapes[c].values()) / np.log(m) if m > 1 else 1) + 0.7 * value
+        if size[c][0]:
+            value *= 1 - size[c][1] / size[c][0]
+        importance[c] = (value if m >= min_pages and m > 1 else 1.0) * (0.4 if marked[c] else 1)
+    top = {c: max(np.inf if own[x].tag in ("article", "main") and not marked[x] else importance[x] for x in below(c)) for c in seen}
+    return sorted((round(importance[c], 9), round(top[c], 9), seen[c], bool(marked[c])) for c in seen)
+
+
+def test_tree_matches_plain(spark):
+    rng = np.random.default_rng(11)
+    line = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))
+    pages = []
+    for i in range(14):
+        menu = "".join(f"<li><a href=x>{line(1)}</a> {line(1) if j % 2 else ''}" for j in range(int(rng.integers(1, 4))))
+        body = "".join(f"<p>{line(int(rng.integers(1, 9)))}</p>" for _ in range(int(rng.integers(1, 4))))
+        pages.append(f"<body><div class=menu><ul>{menu}</ul></div><div class='sidebar wide'><div class=text{i}>{body}{'<article>x ' + line(2) + '</article>' if i % 5 == 0 else ''}</div></div><div>{line(2)}<span class=ad>{line(1)}</span> end</div></body>")
+    for min_pages in (3, 10, 20):
+        d = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+        got = sorted((round(r.importance, 9), round(r.top, 9), r.pages, r.marked) for r in html_text.style_tree(d, min_pages=min_pages).collect())
+        assert got == plain_tree(pages, min_pages), min_pages
+    for page_ in pages[:3]:
+        one = spark.createDataFrame([(1, "http://h/x", page_)], "page_id long, url string, html string")
+        low = {r.node for r in html_text.style_tree(one).where("free and top < 0.6").collect()}
+        assert low == html_text.alone(page_)
+
+
+def test_tree_decides(spark, data):
+    rows = spark.read.parquet(f"{data}/pages.parquet")
+    with_tree = {r.page_id: r.text for r in html_text.main_text(rows).collect()}
+    without = {r.page_id: r.text for r in html_text.main_text(rows, threshold=0).collect()}
+    assert sum(with_tree[i] != without[i] for i in with_tree) > 0.9 * len(with_tree)
+
+
+@pytest.mark.parametrize("attributes", ["class='layout has-sidebar'", "class='post no-comments'", "class=search-results-article", "class=header-article", "id=ad-free"])
+@pytest.mark.parametrize("tag", ["div", "section", "span"])
+def test_names_that_are_no_marks(tag, attributes):
+    assert html_text.extract(f"<nav>menu</nav><p>one <{tag} {attributes}>two</{tag}> three</p>").split() == ["one", "two", "three"]
+
+
+def test_marks_within_a_line_and_around_a_page():
+    assert html_text.extract("<p>one <span class=ad>Buy</span>two</p>") == "one two" and html_text.extract("<p>AT&<b>amp;</b></p>") == "AT&amp;"
+    assert html_text.extract("<form id=aspnet><ul class=main-nav><li>menu</ul><p>the whole page is in a form</p></form>") == "the whole page is in a form"
+    assert html_text.extract("<div class=sidebar><main>the text itself</main></div><div class=site-footer>legal</div>") == "the text itself"
+    assert html_text.extract("<article>text<section class=comments><article>a reader</article></section></article>") == "text"
+
+
+def test_menus_without_marks(spark):
+    text = lambda i: " ".join(words(30, 12_000 + i))
+    pages = [f"<div><ul>{''.join(f'<li><a href=/{w}>{w}</a>' for w in words(6, i))}</ul></div><div class=x>{text(i)}</div><div class=y><p>All rights reserved</p></div>" for i in range(30)]
+    d = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(d).collect()} == {i: text(i) for i in range(30)}
+
+
+def test_hosts_agree_on_letters_outside_ascii(spark):
+    rows = [(i, f"http://{'É' if i % 2 else 'É'}X.com/{i}", f"<div><a>menu</a></div><p>{' '.join(words(9, i))}</p>") for i in range(12)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert not any("menu" in r.text for r in got)
+
+
 # --- 4 PII ---
 
 
