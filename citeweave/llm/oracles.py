@@ -25,22 +25,54 @@ SELECT page_id, n AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN first
 _FITS = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 _RULES = (("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"), ("allow", "org/"))
 _CASE = lambda k: "CASE " + " ".join(f"WHEN {_FITS(r.split('/', 1)[0], '/' + r.split('/', 1)[1])} THEN '{(v, r)[k]}'" for v, r in sorted(_RULES, key=lambda x: (-len(x[1]), x[1]))) + " END"
-_APART = lambda b, n, ob, on: f"coalesce(CASE WHEN {n} > 0 AND {on} - {n} > 0 THEN ({ob} / {on}) * (1 - {ob} / {on}) * (1 / {n} + 1 / ({on} - {n})) > 0 AND abs({b} / {n} - ({ob} - {b}) / ({on} - {n})) >= 1.96 * sqrt(({ob} / {on}) * (1 - {ob} / {on}) * (1 / {n} + 1 / ({on} - {n}))) END, false)"
-
 URLS = rf"""
-WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-b AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+WITH RECURSIVE a AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+b AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 r AS (SELECT *, {_CASE(1)} AS rule, {_CASE(0)} AS v FROM b),
-t AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> '')[1:8], lambda s: CASE WHEN regexp_full_match(s, '(?:[0-9]+|[0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?|[0-9a-fA-F-]{{16,}}|.*[0-9]{{3,}}.*)(?:\.[A-Za-z0-9]{{1,5}})?') THEN '*' ELSE s END) AS steps FROM r),
-pl AS (SELECT DISTINCT host, i AS lv, array_to_string(steps[1:i - 1], '/') AS under, steps[i] AS name FROM t, LATERAL (SELECT unnest(range(1, len(steps) + 1)) AS i)),
-wide AS (SELECT host, lv, under FROM pl GROUP BY 1, 2, 3 HAVING count(*) > 50),
-w AS (SELECT t.*, '/' || coalesce((SELECT string_agg(CASE WHEN EXISTS (SELECT 1 FROM wide x WHERE x.host = t.host AND x.lv = i AND x.under = array_to_string(t.steps[1:i - 1], '/')) THEN '*' ELSE t.steps[i] END, '/' ORDER BY i) FROM (SELECT unnest(range(1, len(t.steps) + 1)) AS i)), '') AS template FROM t),
-leaf AS (SELECT host, template, '/' || split_part(substr(template, 2), '/', 1) AS branch, count(v) AS n, count(*) FILTER (v = 'block') AS b FROM w GROUP BY 1, 2, 3),
-br AS (SELECT host, branch, sum(n)::DOUBLE AS bn, sum(b)::DOUBLE AS bb FROM leaf GROUP BY 1, 2), h0 AS (SELECT host, sum(bn) AS hn, sum(bb) AS hb, regexp_extract(host, '([^.]*(?:\.[^.]*)?)$', 1) AS suffix FROM br GROUP BY 1),
-su AS (SELECT suffix, sum(hn) AS sn, sum(hb) AS sb FROM h0 GROUP BY 1), al AS (SELECT CASE WHEN sum(sn) > 0 THEN sum(sb) / sum(sn) ELSE 0 END AS prior FROM su),
+t AS (
+  SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+    CASE WHEN regexp_full_match(s, '(?:[0-9]+|[0-9]{{4}}-[0-9]{{2}}(?:-[0-9]{{2}})?|[0-9a-fA-F-]{{16,}}|.*[0-9]{{3,}}.*)(?:\.[A-Za-z0-9]{{1,5}})?') THEN '*' ELSE s END) AS steps FROM r),
+-- level by level, a name is a wildcard where more than 50 follow the same beginning
+g AS (
+  SELECT DISTINCT host, steps, 0::BIGINT AS i, []::VARCHAR[] AS done FROM t
+  UNION ALL
+  SELECT host, steps, i + 1, list_append(done, CASE WHEN count(DISTINCT steps[i + 1]) OVER (PARTITION BY host, done) > 50 THEN '*' ELSE steps[i + 1] END)
+  FROM g WHERE i < len(steps)),
+w AS (SELECT t.*, g.done FROM t JOIN g ON t.host = g.host AND t.steps = g.steps AND g.i = len(g.steps)),
+leaf AS (SELECT host, done, count(v)::DOUBLE AS n, (count(*) FILTER (v = 'block'))::DOUBLE AS b FROM w GROUP BY 1, 2),
+lv AS (
+  SELECT host, done, n, b, i, done[1:i] AS parent, CASE WHEN i < len(done) THEN done[i + 1] ELSE '' END AS name
+  FROM (SELECT *, unnest(range(0, len(done) + 1)) AS i FROM leaf)),
+ch AS (SELECT host, parent, name, sum(n) AS n, sum(b) AS b FROM lv GROUP BY 1, 2, 3 HAVING sum(n) > 0),
+eq AS (SELECT host, parent, b / n AS share, sum(n) AS n, sum(b) AS b, row_number() OVER (PARTITION BY host, parent ORDER BY b / n) AS k FROM ch GROUP BY 1, 2, 3),
+-- names in order of their share of blocked urls; c counts the groups
+cl AS (
+  SELECT host, parent, k, 1 AS c, n, b FROM eq WHERE k = 1
+  UNION ALL
+  SELECT host, parent, k, CASE WHEN apart THEN c + 1 ELSE c END, CASE WHEN apart THEN n2 ELSE n + n2 END, CASE WHEN apart THEN b2 ELSE b + b2 END
+  FROM (SELECT cl.host, cl.parent, eq.k, c, cl.n, cl.b, eq.n AS n2, eq.b AS b2, abs(cl.b / cl.n - eq.b / eq.n) >= 1.96 * sqrt(((cl.b + eq.b) / (cl.n + eq.n)) * (1 - (cl.b + eq.b) / (cl.n + eq.n)) * (1 / cl.n + 1 / eq.n)) AS apart
+        FROM cl JOIN eq ON cl.host = eq.host AND cl.parent = eq.parent AND eq.k = cl.k + 1)),
+gr AS (SELECT host, parent, c, max_by(n, k) AS gn, max_by(b, k) AS gb, max(c) OVER (PARTITION BY host, parent) AS groups FROM cl GROUP BY 1, 2, 3),
+mem AS (
+  SELECT ch.host, ch.parent, ch.name, gn, gb FROM ch
+  JOIN eq ON ch.host = eq.host AND ch.parent = eq.parent AND ch.b / ch.n = eq.share
+  JOIN cl ON cl.host = eq.host AND cl.parent = eq.parent AND cl.k = eq.k
+  JOIN gr ON gr.host = cl.host AND gr.parent = cl.parent AND gr.c = cl.c WHERE gr.groups > 1),
+h0 AS (SELECT host, sum(n) AS hn, sum(b) AS hb, regexp_extract(host, '([^.]*(?:\.[^.]*)?)$', 1) AS suffix FROM leaf GROUP BY 1),
+su AS (SELECT suffix, sum(hn) AS sn, sum(hb) AS sb FROM h0 GROUP BY 1),
+al AS (SELECT CASE WHEN sum(sn) > 0 THEN sum(sb) / sum(sn) ELSE 0 END AS prior FROM su),
 h AS (SELECT h0.*, (hb + 4.0 * ((sb + 4.0 * prior) / (sn + 4.0))) / (hn + 4.0) AS hp FROM h0 JOIN su USING (suffix), al),
-b2 AS (SELECT br.*, hn, hp, {_APART("bb", "bn", "hb", "hn")} AS apart FROM br JOIN h USING (host)), b3 AS (SELECT *, CASE WHEN apart THEN (bb + 4.0 * hp) / (bn + 4.0) ELSE hp END AS bp, CASE WHEN apart THEN bn ELSE hn END AS support FROM b2),
-l2 AS (SELECT leaf.host, template, CASE WHEN {_APART("b", "n", "bb", "bn")} THEN (b + 4.0 * bp) / (n + 4.0) ELSE bp END AS purity, CASE WHEN {_APART("b", "n", "bb", "bn")} THEN n ELSE support END AS support FROM leaf JOIN b3 USING (host, branch))
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN purity >= 0.7 AND support >= 5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6)::DOUBLE AS purity FROM w JOIN l2 USING (host, template)"""
+d AS (
+  SELECT leaf.host, leaf.done, 0::BIGINT AS i, hp AS purity, hn AS support FROM leaf JOIN h ON leaf.host = h.host
+  UNION ALL
+  SELECT d.host, d.done, d.i + 1, CASE WHEN gn IS NULL THEN purity ELSE (gb + 4.0 * purity) / (gn + 4.0) END, coalesce(gn, support)
+  FROM d JOIN lv ON lv.host = d.host AND lv.done = d.done AND lv.i = d.i LEFT JOIN mem ON mem.host = lv.host AND mem.parent = lv.parent AND mem.name = lv.name)
+SELECT page_id, w.host, path, rule, coalesce(v, CASE WHEN purity >= 0.7 AND support >= 5 THEN 'block' ELSE 'allow' END) AS verdict,
+  '/' || array_to_string(w.done, '/') AS template, round(purity, 6)::DOUBLE AS purity
+FROM w JOIN d ON w.host = d.host AND w.done = d.done AND d.i = len(d.done) + 1"""
 
 ORACLES = {"op2_mixing": MIXING, "op5_warc": WARC, "op6_url_filters": URLS}

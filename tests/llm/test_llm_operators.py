@@ -628,7 +628,81 @@ def test_every_prefix_is_a_place_of_the_tree(spark):
     got = {r.page_id: r for r in url_filters.judged(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
     assert [(got[i].rule, got[i].verdict) for i in range(80, 84)] == [(None, "block"), (None, "block"), (None, "allow"), (None, "allow")]
     assert got[80].template == "/blog/spam/new/page" and got[80].purity == got[81].purity > 0.9 and got[82].purity == got[83].purity < 0.7
-    assert got[84].template == deep and got[104].template == deep + "/**" and got[84].purity > 0.7 > got[104].purity
+    assert got[84].template == deep and got[104].template == deep + "/i/j" and got[84].purity > 0.7 > got[104].purity
+
+
+def plain_verdicts(urls, rules, max_names):
+    """(template, purity, support) of each url by walking the tree from the host down."""
+    tree, count = {}, lambda rows: (sum(v is not None for _, v in rows), sum(v == "block" for _, v in rows))
+
+    def label(host, path):
+        fits = [(len(r), v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits)[1] if fits else None
+
+    shape = re.compile(url_filters.VARIABLE)
+    for i, u in enumerate(urls):
+        host, path = plain_split(u)
+        tree.setdefault(host, []).append((i, ["*" if shape.match(s) else s for s in path.split("/") if s], label(host, path)))
+    total = count([(0, v) for rows in tree.values() for _, _, v in rows])
+    suffix = lambda h: ".".join(h.split(".")[-2:])
+    out = {}
+
+    def walk(rows, depth, seen, purity, support):
+        names = {(s[depth] if depth < len(s) else "") for _, s, _ in rows}
+        merged = {}
+        for i, s, v in rows:
+            name = s[depth] if depth < len(s) else ""
+            merged.setdefault("*" if name and len(names - {""}) > max_names else name, []).append((i, s, v))
+        groups = []
+        for share in sorted({b / n for r in merged.values() for n, b in [count([(0, v) for _, _, v in r])] if n}):
+            same = [k for k, r in merged.items() for n, b in [count([(0, v) for _, _, v in r])] if n and b / n == share]
+            n, b = (sum(count([(0, v) for _, _, v in merged[k]])[j] for k in same) for j in (0, 1))
+            if groups:
+                n0, b0, _ = groups[-1]
+                p = (b + b0) / (n + n0)
+                spread = (p * (1 - p) * (1 / n + 1 / n0)) ** 0.5
+                if not (spread > 0 and abs(b / n - b0 / n0) >= 1.96 * spread):
+                    groups[-1] = n + n0, b + b0, groups[-1][2] + same
+                    continue
+            groups.append((n, b, same))
+        for name, below in merged.items():
+            own = next((g for g in groups if name in g[2]), None) if len(groups) > 1 else None
+            p, k = ((own[1] + 4 * purity) / (own[0] + 4), own[0]) if own else (purity, support)
+            if name:
+                walk(below, depth + 1, [*seen, name], p, k)
+            else:
+                for i, _, v in below:
+                    out[i] = ("/" + "/".join(seen), round(p, 6), v or ("block" if p >= 0.7 and k >= 5 else "allow"))
+
+    for host, rows in tree.items():
+        sn, sb = count([(0, v) for h, r in tree.items() if suffix(h) == suffix(host) for _, _, v in r])
+        n, b = count([(0, v) for _, _, v in rows])
+        prior = (sb + 4 * (total[1] / total[0] if total[0] else 0)) / (sn + 4)
+        walk(rows, 0, [], (b + 4 * prior) / (n + 4), n)
+    return out
+
+
+def test_tree_of_templates_matches_plain(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda n: "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(0, n))]
+    urls = []
+    for _ in range(1500):
+        depth = int(rng.integers(0, 13))
+        urls.append(f"http://{pick(3)}.h{int(rng.integers(0, 2))}.org/" + "/".join(pick(2 if k % 3 else 7) for k in range(depth)) + ("/2020-01" if rng.random() < 0.2 else "") + "/" * int(rng.integers(0, 2)))
+    urls += [None, "no scheme", "http://long.org/" + "/".join(f"s{'x' * k}" for k in range(400)), urls[0], urls[0]]
+    rules = [("block", "a.h0.org/a/"), ("block", "h0.org/b/a/a/"), ("allow", "h0.org/"), ("block", "h1.org/a/a/c"), ("allow", "h1.org/a/"), ("allow", "b.h1.org/e/")]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("steps", F.lit(1))
+    for max_names in (50, 3):
+        got = {r.page_id: (r.template, r.purity, r.verdict) for r in url_filters.judged(d, rules, max_names=max_names).collect()}
+        assert got == plain_verdicts(urls, rules, max_names), max_names
+
+
+def test_segments_beyond_the_eighth_count(spark):
+    deep = "/a/b/c/d/e/f/g/h"
+    rules = [("block", f"h.x{deep}/spam/"), ("allow", f"h.x{deep}/news/a")]
+    urls = [f"http://h.x{deep}/spam/p{'ab'[i % 2]}" for i in range(30)] + [f"http://h.x{deep}/news/a" for _ in range(10)] + [f"http://h.x{deep}/news/p", f"http://h.x{deep}/spam"]
+    got = {r.page_id: r.verdict for r in url_filters.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got[40] == "allow" and got[41] == "block"
 
 
 # --- 8 Token ids ---
