@@ -267,13 +267,12 @@ def features(html: str | None) -> Features:
     return out
 
 
-def _over_branches(nodes: DataFrame, values: dict[str, Callable], together: Callable) -> DataFrame:
+def _over_branches(nodes: DataFrame, rounds: int, values: dict[str, Callable], together: Callable) -> DataFrame:
     """``values`` of each node, summed up by their aggregates, taken ``together`` with those of all nodes below it, whatever the depth.
 
     Round k adds to each node what the nodes 2^k levels below it have gathered, so a tree takes the logarithm of its
     depth in rounds and each node is in one row throughout.
     """
-    rounds = nodes.agg(F.max(F.size("up"))).first()[0] or 0
     for k in range(rounds):
         below = nodes.where(F.size("up") > k).groupBy("host", F.col("up")[k].alias("node")).agg(*(total(v).alias(f"below_{v}") for v, total in values.items()))
         joined = nodes.join(below, ["host", "node"], "left")
@@ -281,9 +280,8 @@ def _over_branches(nodes: DataFrame, values: dict[str, Callable], together: Call
     return nodes
 
 
-def _under_marks(nodes: DataFrame) -> DataFrame:
+def _under_marks(nodes: DataFrame, rounds: int) -> DataFrame:
     """``marked`` of each node taken together with those of all nodes that hold it: the same rounds, downwards."""
-    rounds = nodes.agg(F.max(F.size("up"))).first()[0] or 0
     for k in range(rounds):
         over = nodes.where("marked").select("host", F.col("node").alias("over"), F.lit(True).alias("held"))
         joined = nodes.withColumn("over", F.get("up", F.lit(k))).join(over, ["host", "over"], "left")
@@ -321,16 +319,17 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", m
     )
     base = F.log("pages")
     nodes = written(nodes.withColumn("differs", F.when(F.col("pages") > 1, F.col("texts") - F.col("text_log") / base).otherwise(F.col("texts").cast("double"))), "style-nodes")
+    rounds = nodes.agg(F.max(F.size("up"))).first()[0] or 0
     # each node's blocks and characters count for it and all branches that hold it
     branch = nodes.select("host", "node", "up", *(F.col(c).alias(f"branch_{c}") for c in ("texts", "differs", "chars", "links")))
-    branch = _over_branches(branch, {f"branch_{c}": F.sum for c in ("texts", "differs", "chars", "links")}, lambda own, below: own + F.coalesce(below, F.lit(0)))
+    branch = _over_branches(branch, rounds, {f"branch_{c}": F.sum for c in ("texts", "differs", "chars", "links")}, lambda own, below: own + F.coalesce(below, F.lit(0)))
     flag = lambda bit: F.col("flags").bitwiseAND(bit) != 0
     mains = nodes.groupBy("host").agg(F.max(flag(4) & ~flag(16)).alias("has_main"))
     known, many = nodes.join(branch.drop("up"), ["host", "node"]).join(mains, "host"), F.col("pages") >= min_pages
     itself = (F.col("branch_chars") > 0) & (F.col("branch_chars") >= MASS * F.col("whole")) & (many | ~F.col("has_main"))
     known = written(known.withColumn("denied", flag(8) & itself).withColumn("marked", F.when(flag(8), ~itself).otherwise(False)), "style-mass")
     if known.where("denied").limit(1).count():
-        known = _under_marks(known)
+        known = _under_marks(known, rounds)
     else:  # no mark is denied anywhere: the pages' own chains hold
         known = known.withColumn("marked", flag(16))
     look = 1 - F.col("shape_log") / (F.col("pages") * base)
@@ -342,7 +341,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", m
     tree = known.select("host", "node", "up", "pages", importance.alias("importance"), "marked", free.alias("free"), (flag(4) & ~F.col("marked")).alias("main"))
     # a branch is low only as a whole
     tree = written(tree.withColumn("top", F.when(F.col("main"), float("inf")).otherwise(F.col("importance"))), "style-tree")
-    return _over_branches(tree, {"top": F.max}, F.greatest).drop("up", "main")
+    return _over_branches(tree, rounds, {"top": F.max}, F.greatest).drop("up", "main")
 
 
 def alone(html: str | None, threshold: float = THRESHOLD) -> set[int]:

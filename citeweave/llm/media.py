@@ -1,36 +1,41 @@
 """Media columns: a data source over archives of media members.
 
 An archive is a ZIP file of uncompressed members with its directory at the end. The writer is a sink of the data source
-``media_archive``: each task fills archives of about ARCHIVE_BYTES in memory, writes each in one piece under a name of its
-own, and reports the names; the driver's commit writes a manifest of the tasks that succeeded, so archives of lost or
-repeated tasks are never read. The reader plans partitions as byte ranges of RANGE_BYTES over the manifest's archives,
-without opening them. A task reads its archive's directory (from the file's tail), takes the members whose header begins
-in its range, and streams them as Arrow batches of about BATCH_BYTES. Each member is read by its own offset and checked
-(CRC-32, length); a failure is retried for that member alone, TRIES times, and then raises, or gives a row with an error
-and no bytes (option ``onError`` = ``row``).
+``media_archive``: each task streams its members into archives of about ARCHIVE_BYTES under names of its own, and reports
+the names; the driver's commit writes a manifest of its own (Parquet: names, bytes, members) of the tasks that succeeded,
+so archives of lost or repeated tasks are never read, and a later append only adds a manifest. An overwrite's manifest
+names those that it replaces; they don't count from the moment it is there, and are then deleted with their archives.
+
+The reader takes the archives of all manifests in force and plans partitions as byte ranges over them, without opening
+them: RANGE_BYTES each, or more where there would be more than MAX_RANGES. A task reads its archive's directory (from the
+file's tail), takes the members whose header begins in its range, and streams them as Arrow batches of about BATCH_BYTES.
+Each member is read by its own offset and checked (CRC-32, length); a failure is retried for that member alone, TRIES
+times, and then raises, or gives a row with an error and no bytes (option ``onError`` = ``row``). So does a directory
+that can't be read: one row for its range.
 
 A payload is stored losslessly as the 8-bit samples of a PNG image 64 samples wide: its bytes, padded with 0 to a positive
 multiple of 64. Members are named by row: id, unpadded length, number. Files are reached through pyarrow's file systems,
 so paths may be local, HDFS or object-store URIs.
 
-Edge cases: null or empty text is one row of zero samples; ids may be null or repeat; equal texts give equal stored
-bytes; texts of any length are one member; an empty table gives an empty manifest and no rows; other columns aren't read.
+Edge cases: null or empty text is one row of zero samples; ids may be null or repeat, and string ids may hold any
+character; equal texts give equal stored bytes; texts of any length are one member; an empty table gives an empty
+manifest and no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
-import json
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -38,9 +43,9 @@ from pyspark.sql.types import StructType
 
 from citeweave.llm.common import fresh_path, pieces, small_batches
 
-WIDTH, ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 64, 16 << 20, 8 << 20, 2 << 20, 3
+WIDTH, ARCHIVE_BYTES, RANGE_BYTES, MAX_RANGES, BATCH_BYTES, TRIES = 64, 256 << 20, 8 << 20, 200_000, 2 << 20, 3
 SCHEMA = "archive string, offset long, name string, media binary, error string"
-MANIFEST = "_manifest.json"
+MANIFESTS = "_manifests"
 #: Fixed values of the PNG format.
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -94,44 +99,81 @@ class _Written(WriterCommitMessage):
     archives: list
 
 
+def _manifests(files, base: str) -> dict[str, pa.Table]:
+    """The manifests in force, by name."""
+    from pyarrow import fs
+
+    found = files.get_file_info(fs.FileSelector(f"{base}/{MANIFESTS}", allow_not_found=True))
+    tables = {}
+    for info in found:
+        if info.base_name.endswith(".parquet"):
+            with files.open_input_file(info.path) as f:
+                tables[info.base_name] = pq.read_table(f)
+    replaced = {n for t in tables.values() for n in t.schema.metadata[b"replaces"].decode().split()}
+    return {n: t for n, t in tables.items() if n not in replaced}
+
+
+class _Stream:
+    """A file that zipfile can only append to."""
+
+    def __init__(self, out) -> None:
+        self._out = out
+
+    def write(self, data: bytes) -> int:
+        self._out.write(data)
+        return len(data)
+
+    def flush(self) -> None:
+        self._out.flush()
+
+
 class ArchiveWriter(DataSourceArrowWriter):
     """Writes rows (name string, media binary) into archives."""
 
-    def __init__(self, path: str, size: int) -> None:
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int, overwrite: bool) -> None:
+        self.path, self.size, self.overwrite = path, size, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, base = _files(self.path)
         files.create_dir(base, recursive=True)
-        archives, buffer, members, archive = [], None, 0, None
+        archives: list[dict] = []
+        out = archive = None
+        members = held = 0
 
         def close() -> None:
-            nonlocal buffer, archive
+            nonlocal out, archive
             if archive is not None:
                 archive.close()
-                name = f"{uuid.uuid4().hex}.zip"
-                with files.open_output_stream(f"{base}/{name}") as out:
-                    out.write(buffer.getbuffer())
-                archives.append({"name": name, "bytes": buffer.getbuffer().nbytes, "members": members})
-                buffer = archive = None
+                archives[-1] |= {"bytes": out.tell(), "members": members}
+                out.close()
+                out = archive = None
 
         for batch in iterator:
             for name, media in zip(batch.column("name"), batch.column("media")):
                 if archive is None:
-                    buffer, members = io.BytesIO(), 0
-                    archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED, allowZip64=True)
-                archive.writestr(zipfile.ZipInfo(name.as_py()), media.as_py())
-                members += 1
-                if buffer.tell() >= self.size:
+                    archives.append({"name": f"{uuid.uuid4().hex}.zip"})
+                    out, members, held = files.open_output_stream(f"{base}/{archives[-1]['name']}"), 0, 0
+                    archive = zipfile.ZipFile(_Stream(out), "w", zipfile.ZIP_STORED, allowZip64=True)
+                data = media.as_py()
+                archive.writestr(zipfile.ZipInfo(name.as_py()), data)
+                members, held = members + 1, held + len(data)
+                if held >= self.size:
                     close()
         close()
         return _Written(archives)
 
     def commit(self, messages: list) -> None:
         files, base = _files(self.path)
-        files.create_dir(base, recursive=True)
-        with files.open_output_stream(f"{base}/{MANIFEST}") as out:
-            out.write(json.dumps({"archives": [a for m in messages if m for a in m.archives]}).encode())
+        files.create_dir(f"{base}/{MANIFESTS}", recursive=True)
+        before = _manifests(files, base) if self.overwrite else {}
+        rows = [a for m in messages if m for a in m.archives]
+        table = pa.table([pa.array([r[c] for r in rows], t) for c, t in (("name", pa.string()), ("bytes", pa.int64()), ("members", pa.int64()))], ["name", "bytes", "members"])
+        with files.open_output_stream(f"{base}/{MANIFESTS}/{uuid.uuid4().hex}.parquet") as out:
+            pq.write_table(table.replace_schema_metadata({"replaces": " ".join(before)}), out)
+        for name, old in before.items():
+            for archive in old.column("name").to_pylist():
+                files.delete_file(f"{base}/{archive}")
+            files.delete_file(f"{base}/{MANIFESTS}/{name}")
 
     def abort(self, messages: list) -> None:
         files, base = _files(self.path)
@@ -155,9 +197,20 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files, base = _files(self.path)
-        with files.open_input_stream(f"{base}/{MANIFEST}") as f:
-            archives = json.loads(f.read())["archives"]
-        return [ByteRange(a["name"], at, min(at + self.step, a["bytes"])) for a in archives for at in range(0, a["bytes"], self.step)] or [ByteRange("", 0, 0)]
+        archives = [(n, size) for t in _manifests(files, base).values() for n, size in zip(t.column("name").to_pylist(), t.column("bytes").to_pylist())]
+        step = max(self.step, sum(size for _, size in archives) // MAX_RANGES)
+        return [ByteRange(n, at, min(at + step, size)) for n, size in archives for at in range(0, size, step)] or [ByteRange("", 0, 0)]
+
+    def _members(self, files, path: str) -> list[zipfile.ZipInfo]:
+        """An archive's directory."""
+        why: Exception | None = None
+        for _ in range(self.tries):
+            try:
+                with files.open_input_file(path) as f:
+                    return zipfile.ZipFile(f).infolist()
+            except (OSError, ValueError, struct.error, zipfile.BadZipFile) as e:
+                why = e
+        raise OSError(f"{path}: {why}")
 
     def _member(self, files, path: str, info: zipfile.ZipInfo) -> bytes:
         """One member by its offset, in a handle of its own after a failure."""
@@ -190,8 +243,14 @@ class ArchiveReader(DataSourceReader):
         path = f"{base}/{partition.archive}"
         rows: list[tuple] = []
         held = 0
+        try:
+            members = [i for i in self._members(files, path) if partition.start <= i.header_offset < partition.end]
+        except OSError as e:
+            if self.on_error != "row":
+                raise
+            yield self._batch([(partition.archive, partition.start, None, None, str(e))])
+            return
         with files.open_input_file(path) as f:
-            members = [i for i in zipfile.ZipFile(f).infolist() if partition.start <= i.header_offset < partition.end]
             for info in members:
                 data = error = None
                 try:
@@ -232,28 +291,28 @@ class MediaArchive(DataSource):
         return ArchiveReader(o["path"], int(o.get("rangeBytes", RANGE_BYTES)), int(o.get("tries", TRIES)), o.get("onError", "fail"))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)), overwrite)
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options: str) -> None:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append", **options: str) -> None:
     """Store each text of ``docs`` as a member of the archives under ``path``."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
-        for batch in pieces(batches, "_text", 4 << 20):
+        for batch in pieces(batches, "_text", 1 << 20):
             names, media = [], []
             for i, t in zip(batch.column("_id").to_pylist(), batch.column("_text").cast(pa.binary())):
                 data = t.as_py() or b""
-                names.append(f"{'null' if i is None else i}_{len(data)}_{number}.png")
+                names.append(f"{'n' if i is None else 'v' + quote(str(i), safe='')}_{len(data)}_{number}.png")
                 media.append(to_png(padded(data)))
                 number += 1
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(media, pa.binary())], ["name", "media"])
 
     members = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "name string, media binary")
     with small_batches(spark):
-        members.write.format("media_archive").options(**options).mode("append").save(path)
+        members.write.format("media_archive").options(**options).mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -280,12 +339,12 @@ def described(members: DataFrame, id_kind: str = "bigint", id_col: str = "doc_id
                 media = media.as_py()
                 own, size, _ = name.rsplit("_", 2)
                 data = from_png(media)
-                rows.append((None if own == "null" else own, int(size), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)))
+                rows.append((None if own == "n" else unquote(own[1:]), int(size), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    out = members.select("name", "media").mapInArrow(run, f"{id_col} string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = members.where("error is null").select("name", "media").mapInArrow(run, f"{id_col} string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumn(id_col, F.col(id_col).cast(id_kind))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
-import json
 import re
 import zlib
 from collections import Counter
@@ -761,7 +760,7 @@ def test_media_round_trip(spark):
 def test_members_are_retried_by_offset(spark, tmp_path):
     path = f"file://{tmp_path}/a"
     media.write(docs(spark, [(i, f"text {i} " * 50) for i in range(30)]).coalesce(1), path)
-    name = json.loads((tmp_path / "a" / media.MANIFEST).read_text())["archives"][0]["name"]
+    (name,) = spark.read.parquet(f"{path}/{media.MANIFESTS}").toPandas()["name"]
     f = tmp_path / "a" / name
     good = media.read(spark, path).orderBy("offset").collect()
     assert len(good) == 30 and media.read(spark, path, rangeBytes="1000").rdd.getNumPartitions() > 3 and media.read(spark, path, rangeBytes="1000").count() == 30
@@ -775,3 +774,39 @@ def test_members_are_retried_by_offset(spark, tmp_path):
         media.read(spark, path).count()
     (tmp_path / "a" / "stray.zip").write_bytes(b"left by a lost task")
     assert media.read(spark, path, onError="row").count() == 30
+    f.write_bytes(raw[: len(raw) // 2])
+    rows = media.read(spark, path, onError="row", rangeBytes="1000").collect()
+    assert rows and all(r.error and r.name is None for r in rows)
+    with pytest.raises(Exception, match="zip"):
+        media.read(spark, path).count()
+
+
+def test_appends_add_and_overwrites_replace(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    named = lambda: Counter(i for (i,) in media.described(media.read(spark, path)).select("doc_id").collect())
+    for k in range(3):
+        media.write(docs(spark, [(10 * k + i, "x" * i) for i in range(4)]), path, archiveBytes="100")
+    assert named() == Counter(10 * k + i for k in range(3) for i in range(4))
+    media.write(docs(spark, [(7, "new")]), path, mode="overwrite")
+    assert named() == Counter([7]) and len(list((tmp_path / "a").glob("*.zip"))) == 1
+    media.write(docs(spark, []), path)
+    assert named() == Counter([7])
+
+
+def test_media_columns_match_plain(spark):
+    import struct
+
+    texts = ["", "x", "é" * 70, "ab\x7f" * 99, " ".join(words(40, 3)), None]
+    ids = ["null", None, "a_b/c", "ü\u0001", "", "n"]
+    d = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string").withColumn("name", F.lit("clash")).withColumn("media", F.lit(1))
+    got = Counter(tuple(r) for r in media.round_trip(d).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "feature").collect())
+    want = Counter()
+    for i, t in zip(ids, texts):
+        data = (t or "").encode()
+        p = data + bytes(-len(data) % 64 or (0 if data else 64))
+        chunk = lambda k, x: struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x))
+        lines = b"".join(b"\0" + p[a : a + 64] for a in range(0, len(p), 64))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, len(p) // 64, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:]))
+        want[i, len(data), len(png), hashlib.sha256(png).hexdigest(), f"mean={sum(p) / len(p):.4f};power={sum(x * x for x in p) / len(p):.4f};peak={max(p)};crossings={crossings}"] += 1
+    assert got == want
