@@ -533,6 +533,97 @@ def test_collisions_draw_again(spark):
     assert drawn == {r.text for r in pii.replaced(d.repartition(5)).collect()}
 
 
+def test_dense_formats_stay_distinct(spark):
+    rows = [(i, f"from {i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10} at") for i in range(10_000)]
+    rows += [(20_000 + i, f"{c}@x.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = {r.doc_id: r.text for r in pii.replaced(docs(spark, rows)).collect()}
+    assert len(set(got.values())) == len(rows) and all(got[i] != t for i, t in rows)
+    assert all(re.fullmatch(r"from \d\.\d\.\d\.\d at", got[i]) for i in range(10_000)) and len({got[20_000 + i].split("@")[1] for i in range(26)}) == 1
+
+
+def test_names_are_coreferent(spark):
+    text = "Mr John Smith met Dr John Smith and John Smith; Mrs SMITH, Frau Anna Smith, Mr Jon Smith. Johnny John Smithson."
+    others = [(2, "John Smith without a title"), (3, "Ms Jo Smith saw JO SMITH"), (4, "Señor Íñigo Núñez y г-жа Анна Смирнова")]
+    got = {r.doc_id: r.text for r in pii.replaced(docs(spark, [(1, text), *others])).collect()}
+    m = re.fullmatch(r"Mr (\w+ (\w+)) met Dr (\w+ \w+) and (\w+ \w+); Mrs (\w+), Frau (\w+) (\w+), Mr (\w+) (\w+)\. Johnny John Smithson\.", got[1])
+    assert m[1] == m[3] == m[4] and m[2] == m[7] == m[9] == m[5].title() and m[5].isupper() and m[2] not in text
+    assert m[6] in pii.FIRST["f", "latin"] and m[6] != "Anna" and m[8] != m[1].split()[0]
+    assert got[2] == others[0][1] and got[3].split()[2] == m[2] and re.search(r"г-жа \w+ [А-Я][а-я]+$", got[4]) and "Смирнова" not in got[4]
+    assert re.search(r"г-жа (\w+)", got[4])[1] in pii.FIRST["f", "cyrillic"]
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if 2 * d > 9 else 2 * d) for i, d in enumerate([int(c) for c in digits][::-1])) % 10
+
+
+def iban_ok(text):
+    t = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_formats_keep_their_checks(spark):
+    rng = np.random.default_rng(8)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    rows = []
+    for i in range(60):
+        body = digits(15)
+        card = next(body + str(c) for c in range(10) if luhn(body + str(c)) == 0)
+        account = digits(8) + "ABCD" + digits(6)
+        check = 98 - int("".join(str(int(c, 36)) for c in account + "GB" + "00")) % 97
+        rows.append((i, f"{card} GB{check:02d}{account} GB{(check + 1 + i) % 100:02d}{account} {card[:-1]}{(int(card[-1]) + 1) % 10} +420 {digits(3)} {digits(3)} {digits(3)}, 123-{digits(2)}-{digits(4)}"))
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replaced(docs(spark, rows)).collect()}
+    seen = set()
+    for i, t in rows:
+        a, b, c = t.split(" ")[:3]
+        x, y, z, w, *rest = got[i][0].split(" ")
+        assert luhn(x) == 0 and x[0] == a[0] and x != a and iban_ok(y) and y[:2] == "GB" and y != b and not iban_ok(z) and z[4:] == y[4:] and w == t.split(" ")[3]
+        assert rest[0] == "+420" and got[i][1] == 5
+        seen |= {x, y, z}
+    assert len(seen) == 180
+
+
+def test_permutation_matches_plain(spark):
+    """The surrogates of digits and letters, by the definition: steps of a network, one up, the same steps back."""
+
+    def plain(numbers, radix, tweak):
+        n, half = len(numbers), len(numbers) // 2
+
+        def step(state, r, sign):
+            other = state[half:] if r % 2 == 0 else state[:half]
+            stream = "".join(hashlib.sha256(f"k|{tweak}|{r}|{','.join(map(str, other))}|{j}".encode()).hexdigest() for j in range(n // 16 + 1))
+            return [(d + sign * int(stream[4 * i : 4 * i + 4], 16)) % radix[i] if (i < half) == (r % 2 == 0) else d for i, d in enumerate(state)]
+
+        for r in range(4):
+            numbers = step(numbers, r, 1)
+        first = next(i for i, x in enumerate(radix) if x > 1)
+        numbers = [(d + 1) % radix[first] if i == first else d for i, d in enumerate(numbers)]
+        for r in reversed(range(4)):
+            numbers = step(numbers, r, -1)
+        return numbers
+
+    values = ["abc123", "x-9.Z/q7", "0123456789abcdef" * 4, "......7"]
+    classes = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
+    rows = [(i, f"password={v}") for i, v in enumerate(values)] + [(10, "1.22.133.4")]
+    got = {r.doc_id: r.text for r in pii.replaced(docs(spark, rows), key="k").collect()}
+    for i, v in enumerate(values):
+        own = [next((k for k in classes if c in k), c) for c in v]
+        out = plain([k.index(c) for c, k in zip(v, own)], [len(k) for k in own], "secret")
+        assert got[i] == "password=" + "".join(k[d] for d, k in zip(out, own))
+    a, b, c, d = plain([1, 12, 33, 4], [10, 90, 156, 10], "ip")
+    assert got[10] == f"{a}.{b + 10}.{c + 100}.{d}"
+
+
+def test_surrogates_of_long_texts_and_clashing_columns(spark):
+    long = "word " * 100_000 + "mail a.b@c.org " + "x " * 100_000 + "a.b@c.org"
+    d = docs(spark, [(1, long), (1, long), (None, "a.b@c.org")]).withColumn("kind", F.lit("k")).withColumn("entity", F.lit(1)).withColumn("n", F.lit(2))
+    got = pii.replaced(d, only=False)
+    assert got.columns == [*d.columns, "n_entities"]
+    rows = got.collect()
+    short = next(r.text for r in rows if r.doc_id is None)
+    assert all(r.text == long.replace("a.b@c.org", short) and (r.kind, r.entity, r.n) == ("k", 1, 2) for r in rows if r.doc_id == 1) and len(rows) == 3
+    assert {r.text for r in pii.replaced(docs(spark, [(1, short)])).collect()} != {"a.b@c.org"}
+
+
 # --- 5 WARC ---
 
 
