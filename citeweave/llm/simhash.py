@@ -1,13 +1,17 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-The 64 bits are cut into three blocks. Two fingerprints at distance 4 or less differ in at most one bit in one block
-at least. In each block the anchors are the words of a code: a Hamming(15,11) code on the first 15 bits, all values on
-the rest. That code's covering radius is 1, so each block value has one nearest anchor within 1, and any value within
-1 of it lies within 2 of that anchor. A fingerprint therefore goes to its nearest anchor (as ``near``) and to every
-anchor within radius + threshold = 2 (15 or so for each block); linked pairs meet at the nearest anchor of one of them. No
-pair within the distance is missed and none is found twice: a pair counts only in its first block within distance 1,
+The 64 bits are cut into blocks. Two fingerprints at distance 4 or less differ in at most ``within`` bits in one block at
+least. In each block the anchors are the words of a code: a Hamming code on the first bits, all values on the rest. Its
+covering radius is 1, so each block value has one nearest anchor within 1, and any value within ``within`` of it lies
+within 1 + ``within`` of that anchor. A fingerprint therefore goes to its nearest anchor (as ``near``) and to every anchor
+within that covering radius plus threshold; linked pairs meet at the nearest anchor of one of them. No
+pair within the distance is missed and none is found twice: a pair counts only in its first block within ``within``,
 at the nearest anchor of the smaller fingerprint.
 
+Two layouts give the same links. Three blocks of 21 or 22 bits (``within`` 1) make 45 rows or so for each of N
+fingerprints and about N^2 / 3,000 comparisons; two blocks of 32 bits (``within`` 2) make 343 rows and N^2 / 390,000. The second is
+taken from WIDE_FROM distinct fingerprints on.
+
 Equal fingerprints are one node, so copies never multiply pairs. What leaves an anchor is a spanning forest of its
 links, never all pairs. An anchor that holds more than ``split_at`` fingerprints is compared in tiles of its pairs
 (each near row once, against each slice of the others), so that no anchor has to fit in one task.
@@ -21,6 +25,8 @@ clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +37,21 @@ from pyspark.sql import functions as F
 from citeweave.llm.common import pieces, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: (first bit, bits) of the blocks; the first 15 bits of a block carry the Hamming code.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
-MAX_BITS = 4
+MAX_BITS, WIDE_FROM = 4, 16_000_000
 _PAIRS = 1 << 21
 
 
+class Layout(NamedTuple):
+    """Blocks as (first bit, bits); the first ``code`` bits of a block carry the Hamming code; linked pairs are ``within`` bits in one block."""
+
+    blocks: tuple[tuple[int, int], ...]
+    code: int
+    within: int
+
+
+NARROW, WIDE = Layout(((0, 21), (21, 21), (42, 22)), 15, 1), Layout(((0, 32), (32, 32)), 31, 2)
+
+
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of UTF-8 ``text``: XXH64 of its word shingles, repeats included."""
     words = text.translate(_LOWER).split()  # bytes.split() takes exactly \x20 and \x09-\x0D as white space
@@ -69,43 +84,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, schema)
 
 
-def _syndromes(values: np.ndarray) -> np.ndarray:
-    """Hamming(15,11) syndromes of the low 15 bits: the xor of the positions (1-15) of the set bits."""
+def _syndromes(values: np.ndarray, code: int) -> np.ndarray:
+    """Hamming syndromes of the low ``code`` bits: the xor of the positions (from 1) of the set bits."""
     out = np.zeros(len(values), np.int64)
-    for bit in range(15):
+    for bit in range(code):
         out ^= np.where((values >> bit) & 1, bit + 1, 0)
     return out
 
 
-def _patterns(bits: int) -> list[np.ndarray]:
-    """For each syndrome: the error patterns of weight up to 2 on ``bits`` bits that lead to an anchor; the nearest's first."""
-    all_ = [0, *(1 << i for i in range(bits)), *((1 << i) | (1 << j) for i in range(bits) for j in range(i))]
-    values = np.array(all_, np.int64)
-    syndromes = _syndromes(values)
+def _patterns(bits: int, layout: Layout) -> list[np.ndarray]:
+    """For each syndrome: the error patterns of weight up to 1 + ``within`` on ``bits`` bits that lead to an anchor; the nearest's first."""
+    values = np.array([sum(1 << i for i in c) for n in range(layout.within + 2) for c in combinations(range(bits), n)], np.int64)
+    syndromes = _syndromes(values, layout.code)
     out = []
-    for s in range(16):
+    for s in range(layout.code + 1):
         own = values[syndromes == s]
         out.append(own[np.argsort(np.bitwise_count(own), kind="stable")])
     return out
 
 
-def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint at each anchor within 2 in each block; ``near`` marks its nearest anchor of the block."""
-    tables = [_patterns(bits) for _, bits in BLOCKS]
+def replicas(batches: Iterator[pa.RecordBatch], layout: Layout = NARROW) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint at each anchor within reach in each block; ``near`` marks its nearest anchor of the block."""
+    tables = [_patterns(bits, layout) for _, bits in layout.blocks]
     for whole in batches:
         for at in range(0, whole.num_rows, 1 << 15):
             fp = whole.slice(at, 1 << 15).column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for block, (first, bits) in enumerate(BLOCKS):
+            for block, (first, bits) in enumerate(layout.blocks):
                 values = ((fp.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                syndromes = _syndromes(values)
+                syndromes = _syndromes(values, layout.code)
                 for s, errors in enumerate(tables[block]):
                     own = np.flatnonzero(syndromes == s)
                     if len(own) == 0:
                         continue
-                    anchors = (values[own, None] ^ errors[None, :]) | (block << 22)
+                    anchors = (values[own, None] ^ errors[None, :]) | (block << 32)
                     near = np.zeros(anchors.shape, bool)
                     near[:, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel().astype(np.int32)), pa.array(np.repeat(fp[own], len(errors))), pa.array(near.ravel())], ["anchor", "fp", "near"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel()), pa.array(np.repeat(fp[own], len(errors))), pa.array(near.ravel())], ["anchor", "fp", "near"])
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,7 +140,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _forest(first: np.ndarray, block: np.ndarray, fp: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _forest(first: np.ndarray, block: np.ndarray, fp: np.ndarray, near: np.ndarray, layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning forests of the links in groups of rows; ``first`` marks a group's first row, ``block`` is its block."""
     bounds = np.flatnonzero(np.r_[first, True])
     group = np.cumsum(first) - 1
@@ -134,7 +148,7 @@ def _forest(first: np.ndarray, block: np.ndarray, fp: np.ndarray, near: np.ndarr
     starts, sizes = bounds[group[x]], np.diff(bounds)[group[x]]
     total = np.cumsum(sizes)
     bits = fp.view(np.uint64)
-    masks = np.array([((1 << n) - 1) << f for f, n in BLOCKS], np.uint64)
+    masks = np.array([((1 << n) - 1) << f for f, n in layout.blocks], np.uint64)
     at = 0
     while at < len(x):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS)))
@@ -145,7 +159,7 @@ def _forest(first: np.ndarray, block: np.ndarray, fp: np.ndarray, near: np.ndarr
         linked = np.flatnonzero((np.bitwise_count(differ) <= MAX_BITS) & (fp[xi] < fp[yj]))
         xi, yj, differ = xi[linked], yj[linked], differ[linked]
         if len(xi):
-            close = np.stack([np.bitwise_count(differ & m) <= 1 for m in masks], axis=1)
+            close = np.stack([np.bitwise_count(differ & m) <= layout.within for m in masks], axis=1)
             here = close.argmax(axis=1) == block[xi]
             xi, yj = xi[here], yj[here]
         if len(xi):
@@ -156,7 +170,7 @@ def _forest(first: np.ndarray, block: np.ndarray, fp: np.ndarray, near: np.ndarr
         at = to
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare(batches: Iterator[pa.RecordBatch], layout: Layout = NARROW) -> Iterator[pa.RecordBatch]:
     """Links (lo, hi) of the rows of a partition that is sorted by anchor and tile."""
     kept: list[pa.RecordBatch] = []
 
@@ -166,7 +180,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = whole["near"].to_numpy(zero_copy_only=False)
         first = np.r_[True, (anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1])]
         cut = len(fp) if last else int(np.flatnonzero(first)[-1])  # the last group may go on in the next batch
-        out = [pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"]) for lo, hi in (_forest(first[:cut], anchor[:cut] >> 22, fp[:cut], near[:cut]) if cut else ())]
+        out = [pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"]) for lo, hi in (_forest(first[:cut], anchor[:cut] >> 32, fp[:cut], near[:cut], layout) if cut else ())]
         return out, whole.slice(cut).to_batches() if cut < len(fp) else []
 
     size = 0
@@ -182,9 +196,18 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(kept, True)[0]
 
 
-def links(nodes: DataFrame, split_at: int = 50_000) -> DataFrame:
+def links(nodes: DataFrame, split_at: int = 50_000, layout: Layout | None = None) -> DataFrame:
     """Spanning links (lo, hi) between the distinct fingerprints of ``nodes`` (column fp) at distance 4 or less."""
-    copies = nodes.select("fp").mapInArrow(replicas, "anchor int, fp long, near boolean")
+    layout = layout or (WIDE if nodes.count() >= WIDE_FROM else NARROW)
+    blocks, code, within = layout
+
+    def replicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return replicas(batches, Layout(blocks, code, within))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return compare(batches, Layout(blocks, code, within))
+
+    copies = nodes.select("fp").mapInArrow(replicated, "anchor long, fp long, near boolean")
     counts = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_at)
     # anchors beyond split_at, written so that the planner knows how few they are
     heavy = written(counts.select("anchor", F.ceil(F.col("rows") / split_at).cast("int").alias("tiles")), "heavy-anchors")
@@ -194,7 +217,7 @@ def links(nodes: DataFrame, split_at: int = 50_000) -> DataFrame:
     as_near = dealt.where("near").withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: own * F.col("tiles") + j)))
     as_other = dealt.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: i * F.col("tiles") + own)))
     tiled = as_near.where("tiles > 1").unionByName(as_other.where("tiles > 1").withColumn("near", F.lit(False))).unionByName(dealt.where("tiles = 1").withColumn("tile", F.lit(0)))
-    return tiled.select("anchor", "tile", "fp", "near").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile").mapInArrow(compare, "lo long, hi long")
+    return tiled.select("anchor", "tile", "fp", "near").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile").mapInArrow(compared, "lo long, hi long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -228,10 +251,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def near_duplicates(prints: DataFrame, split_at: int = 50_000) -> DataFrame:
+def near_duplicates(prints: DataFrame, split_at: int = 50_000, layout: Layout | None = None) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint of ``prints`` (id, fp): its component's smallest fingerprint and id."""
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = components(links(nodes, split_at))
+    roots = components(links(nodes, split_at, layout))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.where("root <> fp").groupBy("root").agg(F.min("first").alias("least"))
     # a root's own id joins the minimum of its other members
