@@ -78,8 +78,8 @@ def test_components_match_brute_force_on_near_prints(spark):
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     rows = spark.createDataFrame(list(zip(ids, signed)), "id long, fp long")
     want = dict(zip(signed, plain_components(ids, prints)))
-    for split_at in (50_000, 5):
-        got = {r.fp: r.component_id for r in simhash.near_duplicates(rows, split_at).collect()}
+    for split_at, layout in ((50_000, None), (5, simhash.NARROW), (50_000, simhash.WIDE), (5, simhash.WIDE)):
+        got = {r.fp: r.component_id for r in simhash.near_duplicates(rows, split_at, layout).collect()}
         assert got == {fp: min(c for f, c in zip(signed, plain_components(ids, prints)) if f == fp) for fp in want}
 
 
@@ -233,6 +233,37 @@ def test_block_lookup_is_complete():
         assert any(t[(p >> lo) & ((1 << (hi - lo)) - 1)].any() for (lo, hi), t in zip(index.blocks, index.lookup[30]))
 
 
+def test_items_of_any_length_are_found_at_the_threshold(spark):
+    """Recall against brute force where one or two words of a passage are other words; ids are strings."""
+    rows, items = [], []
+    for n in (14, 15, 16, 17, 20, 28, 40):
+        for j in range(25):
+            item = words(n, 20_000 + 100 * n + j)
+            items.append((f"i{n}-{j}", " ".join(item)))
+            at = j % 2 * (n - 1)
+            rows.append((len(rows), " ".join(words(30, 40_000 + len(rows)) + item[:at] + ["other"] + item[at + 1 :] + words(30, 50_000 + len(rows)))))
+    df, n = Counter(), len(items)
+    for _, t in items:
+        w = t.split()
+        df.update({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    want = {(i, items[i][0]) for i, t in rows for size in [len(items[i][1].split())] if max(plain_similarity(" ".join(t.split()[s : s + size]), items[i][1], df, n) for s in range(20, 41)) >= 0.8}
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("similarity", F.lit("clash"))
+    d = docs(spark, rows).withColumn("item_id", F.lit(1)).withColumn("hamming", F.lit(1))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(d, bench).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) > 100
+
+
+def test_many_items_of_one_length_need_little_memory():
+    import tracemalloc
+
+    index = decontaminate.Index([(i, " ".join(["which", "of", "the", "following", "is", *words(9, i)])) for i in range(3000)])
+    text = " ".join(x for i in range(4000) for x in ("which", "of", "the", "following", "is", *words(3, 90_000 + i)))
+    tracemalloc.start()
+    assert index.matches(text) == [] and index.matches(text + " which of the following is " + " ".join(words(9, 77)))[0][0] == 77
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 # --- 1 Toxicity ---
 
 
