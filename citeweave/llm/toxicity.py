@@ -1,9 +1,11 @@
 """Toxicity by a classifier chain of linear models.
 
 The chain predicts its categories in order. Each model is a logistic regression over the presence of character n-grams
-of a text's words (the words' ends are marked, so whole words, prefixes and suffixes are among them), plus the log-odds
+of a text's words (the words' ends are marked, so prefixes, suffixes and whole words, up to 64 characters with their
+marks, are among them), plus the log-odds
 that the chain has given so far. When a later model is trained, the log-odds of the earlier categories are out of fold:
-each labelled document is scored by a model that didn't see it. When texts are scored, the models fitted on all labelled
+each labelled document is scored by a model that didn't see it, neither for its weights nor in choosing the n-grams that
+it may use: each fold has candidates of its own. When texts are scored, the models fitted on all labelled
 rows pass on their own log-odds. The verdict on the last category is its probability against a threshold that is chosen
 on the out-of-fold probabilities.
 
@@ -12,7 +14,8 @@ a bounded sample, as are the n-gram candidates (``pool``). Everything else, scor
 texts, in one pass without a shuffle.
 
 Edge cases: a null or empty text has no n-grams and gets the models' intercepts; labels that are null don't train their
-category; labels of unknown ids and ids with several labels (the largest counts) are fine; without labelled rows of both
+category; labels of unknown ids and ids with several labels (the largest counts) are fine; of documents that share a labelled id
+the smallest text is fitted on; the marks' own characters count as white space in texts; without labelled rows of both
 classes a category's probability is its smoothed rate and no document is rejected; only named columns are used, so
 others can't clash.
 """
@@ -33,6 +36,8 @@ from citeweave.llm.common import Shipped, pieces, written
 MAX_LABELLED, POOL, FEATURES, FOLDS = 8_000, 2_000, 1_000, 4
 GRAMS = (3, 4, 5, 6)
 _LONG = 64
+#: Bytes in lower case, the marks as white space.
+_CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\x02\x03", b"abcdefghijklmnopqrstuvwxyz  ")
 
 
 def grams(word: str) -> set[str]:
@@ -56,7 +61,7 @@ class _Presence:
         self.any = bool(index)
 
     def __call__(self, text: bytes | None) -> list[int]:
-        words = set(text.lower().split()) if text and self.any else None  # of bytes: ASCII letters, ASCII white space
+        words = set(text.translate(_CLEAN).split()) if text and self.any else None  # of bytes: ASCII letters, ASCII white space
         if not words:
             return []
         # the marks around words keep n-grams, which hold none inside, within one word
@@ -138,9 +143,10 @@ class Chain:
     def __init__(self, names: list[str], vocabulary: list[str], models: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> None:
         self.names, self.vocabulary, self.models, self.threshold = names, vocabulary, models, threshold
         self._presence: _Presence | None = None
+        self.out_of_fold: dict = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_presence": None}
+        return self.__dict__ | {"_presence": None, "out_of_fold": {}}
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         if self._presence is None:
@@ -166,9 +172,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     chosen = written(chosen.withColumn("rank", ranked).orderBy("rank", "_id").limit(max_labelled), "labelled")
     # at most max_labelled rows of a few bytes
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull()).join(F.broadcast(chosen), "_id")
+    # one text for each id, so no more rows than labels
+    rows = rows.groupBy("_id", *(f"y{k}" for k in range(len(names)))).agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(folds)).cast("int"))
     rows = written(rows, "training")
-    tokens = rows.select("fold", *(f"y{k}" for k in range(len(names))), F.explode(F.array_distinct(F.split(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"))).alias("word")).where("word <> ''")
+    tokens = rows.select("fold", *(f"y{k}" for k in range(len(names))), F.explode(F.array_distinct(F.split(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x02\x03", "abcdefghijklmnopqrstuvwxyz  "), r"[\x20\x09-\x0D]+"))).alias("word")).where("word <> ''")
     columns = [F.count(F.when((F.col("fold") == f) & (F.col(f"y{k}") == v), 1)).alias(f"c{k}_{f}_{v}") for k in range(len(names)) for f in range(folds) for v in (0, 1)]
     words = tokens.groupBy("word").agg(*columns)
     cells = [c for c in words.columns if c != "word"]
@@ -183,17 +191,25 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
 
     counts = words.mapInArrow(spread, ", ".join(["gram string", *(f"{c} long" for c in cells)])).groupBy("gram").agg(*(F.sum(c).alias(c) for c in cells))
     totals = rows.agg(*(F.count(F.when((F.col("fold") == f) & (F.col(f"y{k}") == v), 1)).alias(f"c{k}_{f}_{v}") for k in range(len(names)) for f in range(folds) for v in (0, 1))).first().asDict()
-    n = {(k, v): sum(totals[f"c{k}_{f}_{v}"] for f in range(folds)) for k in range(len(names)) for v in (0, 1)}
+    candidates: dict[tuple[int, int | None], set[str]] = {}
     best: dict[str, list[int]] = {}
     counts = written(counts.where(sum(F.col(c) for c in cells[: 2 * folds]) >= 3), "grams")
     for k in range(len(names)):
-        pos, neg = (sum(F.col(f"c{k}_{f}_{v}") for f in range(folds)).cast("double") for v in (1, 0))
-        share = n[k, 1] / max(1, n[k, 1] + n[k, 0])
-        lift = lambda c, s: F.when(c > 0, c * F.log(c / ((pos + neg) * F.lit(max(s, 1e-9))))).otherwise(0.0)
-        stat = lift(pos, share) + lift(neg, 1 - share)
-        for row in counts.orderBy(stat.desc(), "gram").limit(pool).collect():  # at most ``pool`` rows
-            best[row["gram"]] = [row[c] for c in cells]
+        for out in (None, *range(folds)):
+            if out is not None and not any(totals[f"c{k}_{out}_{v}"] for v in (0, 1)):
+                continue
+            used = [f for f in range(folds) if f != out]
+            pos, neg = (sum((F.col(f"c{k}_{f}_{v}") for f in used), F.lit(0)).cast("double") for v in (1, 0))
+            n = [sum(totals[f"c{k}_{f}_{v}"] for f in used) for v in (0, 1)]
+            share = n[1] / max(1, sum(n))
+            lift = lambda c, s: F.when(c > 0, c * F.log(c / ((pos + neg) * F.lit(max(s, 1e-9))))).otherwise(0.0)
+            stat = lift(pos, share) + lift(neg, 1 - share)
+            often = sum((F.col(f"c0_{f}_{v}") for f in used for v in (0, 1)), F.lit(0)) >= 3
+            for row in counts.where(often).orderBy(stat.desc(), "gram").limit(pool).collect():  # at most ``pool`` rows
+                best[row["gram"]] = [row[c] for c in cells]
+                candidates.setdefault((k, out), set()).add(row["gram"])
     vocabulary = sorted(best)
+    allowed = {key: np.array([g in own for g in vocabulary], bool) for key, own in candidates.items()}
     stats = np.array([best[g] for g in vocabulary], np.float64).reshape(len(vocabulary), len(names), folds, 2)
     sent = Shipped(docs.sparkSession, vocabulary)
 
@@ -204,7 +220,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("fold"), *(batch.column(f"y{k}") for k in range(len(names))), pa.array(own, pa.list_(pa.int32()))], ["_id", "fold", *(f"y{k}" for k in range(len(names))), "own"])
 
     schema = ", ".join([f"_id {dict(rows.dtypes)['_id']}", "fold int", *(f"y{k} int" for k in range(len(names))), "own array<int>"])
-    sample = rows.mapInArrow(present, schema).toArrow().sort_by("_id")  # feature numbers of at most max_labelled labelled documents (and rows that repeat their ids)
+    sample = rows.mapInArrow(present, schema).toArrow().sort_by("_id")  # feature numbers of at most max_labelled documents
     own = [sorted(x) for x in sample["own"].to_pylist()]
     fold = sample["fold"].to_numpy()
     logits = np.zeros((len(own), len(names)))
@@ -220,7 +236,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
             if not pos or not neg:
                 w[-1] = math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -4.0
                 return w
-            chosen = _choose(_association(part[:, 1], part[:, 0], pos, neg), features)
+            mine = allowed.get((k, fold_out), np.zeros(len(vocabulary), bool))
+            chosen = _choose(np.where(mine, _association(part[:, 1], part[:, 0], pos, neg), -1.0), min(features, int(mine.sum())))
             place = np.full(len(vocabulary), -1)
             place[chosen] = np.arange(len(chosen))
             at = np.flatnonzero(known)
@@ -240,7 +257,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
         logits[:, k] = np.clip(out, -12, 12)
         if k == len(names) - 1:
             threshold = _threshold(_sigmoid(logits[:, k]), y)
-    return Chain(names, vocabulary, models, threshold)
+    chain = Chain(names, vocabulary, models, threshold)
+    chain.out_of_fold = dict(zip(sample["_id"].to_pylist(), logits.tolist()))  # for tests; not sent to executors
+    return chain
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
