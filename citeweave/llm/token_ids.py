@@ -10,15 +10,18 @@ reading the rest.
 The first id of a document in the whole output is its ``local_start`` plus the ids of all ranges before: a sum over
 one row for each file.
 
-Encoding is the library's, with what it made of each piece remembered (see Encoder).
+Encoding is the library's; for the tokenizers whose split is known here (no normalizer, byte-level pieces, byte-pair
+merges) what it made of each piece is remembered (see Encoder), for others every text goes to the library whole.
 
 Edge cases: a null or empty text has the end id only; equal ids are ordered by text; null ids come first; an empty
-table gives an empty result; other columns aren't read. Lost tasks are retried and committed by Spark's writer.
+table gives an empty result; other columns aren't read. ``parts`` is the number of
+files (default: the session's shuffle partitions). Lost tasks are retried and committed by Spark's writer.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import sys
@@ -52,6 +55,15 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def splits_as_known(settings: dict) -> bool:
+    """Whether a tokenizer's settings (its file's JSON) are those that _SPLIT and the byte alphabet stand for."""
+    model, before = settings.get("model") or {}, settings.get("pre_tokenizer") or {}
+    plain = settings.get("normalizer") is None and not settings.get("truncation") and not settings.get("padding")
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merges = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return bool(plain and level and merges)
+
+
 def _process_cache() -> dict[str, dict]:
     """What this process remembers between tasks."""
     return sys.modules.setdefault("_citeweave_process_cache", ModuleType("_citeweave_process_cache")).__dict__
@@ -73,8 +85,7 @@ class Encoder:
         if not own:
             tokenizer = Tokenizer.from_file(path)
             model = tokenizer.model
-            model._resize_cache(0)  # it would only see pieces that are new
-            own |= {"tokenizer": tokenizer, "model": model, "special": [t.content for t in tokenizer.get_added_tokens_decoder().values()], "new": {}, "old": {}}
+            own |= {"tokenizer": tokenizer, "model": model, "known": splits_as_known(json.loads(tokenizer.to_str())), "special": [t.content for t in tokenizer.get_added_tokens_decoder().values()], "new": {}, "old": {}}
         self.own, self.tokenizer, self.special, self.model = own, own["tokenizer"], own["special"], own["model"]
         self.alphabet = _byte_alphabet()
         self.end = np.uint32(end_id).astype("<u4").tobytes()
@@ -91,7 +102,7 @@ class Encoder:
         if len(own["new"]) > _CACHE_PIECES:
             own["old"], own["new"] = own["new"], {}
         known, old = own["new"], own["old"]
-        split = [None if not t or _OTHER.search(t) or any(s in t for s in self.special) else _SPLIT(t) for t in texts]
+        split = [None if not t or not own["known"] or _OTHER.search(t) or any(s in t for s in self.special) else _SPLIT(t) for t in texts]
         pieces_: set[str] = set()
         for found in split:
             if found:
@@ -117,17 +128,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and full collections would walk the remembered pieces
-        encoder, part, at = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "_text", 4 << 20):
-            ids = encoder(batch.column("_text").to_pylist())
-            sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
-            ends = np.cumsum(sizes)
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
-            crc = pa.array([zlib.crc32(i) for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), crc, lists], ["_id", "part", "local_start", "n_tokens", "crc", "ids"])
-            at += int(ends[-1])
-        gc.enable()
+        try:
+            encoder, part, at = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+            for batch in pieces(batches, "_text", 4 << 20):
+                ids = encoder(batch.column("_text").to_pylist())
+                sizes = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+                ends = np.cumsum(sizes)
+                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
+                crc = pa.array([zlib.crc32(i) for i in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), crc, lists], ["_id", "part", "local_start", "n_tokens", "crc", "ids"])
+                at += int(ends[-1])
+        finally:
+            gc.enable()
 
     kind = dict(source.dtypes)["_id"]
     files = dealt.mapInArrow(run, f"_id {kind}, part int, local_start long, n_tokens long, crc long, ids array<int>").withColumnRenamed("_id", id_col)
