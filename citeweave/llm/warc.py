@@ -40,7 +40,8 @@ def base32_sha1(payload) -> F.Column:
 
 
 def _identity(id_):
-    return F.concat(F.lit("<urn:page:"), F.coalesce(id_.cast("string"), F.lit("null")), F.lit(">"))
+    """An id as a name in a header: percent-encoded, so that it may hold any character."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(id_.cast("string")), F.lit("")), F.lit(">"))
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = DATE) -> None:
@@ -59,8 +60,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     safe_url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
     header = F.concat(
         F.lit(f"{VERSION}\r\n"), line("WARC-Type", F.col("type")), line("WARC-Record-ID", _identity(F.col("id"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", safe_url),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")), line("WARC-Block-Digest", F.concat(F.lit("sha256:"), "address")), F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _identity(F.col("refers_to"))))).otherwise(""),
-        line("Content-Type", F.lit("text/html; charset=utf-8")), line("WARC-Payload-Length", F.col("bytes").cast("string")), line("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))), F.lit("\r\n"),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")), line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.when(revisit, F.sha2(F.lit(b""), 256)).otherwise(F.col("address")))), F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _identity(F.col("refers_to"))))).otherwise(""),
+        line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))), F.lit("\r\n"),
     )
     records.select("id", "type", "refers_to", "address", F.encode(header, "UTF-8").alias("header")).write.options(compression="zstd").parquet(f"{path}/records")
     # each payload once: the rows of the smallest id. Address and id deal the rows out, so copies don't meet in one
@@ -107,7 +108,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     write(pages, path, id_col, url_col, html_col, min_bytes)
     found = payloads(spark, path).select("address", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "verified")
     head = F.decode("header", "UTF-8")
-    read = records(spark, path).select("id", "address", field(head, "WARC-Type").alias("record_type"), F.nullif(F.regexp_extract(field(head, "WARC-Refers-To"), r"^<urn:page:(.*)>$", 1), F.lit("")).alias("refers"))
+    read = records(spark, path).select("id", "address", field(head, "WARC-Type").alias("record_type"), F.when(field(head, "WARC-Type") == "revisit", F.url_decode(F.regexp_extract(field(head, "WARC-Refers-To"), r"^<urn:page:(.*)>$", 1))).alias("refers"))
     kind = dict(pages.dtypes)[id_col]
     back = read.join(found, "address", "left")
     checked = F.when(F.coalesce("verified", F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("payload missing or damaged: "), "address")))

@@ -310,6 +310,34 @@ def test_chain_feeds_earlier_probabilities(chain):
     assert len(fitted.models[0][1]) == 1 and len(fitted.models[1][1]) == 2
 
 
+def test_out_of_fold_odds_are_of_a_model_without_the_fold(spark):
+    """Each labelled row's odds equal those of a chain that never saw the row's fold, whatever the fold's labels say."""
+    rows, labels = [], []
+    for i in range(160):
+        w = words(12, 3000 + i)
+        if i % 4 == 0:
+            w[3] = "vile" + w[0][:2]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    d = docs(spark, rows).withColumn("_text", F.lit("clash")).withColumn("fold", F.lit(7)).withColumn("word", F.lit("w"))
+    table = lambda ls: spark.createDataFrame(ls, "doc_id long, toxic int")
+    folds = {r.doc_id: r.f for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    whole = toxicity.fit_chain(d, table(labels), {"toxic": "toxic"}, pool=60, features=40)
+    without = toxicity.fit_chain(d, table([x for x in labels if folds[x[0]] != 0]), {"toxic": "toxic"}, pool=60, features=40)
+    held = [i for i, _ in rows if folds[i] == 0]
+    got = {r.doc_id: r.p_toxic for r in toxicity.scored(d, without).collect()}
+    assert held and all(abs(1 / (1 + np.exp(-whole.out_of_fold[i][0])) - got[i]) < 1e-6 for i in held)
+    flipped = toxicity.fit_chain(d, table([(i, 1 - t if folds[i] == 0 else t) for i, t in labels]), {"toxic": "toxic"}, pool=60, features=40)
+    assert all(abs(flipped.out_of_fold[i][0] - whole.out_of_fold[i][0]) < 1e-6 for i in held)
+
+
+def test_marks_in_texts_are_white_space(spark, chain):
+    _, _, fitted = chain
+    rows = docs(spark, [(1, "ab\x02vilecd\x03ef"), (2, "ab vilecd ef")])
+    a, b = (r.p_toxic for r in toxicity.scored(rows, fitted).orderBy("doc_id").collect())
+    assert a == b
+
+
 # --- 2 Mixing ---
 
 
@@ -689,6 +717,17 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in small.collect()} == {"response"}
 
 
+def test_string_ids_and_block_digests(spark):
+    rows = [("", "same"), ("b\r\nX: y", "same"), ("ü/%41", "other"), ("z%", "other"), (None, "same")]
+    pages = spark.createDataFrame([(i, "http://a", t) for i, t in rows], "page_id string, url string, html string").withColumn("payload", F.lit("clash")).withColumn("id", F.lit(1))
+    path = common.fresh_path(spark, "warc-test")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages, path=path).collect()}
+    assert got == {("", "response", None), ("b\r\nX: y", "revisit", ""), ("z%", "response", None), ("ü/%41", "revisit", "z%"), (None, "revisit", "")}
+    for r in warc.reconstruct(spark, path).collect():
+        head, _, block = bytes(r.record).partition(b"\r\n\r\n")
+        assert re.search(rb"WARC-Block-Digest: sha256:(\w+)", head)[1].decode() == hashlib.sha256(block[:-4]).hexdigest() and b"\r\nX: y" not in head
+
+
 def test_damaged_payload_is_found(spark):
     pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
     path = common.fresh_path(spark, "warc-test")
@@ -860,6 +899,26 @@ def test_metadata_reads_skip_ids(spark):
     assert "RLE_DICTIONARY" in ids.encodings and ids.has_offset_index and ids.has_column_index
 
 
+def test_tokenizers_with_other_settings_go_to_the_library(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    settings = json.loads(open(tokenizer_path()).read())
+    assert token_ids.splits_as_known(settings)
+    rows = [(i, t) for i, t in enumerate(["Hello World it's", "ÀB  12 x", "", "MiXed\n\nCASE"])]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = str(tmp_path / "changed.json")
+        with open(path, "w") as f:
+            json.dump(settings | change, f)
+        assert not token_ids.splits_as_known(settings | change)
+        plain = Tokenizer.from_file(path)
+        encoder = token_ids.Encoder(path)
+        token_ids._process_cache().pop(path)
+        want = [np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows]
+        assert encoder([t for _, t in rows]) == want
+
+
 # --- 10 Media ---
 
 
