@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 from citeweave.functions import columns as C
 from citeweave.operators.ordering import top_values
+from citeweave.operators.profiling import quantiles
+
+
+KNOWN_TOKENS = 200_000
 
 
 def fold_top(rows: DataFrame, column: str, train: DataFrame | None = None, n: int = 5, other: str = "Other") -> DataFrame:
@@ -66,6 +70,8 @@ def hash_tokens_murmur(rows: DataFrame, column: str, n: int = 16) -> DataFrame:
             for row, tokens in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
                 for t in tokens or ():
                     if t not in known:
+                        if len(known) >= KNOWN_TOKENS:
+                            known.clear()
                         h = murmur3_32(t.encode())
                         known[t] = abs(h) % n, 1.0 if h >= 0 else -1.0
                     out[row, known[t][0]] += known[t][1]
@@ -75,9 +81,9 @@ def hash_tokens_murmur(rows: DataFrame, column: str, n: int = 16) -> DataFrame:
 
 
 def robust_statistics(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Median and interquartile range (1 where it is 0) of each column; exact, one pass."""
-    row = train.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns)).first()
-    return {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) if row[c] else (0.0, 1.0) for c in columns}
+    """Median and interquartile range (1 where it is 0) of each column; exact."""
+    found = quantiles(train, columns, (0.25, 0.5, 0.75))
+    return {c: (q[1], (q[2] - q[0]) or 1.0) if q else (0.0, 1.0) for c, q in found.items()}
 
 
 def robust_scale(rows: DataFrame, statistics: dict[str, tuple[float, float]]) -> DataFrame:

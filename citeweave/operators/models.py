@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.operators import encoding, metrics, neighbours
@@ -106,6 +106,11 @@ class Forest(Classifier):
 
 
 class Logistic(Classifier):
+    """With a penalty of 1 for all rows together, as is usual: half the squared weights beside the sum of losses."""
+
+    def _fit(self, rows: DataFrame, params: dict) -> PipelineModel:
+        return super()._fit(rows, params if "regParam" in params else params | {"regParam": 1 / max(1, rows.count())})
+
     def estimator(self, **params):
         return LogisticRegression(labelCol=self.label, featuresCol="features", **({"maxIter": 300, "standardization": False} | params))
 
@@ -119,8 +124,17 @@ class Perceptron(Classifier):
         return [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), MultilayerPerceptronClassifier(labelCol=self.label, featuresCol="scaled", layers=layers, seed=42, **rest)]
 
 
-def knn_classify(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, k: int = 5, exclude_self: bool = True) -> DataFrame:
-    """(query, prediction): the majority label of the k nearest rows (Euclidean), ties by label."""
-    near = neighbours.best_by_distance(queries, base, key, vector, k, exclude_self, keep=[label])
-    votes = near.groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
+def knn_classify(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, k: int = 5, exclude_self: bool = True, weights: str = "uniform", power: float = 2.0) -> DataFrame:
+    """(query, prediction): the label with most votes of the k nearest rows (Minkowski distance of ``power``), ties by label.
+
+    Votes count alike (uniform), or by the inverse of the distance; then rows at distance 0, if any, decide alone.
+    """
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"unknown weights {weights}")
+    near = neighbours.best_by_distance(queries, base, key, vector, k, exclude_self, keep=[label], power=power)
+    vote = F.lit(1.0)
+    if weights == "distance":
+        near = near.withColumn("_least", F.min("distance").over(Window.partitionBy("query")))
+        vote = F.when(F.col("_least") == 0, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
+    votes = near.groupBy("query", label).agg(F.round(F.sum(vote), 9).alias("n"))
     return votes.groupBy("query").agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("prediction"))

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of a bounded set of queries against any number of rows."""
+"""Exact nearest neighbours of stated queries against any number of rows, MAX_QUERIES at a time: each block is one pass over the rows."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndar
         yield np.array(keys), np.array(vectors, np.float64)
 
 
-def _best(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, euclidean: bool, exclude_self: bool, keep: Sequence[str]) -> DataFrame:
+def _best(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, power: float | None, exclude_self: bool, keep: Sequence[str]) -> DataFrame:
     kinds = dict(base.dtypes)
     schema = f"query {kinds[key]}, neighbour {kinds[key]}, score double" + "".join(f", {c} {kinds[c]}" for c in keep)
     out = None
@@ -45,8 +45,10 @@ def _best(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, eu
                 for at in range(0, len(q), 512):
                     # term by term, not as a matrix product, so that a score doesn't depend on how rows are batched
                     part = q[at : at + 512]
-                    if euclidean:
+                    if power == 2:
                         s = -np.sqrt(sum((part[:, None, d] - x[None, :, d]) ** 2 for d in range(x.shape[1])))
+                    elif power is not None:
+                        s = -(sum(np.abs(part[:, None, d] - x[None, :, d]) ** power for d in range(x.shape[1])) ** (1 / power))
                     else:
                         dot = sum(part[:, None, d] * x[None, :, d] for d in range(x.shape[1]))
                         size = norms[at : at + 512, None] * np.linalg.norm(x, axis=1)[None, :]
@@ -83,8 +85,9 @@ def _cut(rows: pa.Table, k: int) -> pa.Table:
 
 
 def best_by_cosine(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    return _best(queries, base, key, vector, k, False, exclude_self, keep).withColumnRenamed("score", "cosine")
+    return _best(queries, base, key, vector, k, None, exclude_self, keep).withColumnRenamed("score", "cosine")
 
 
-def best_by_distance(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    return _best(queries, base, key, vector, k, True, exclude_self, keep).withColumn("distance", -F.col("score")).drop("score")
+def best_by_distance(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, keep: Sequence[str] = (), power: float = 2.0) -> DataFrame:
+    """By Minkowski distance of ``power``: 2 Euclidean, 1 Manhattan."""
+    return _best(queries, base, key, vector, k, power, exclude_self, keep).withColumn("distance", -F.col("score")).drop("score")

@@ -75,11 +75,13 @@ def fill_gaps(authorship: DataFrame, records: DataFrame) -> DataFrame:
     organisation by the original id and the year.
     """
     name_official, official_id, id_official, id_org = lookups(records)
-    out = authorship.join(name_official.withColumnRenamed("official_name", "_official"), "name", "left")
-    out = out.withColumn("new_name", F.coalesce("_official", "name"))
-    out = out.join(official_id.select(F.col("official_name").alias("new_name"), F.col("id").alias("_id")), "new_name", "left").withColumn("new_id", F.coalesce("author_id", "_id"))
-    out = out.join(id_official.select(F.col("id").alias("author_id"), F.col("official_name").alias("_by_id")), "author_id", "left").withColumn("new_name", F.coalesce("new_name", "_by_id"))
-    out = out.join(id_org.select(F.col("id").alias("author_id"), "year", F.col("org").alias("_org")), ["author_id", "year"], "left")
+    # many names and ids are null: each goes to a key of its own, so that they don't meet in one task
+    spread = lambda c: F.coalesce(c, F.concat(F.lit("\0"), F.xxhash64("paper_id", "pos").cast("string")))
+    out = authorship.withColumn("_key", spread(F.col("name"))).join(name_official.select(F.col("name").alias("_key"), F.col("official_name").alias("_official")), "_key", "left")
+    out = out.withColumn("new_name", F.coalesce("_official", "name")).withColumn("_key", spread(F.col("new_name")))
+    out = out.join(official_id.select(F.col("official_name").alias("_key"), F.col("id").alias("_id")), "_key", "left").withColumn("new_id", F.coalesce("author_id", "_id"))
+    out = out.withColumn("_key", spread(F.col("author_id"))).join(id_official.select(F.col("id").alias("_key"), F.col("official_name").alias("_by_id")), "_key", "left").withColumn("new_name", F.coalesce("new_name", "_by_id"))
+    out = out.join(id_org.select(F.col("id").alias("_key"), "year", F.col("org").alias("_org")), ["_key", "year"], "left")
     return out.select("paper_id", "pos", "year", F.col("new_id").alias("author_id"), F.col("new_name").alias("name"), F.coalesce("org", "_org").alias("org"))
 
 

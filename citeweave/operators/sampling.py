@@ -113,6 +113,12 @@ def random_split(rows: DataFrame, seed: object, key: str, train_of_ten: int = 8)
     return rows.withColumn("split", F.when(C.keyed_number(10, seed, F.col(key)) < train_of_ten, "train").otherwise("test"))
 
 
+def stratified_split(rows: DataFrame, target: str, seed: object, key: str, train_share: float = 0.8) -> DataFrame:
+    """The same share of each class in train, in hash order; what doesn't make a whole row is test."""
+    quotas = rows.groupBy(target).agg(F.floor(F.lit(train_share) * F.count(F.lit(1))).cast("long").alias("quota"))
+    return mark_first(rows, target, quotas, seed, key).withColumn("split", F.when(F.col("_first"), "train").otherwise("test")).drop("_first")
+
+
 def one_of_each_and_more(rows: DataFrame, target: str, n: int, seed: object, key: str) -> DataFrame:
     """A sample with one row of each class at least: those first, the rest in hash order."""
     order = F.struct(*hash_order(seed, key))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
@@ -39,8 +39,14 @@ def inverse_frequencies(terms: DataFrame, vocab: DataFrame, key: str, n_rows: in
 def tfidf(terms: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, term, weight), each row of unit length."""
     counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    lengths = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return counts.join(lengths, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return counts.select(key, "term", (F.col("raw") / length).alias("weight"))
+
+
+def vector_of(spark: SparkSession, value: str, idf: DataFrame) -> DataFrame:
+    """(term, weight) of a single text; no row if it has none of the terms."""
+    one = spark.createDataFrame([(0, value)], "_key long, _text string")
+    return tfidf(tokens(one, "_key", "_text"), idf, "_key").drop("_key")
 
 
 def pair_cosine(pairs: DataFrame, weights: DataFrame, key: str, left: str, right: str) -> DataFrame:
@@ -72,12 +78,12 @@ def svd(weights: DataFrame, vocab: DataFrame, key: str, k: int):
     if k >= size:
         raise ValueError("k must be less than the number of terms")
     index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i long, term string")
-    rows = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("v"))
+    rows = weights.join(index, "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("v"))
     matrix = RowMatrix(rows.select("v").rdd.map(lambda r: OldVectors.sparse(size, [(int(x["i"]), float(x["weight"])) for x in r["v"]])))
     v = np.array(matrix.computeSVD(k, computeU=False).V.toArray())
     v *= np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     loadings = weights.sparkSession.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(terms)], "term string, load array<double>")
-    parts = weights.join(F.broadcast(loadings), "term").select(key, F.posexplode(F.transform("load", lambda x: x * F.col("weight"))).alias("c", "x"))
+    parts = weights.join(loadings, "term").select(key, F.posexplode(F.transform("load", lambda x: x * F.col("weight"))).alias("c", "x"))
     sums = parts.groupBy(key, "c").agg(F.sum("x").alias("x"))
     return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"].cast("float")).alias("embedding"))
 
@@ -116,7 +122,7 @@ def classic_matrix(pairs: DataFrame, weights: DataFrame, vocab: DataFrame, key:
 
     terms = [r["term"] for r in vocab.orderBy("term").collect()]
     index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
-    mapped = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
+    mapped = weights.join(index, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
     dense = mapped.select(key, F.transform(F.sequence(F.lit(0), F.lit(len(terms) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("v"))
     zero = F.array_repeat(F.lit(0.0), len(terms))
     out = pairs.join(pair_cosine(pairs, weights, key, left, right), [left, right])

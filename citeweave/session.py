@@ -24,6 +24,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``; our own where it is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="citeweave-"))
         base = _own_folder[0]

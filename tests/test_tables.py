@@ -130,10 +130,13 @@ def test_checkpoint_and_point_read(spark, tmp_path):
     assert sources.file_schema(spark, str(tmp_path / "d")).names == ["id", "year", "n_pages"] and sources.peek(spark, str(tmp_path / "d"), 2).count() == 2
 
 
-def test_chunk_helpers(spark):
-    assert sources.chunk_paths("x_{}.parquet", start=1, end=3) == ["x_1.parquet", "x_2.parquet", "x_3.parquet"]
+def test_chunk_helpers(spark, tmp_path):
+    template = f"file://{tmp_path}/chunk_{{}}"
+    for k in range(1, 4):
+        spark.range(k).write.parquet(template.format(k))
+    assert [sources.read_chunks(spark, template, end=3).count(), sources.read_chunks(spark, template, start=2, end=3).count(), sources.read_chunks(spark, template, parts=[3, 1]).count()] == [6, 5, 4]
     with pytest.raises(ValueError):
-        sources.chunk_paths("x_{}")
+        sources.read_chunks(spark, "x_{}")
     with pytest.raises(ValueError):
         sources.chunk_sequence([1], 0)
     assert sources.chunk_sequence([1, 2, 3], 2) == [[1, 2], [3]]
@@ -155,3 +158,40 @@ def test_arrivals_are_cleaned_once(spark, tmp_path):
     go()
     got = {(r.id, r.venue) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("1", None), ("3", None)}
+
+
+def test_quantiles_beyond_what_is_gathered_at_once(spark):
+    import numpy as np
+
+    from citeweave.operators.profiling import quantiles
+
+    rng = np.random.default_rng(1)
+    a, b = rng.lognormal(0, 3, 3001), np.r_[np.full(2000, 5.0), rng.normal(0, 1, 1001)]
+    rows = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)] + [(None, 1.0, None)], "a double, b double, c double")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    for at_once in (10_000, 40):
+        got = quantiles(rows, ["a", "b", "c"], shares, at_once, bins=16)
+        assert got["c"] is None and np.allclose(got["a"], np.quantile(a, shares)) and np.allclose(got["b"], np.quantile(np.r_[b, 1.0], shares))
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from citeweave.session import shared_path
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_path(session, "x")
+
+
+def test_library_works_without_the_optional_part(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/citeweave", tmp_path / "citeweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, check=True)
