@@ -92,6 +92,16 @@ def slug(c: Column) -> Column:
     return F.when(out != "", out).otherwise("default")
 
 
+#: Parts of a table's name, and the folder of its models; the first that fits counts.
+FAMILIES = (("embeddings", ("embedding", "textual")), ("graph_based", ("graph",)), ("mix", ("mix", "mixed", "hybrid")), ("normal", ("normal", "classic", "raw", "exploded")))
+
+
+def feature_family(name: Column) -> Column:
+    """The family of a feature table by its name; the name's slug if none fits."""
+    value = slug(name)
+    return F.coalesce(*(F.when(value.rlike("|".join(parts)), family) for family, parts in FAMILIES), value)
+
+
 def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
 

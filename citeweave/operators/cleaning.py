@@ -64,6 +64,22 @@ def select_split(rows: DataFrame, split: str) -> DataFrame:
     return rows.where(F.lower(F.trim("split")).isin(*names))
 
 
+def train_and_test(rows: DataFrame, *order: str, train_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Train and the rest by the split's names; where either is missing, the first part of the rows by ``order``."""
+    if "split" in rows.columns:
+        name = F.lower("split")
+        train, test = rows.where(name.isin("train", "training")), rows.where(name.isin("test", "validation", "val"))
+        if not train.isEmpty() and not test.isEmpty():
+            return train, test
+    from citeweave.operators.ordering import dense_index
+
+    marked = rows.withColumn("_o", F.struct(*order))
+    index, n = dense_index(marked, "_o")
+    placed = marked.join(index, "_o")
+    cut = int(n * train_share)
+    return tuple(placed.where(side).drop("_o", "idx") for side in (F.col("idx") < cut, F.col("idx") >= cut))
+
+
 def numeric_columns(rows: DataFrame) -> list[str]:
     return [f.name for f in rows.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "boolean")]
 

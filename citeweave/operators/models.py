@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeweave.functions import columns as C
 from citeweave.operators import encoding, metrics, neighbours
 
 
@@ -138,3 +139,46 @@ def knn_classify(queries: DataFrame, base: DataFrame, key: str, vector: str, lab
         vote = F.when(F.col("_least") == 0, (F.col("distance") == 0).cast("double")).otherwise(1 / F.col("distance"))
     votes = near.groupBy("query", label).agg(F.round(F.sum(vote), 9).alias("n"))
     return votes.groupBy("query").agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("prediction"))
+
+
+def sgd_step(rows: DataFrame, features: Sequence[str], label: str, start: Sequence[float] | None = None, rate: float = 0.01, penalty: float = 1e-4, batch: int = 64) -> list[float]:
+    """One more pass of logistic regression by gradient descent: the new weights, intercept last.
+
+    Each partition goes once through its rows in small batches from the ``start`` weights (zeros at first), and the
+    partitions' weights are averaged by rows. Null features are 0; rows without a label don't count. What reaches the
+    driver is one vector.
+    """
+    import numpy as np
+
+    begin = np.zeros(len(features) + 1) if start is None else np.array(start, dtype=float)
+    if len(begin) != len(features) + 1:
+        raise ValueError("start needs a weight for each feature and the intercept")
+
+    def walked(batches):
+        import pyarrow as pa
+
+        w, n = begin.copy(), 0
+        for found in batches:
+            x = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in found.columns[:-1]), np.ones(found.num_rows)])
+            y = found.columns[-1].to_numpy(zero_copy_only=False)
+            for at in range(0, len(y), batch):
+                part = x[at : at + batch]
+                p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+                shrink = np.append(penalty * w[:-1], 0.0)
+                w -= rate * (part.T @ (p - y[at : at + batch]) + shrink * len(part))
+            n += len(y)
+        if n:
+            yield pa.RecordBatch.from_pydict({"w": pa.array([w.tolist()], pa.list_(pa.float64())), "n": pa.array([n], pa.int64())})
+
+    known = rows.where(F.col(label).isNotNull()).select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("_y"))
+    parts = known.mapInArrow(walked, "w array<double>, n long").select(F.posexplode("w").alias("i", "w"), "n")
+    means = parts.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).orderBy("i").collect()
+    return [r["w"] for r in means] or begin.tolist()
+
+
+def sgd_probability(features: Sequence[str], weights: Sequence[float]):
+    """The probability of class 1 as a column, by ``sgd_step``'s weights."""
+    total = F.lit(float(weights[-1]))
+    for f, w in zip(features, weights):
+        total = total + F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * float(w)
+    return C.sigmoid(total)

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
+from citeweave.session import written
 
 STOP_WORDS = ("english", "the")
 
 
-def tokens(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term): runs of two word characters or more, lower-cased, without stop words; n-grams of what is left."""
+def tokens(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, term): runs of two word characters or more, lower-cased, without stop words; n-grams of what is left.
+
+    ``stop_words`` are words, or the name of a language whose list MLlib has ("english").
+    """
+    if isinstance(stop_words, str):
+        from pyspark.ml.feature import StopWordsRemover
+
+        stop_words = StopWordsRemover.loadDefaultStopWords(stop_words)
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})")), lambda w: ~w.isin(*stop_words))
 
     def runs(n: int):
@@ -63,31 +71,48 @@ def embedding_statistics(rows: DataFrame, vector: str) -> DataFrame:
     return rows.select(C.norm(F.col(vector)).alias("n")).agg(F.round(F.avg("n"), 6).alias("norm_mean"), F.round(F.stddev_pop("n"), 6).alias("norm_std"))
 
 
-def svd(weights: DataFrame, vocab: DataFrame, key: str, k: int):
-    """(key, embedding) by truncated SVD of the weights; V's columns have their largest entry positive.
+def fit_svd(weights: DataFrame, vocab: DataFrame, key: str, k: int, gram_terms: int = 2000) -> DataFrame:
+    """(term, load): the right vectors of a truncated SVD; each component's largest entry is positive.
 
-    The right vectors come from MLlib's distributed decomposition; only V (vocabulary x k) is on the driver.
+    Up to ``gram_terms`` terms they are the eigenvectors of the Gram matrix, which is summed in one pass (32 MB on the
+    driver at 2,000); beyond, MLlib's iterations pass over the rows and only V (vocabulary x k) is on the driver.
     """
     import numpy as np
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    from pyspark.mllib.linalg import Vectors as OldVectors
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     terms = [r["term"] for r in vocab.orderBy("term").collect()]
     size = len(terms)
     if k >= size:
         raise ValueError("k must be less than the number of terms")
-    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i long, term string")
-    rows = weights.join(index, "term").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("v"))
-    matrix = RowMatrix(rows.select("v").rdd.map(lambda r: OldVectors.sparse(size, [(int(x["i"]), float(x["weight"])) for x in r["v"]])))
-    v = np.array(matrix.computeSVD(k, computeU=False).V.toArray())
-    v *= np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    loadings = weights.sparkSession.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(terms)], "term string, load array<double>")
+    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    mapped = weights.join(index, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    packed = VectorAssembler(inputCols=["d"], outputCol="v").transform(mapped.select(array_to_vector(dense).alias("d"))).select("v")
+    packed = written(packed, "vectors")  # each pass reads the rows again
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(packed, "v"))
+    if size <= gram_terms:
+        v = np.linalg.eigh(matrix.computeGramianMatrix().toArray())[1][:, ::-1][:, :k]
+    else:
+        v = np.array(matrix.computeSVD(k, computeU=False).V.toArray())
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    return weights.sparkSession.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(terms)], "term string, load array<double>")
+
+
+def project(weights: DataFrame, loadings: DataFrame, key: str) -> DataFrame:
+    """(key, embedding): the weights times the loadings."""
     parts = weights.join(loadings, "term").select(key, F.posexplode(F.transform("load", lambda x: x * F.col("weight"))).alias("c", "x"))
     sums = parts.groupBy(key, "c").agg(F.sum("x").alias("x"))
     return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"].cast("float")).alias("embedding"))
 
 
+def svd(weights: DataFrame, vocab: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, embedding) by truncated SVD of the weights."""
+    return project(weights, fit_svd(weights, vocab, key, k), key)
+
+
 def flat(rows: DataFrame, vector: str, prefix: str, k: int, keep: Sequence[str]) -> DataFrame:
     """A vector as k float columns prefix_000, prefix_001, ..."""
     return rows.select(*keep, *(F.get(vector, F.lit(i)).cast("float").alias(f"{prefix}_{i:03d}") for i in range(k)))

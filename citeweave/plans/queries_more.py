@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
-from citeweave.operators import cleaning, models, ordering, sampling, text
+from citeweave.operators import cleaning, models, ordering, pair_texts, sampling, text
 from citeweave.plans.fixtures import Inputs
 from citeweave.plans.queries_features import _TFIDF, _terms
 from citeweave.plans.registry import query
@@ -150,3 +150,48 @@ def t06_text_vector(t: Inputs) -> DataFrame:
     idf = text.inverse_frequencies(terms, written(text.vocabulary(terms), "vocabulary"), "doc_id", t.table("documents").count())
     first = t.table("documents").orderBy("doc_id").first()["text"]
     return text.vector_of(t.spark, first, idf).select("term", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY c_acctbal, c_custkey) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM customer")
+def p25_train_and_test(t: Inputs) -> DataFrame:
+    train, test = cleaning.train_and_test(t.table("customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+    return train.select("c_custkey", F.lit("train").alias("split")).unionByName(test.select("c_custkey", F.lit("test").alias("split")))
+
+
+@query("SELECT p_partkey, CASE c WHEN 0 THEN 'embeddings' WHEN 1 THEN 'graph_based' WHEN 2 THEN 'mix' WHEN 3 THEN 'normal' ELSE 'default' END AS family FROM (SELECT p_partkey, p_size % 5 AS c FROM part)")
+def p29_feature_family(t: Inputs) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, ("Textual 64", "Graph + mix", "HYBRID set", "exploded pairs", " -- "))), (F.col("p_size") % 5 + 1).cast("int"))
+    return t.table("part").select("p_partkey", C.feature_family(names).alias("family"))
+
+
+def _split_pairs(t: Inputs) -> DataFrame:
+    from citeweave.operators.pairs import positive_keys
+
+    keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("article_id"), F.substring("ref_id", 2, 20).cast("long").alias("ref_id"))
+    docs = t.table("documents")
+    for side in ("article", "ref"):
+        keys = keys.join(docs.select(F.col("doc_id").alias(f"{side}_id"), F.col("text").alias(f"vector_text_{side}")), f"{side}_id")
+    pairs = sampling.random_split(keys.withColumn("is_reference_valid", F.lit(1)), 5, "article_id")
+    return written(pair_texts.deduplicated(pairs), "pairs")
+
+
+@query("""WITH p AS (SELECT DISTINCT CAST(substr(article_id, 2) AS BIGINT) AS a, CAST(substr(ref_id, 2) AS BIGINT) AS b FROM fx_pairs),
+s AS (SELECT a, b, CASE WHEN CAST('0x' || substr(md5('5|' || a), 1, 8) AS BIGINT) % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM p),
+m AS (SELECT doc_id, count(*) AS n FROM (SELECT a AS doc_id FROM s WHERE split = 'train' UNION ALL SELECT b FROM s WHERE split = 'train') GROUP BY 1),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM fx_words GROUP BY 1, 2),
+voc AS (SELECT term, sum(n) AS df FROM tf JOIN m USING (doc_id) GROUP BY 1 ORDER BY sum(tf * n) DESC, term LIMIT 2000),
+idf AS (SELECT term, ln((1.0 + (SELECT sum(n) FROM m)) / (1 + df)) + 1 AS idf FROM voc),
+raw AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)), len AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM raw GROUP BY 1),
+weights AS (SELECT doc_id, term, w / l AS weight FROM raw JOIN len USING (doc_id)),
+c AS (SELECT a, b, sum(x.weight * y.weight) AS c FROM s JOIN weights x ON x.doc_id = a JOIN weights y ON y.doc_id = b AND x.term = y.term GROUP BY 1, 2)
+SELECT s.split, s.a AS article_id, s.b AS ref_id, round(coalesce(c, 0), 6) AS tfidf_similarity FROM s LEFT JOIN c ON s.a = c.a AND s.b = c.b""")
+def t10_split_similarity(t: Inputs) -> DataFrame:
+    pairs = _split_pairs(t)
+    fitted = pair_texts.fit(pairs.where("split = 'train'"), None, 2000)
+    return fitted.similarities(pairs).select("split", "article_id", "ref_id", F.round("tfidf_similarity", 6).alias("tfidf_similarity"))
+
+
+@query()
+def t10_split_embeddings(t: Inputs) -> DataFrame:
+    pairs = _split_pairs(t)
+    return pair_texts.fit(pairs.where("split = 'train'"), 64, 2000).embeddings(pairs)

@@ -117,6 +117,8 @@ def test_svd_spans_numpy_subspace(spark):
     got = np.array([r.embedding for r in text.svd(weights, vocab, "id", 3).orderBy("id").collect()])
     v = np.linalg.svd(m)[2][:3]
     assert np.allclose(np.linalg.norm(got, axis=1), np.linalg.norm(m @ v.T, axis=1), atol=1e-4)
+    by_passes = text.project(weights, text.fit_svd(weights, vocab, "id", 3, gram_terms=0), "id")
+    assert np.allclose(got, np.array([r.embedding for r in by_passes.orderBy("id").collect()]), atol=1e-4)
     with pytest.raises(ValueError):
         text.svd(weights, vocab, "id", 8)
 
