@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
-from citeweave.operators import metrics
+from citeweave.operators.ordering import dense_index
+from citeweave.session import written
 
 
 def tree_importances(model, features: Sequence[str], spark) -> DataFrame:
@@ -19,22 +20,32 @@ def tree_importances(model, features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
 
 
-def permuted(rows: DataFrame, key: str, feature: str, seed: object = 42) -> DataFrame:
-    """The rows with a feature's values dealt anew: row i of one keyed order gets the value of row i of another."""
-    from citeweave.operators.ordering import dense_index
-
-    keyed = rows.withColumn("_a", F.concat_ws("|", C.keyed(f"{seed}a", F.col(key)), F.col(key))).withColumn("_b", F.concat_ws("|", C.keyed(f"{seed}b", F.col(key)), F.col(key)))
+def dealt_anew(rows: DataFrame, key: str, features: Sequence[str], seed: object = 42) -> DataFrame:
+    """The rows with the features of a partner as ``_new_0``, ``_new_1``, ...: row i of one keyed order gets the values
+    of row i of another, so each feature keeps its values and loses its row. Keys must be unique; a null key is one key.
+    """
+    keyed = rows.withColumns({f"_{s}": F.concat_ws("|", C.keyed(f"{seed}{s}", F.col(key)), F.col(key)) for s in "ab"})
     a, _ = dense_index(keyed, "_a")
     b, _ = dense_index(keyed, "_b")
-    values = keyed.select("_b", F.col(feature).alias("_value")).join(b, "_b").select(F.col("idx").alias("_i"), "_value")
-    return keyed.join(a, "_a").join(values, F.col("idx") == F.col("_i")).withColumn(feature, F.col("_value")).drop("_a", "_b", "_i", "_value", "idx")
+    partners = keyed.select("_b", *(F.col(f).alias(f"_new_{i}") for i, f in enumerate(features))).join(b, "_b").drop("_b")
+    return keyed.drop("_b").join(a, "_a").join(partners, "idx").drop("_a", "idx")
 
 
 def permutation_importance(rows: DataFrame, key: str, features: Sequence[str], label: str, predict: Callable[[DataFrame], DataFrame], seed: object = 42) -> DataFrame:
-    """(feature, drop): accuracy lost when a feature's values are dealt anew; for any model."""
-    base = metrics.weighted_scores(predict(rows), label).first()["accuracy"]
-    found = [(f, float(base - metrics.weighted_scores(predict(permuted(rows, key, f, seed)), label).first()["accuracy"])) for f in features]
-    return rows.sparkSession.createDataFrame(found, "feature string, drop double")
+    """(feature, drop): accuracy lost when a feature's values are dealt anew; for any model.
+
+    One deal serves all features, which take a partner's value one at a time: rows are joined once, then scored once
+    for each feature and once as they are, in a single pass. Rows without a label don't count.
+    """
+    dealt = written(dealt_anew(rows, key, features, seed), "dealt")
+    turns = dealt.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    changed = {f: F.when(F.col("_turn") == i + 1, F.col(f"_new_{i}")).otherwise(F.col(f)) for i, f in enumerate(features)}
+    scored = predict(turns.withColumns(changed).drop(*(f"_new_{i}" for i in range(len(features)))))
+    right = scored.groupBy("_turn").agg(F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("accuracy"))
+    right = written(right, "accuracies")  # one row a feature
+    base = right.where("_turn = 0").select(F.col("accuracy").alias("base"))
+    names = F.array(*(F.lit(f) for f in features))
+    return right.where("_turn > 0").crossJoin(base).select(F.get(names, F.col("_turn") - 1).alias("feature"), (F.col("base") - F.col("accuracy")).alias("drop"))
 
 
 def local_linear(row: dict[str, float], spread: dict[str, float], predict: Callable[[DataFrame], DataFrame], spark, samples: int = 2000, seed: int = 42) -> DataFrame:

@@ -153,6 +153,19 @@ def test_models_learn_save_and_load(spark, tmp_path):
     assert explain.tree_importances(trees.model.stages[-1], ["a", "b"], spark).count() == 2
 
 
+def test_permutation_importance_matches_plain(spark):
+    rows = spark.createDataFrame([(i, (i * 7) % 11 / 11, (i * 5) % 13 / 13, None if i == 3 else int(i % 3 == 0)) for i in range(50)], "id int, a double, b double, y int")
+    rule = lambda t: t.withColumn("prediction", (F.col("a") + 2 * F.col("b") > 1.2).cast("int"))
+    dealt = explain.dealt_anew(rows, "id", ["a", "b"]).collect()
+    assert sorted((r._new_0, r._new_1) for r in dealt) == sorted((r.a, r.b) for r in dealt) and len({r.id for r in dealt}) == 50
+    assert any(r._new_0 != r.a for r in dealt)
+    known = [r for r in dealt if r.y is not None]
+    right = lambda a, b: np.mean([(x + 2 * z > 1.2) == r.y for r, x, z in zip(known, a, b)])
+    a, b, a2, b2 = ([r[c] for r in known] for c in ("a", "b", "_new_0", "_new_1"))
+    got = {r.feature: r["drop"] for r in explain.permutation_importance(rows, "id", ["a", "b"], "y", rule).collect()}
+    assert abs(got["a"] - (right(a, b) - right(a2, b))) < 1e-9 and abs(got["b"] - (right(a, b) - right(a, b2))) < 1e-9
+
+
 def test_knn_ties_and_self(spark):
     rows = spark.createDataFrame([(i, [float(i // 3), 0.0], i // 3) for i in range(9)], "id int, v array<double>, label int")
     got = {r.query: r.prediction for r in models.knn_classify(rows, rows, "id", "v", "label", 2).collect()}
@@ -165,6 +178,6 @@ def test_queries_take_all_features(spark, data):
     from citeweave.plans import catalog
 
     queries = catalog.queries()
-    assert queries["i02_permutation_importance"](spark, data).count() == 16
+    assert queries["i02_permutation_importance"](spark, data).count() == 64
     assert {r.n_features for r in queries["t09_classic_matrix"](spark, data).select("n_features").distinct().collect()} == {2 * 256 + 1}
     assert [c for c in queries["t08_svd_embedding"](spark, data).columns if c.startswith("article_emb")] == [f"article_emb_{i:03d}" for i in range(64)]
