@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
+from citeweave.operators import encoding
+from citeweave.operators.models import Classifier
 from citeweave.operators.ordering import dense_index
 from citeweave.session import written
 
@@ -77,3 +80,34 @@ def sampled_shapley(row: dict[str, float], background: dict[str, float], predict
     rows = spark.createDataFrame(plan, "_o int, _s int, _f string, " + ", ".join(f"`{n}` double" for n in names))
     gain = F.col("probability") - F.lag("probability").over(Window.partitionBy("_o").orderBy("_s"))
     return predict(rows).withColumn("gain", gain).where("_s > 0").groupBy(F.col("_f").alias("feature")).agg(F.avg("gain").alias("value"))
+
+
+def explained(models: dict[str, Classifier], train: DataFrame, test: DataFrame, key: str, label: str, samples: int = 2000, orders: int = 20, seed: int = 42) -> DataFrame:
+    """(model, row, method, feature, value): what weighs in each fitted classifier's answers.
+
+    Of each label (valid: 1, invalid: 0) the test row of the least key is explained by a local linear model and by
+    sampled Shapley values against the training rows' medians; a tree ensemble's importances come with row null.
+    Missing values of a row are the medians. A label that no test row has is left out. The driver holds one row of
+    each label and the features' statistics.
+    """
+    parts = []
+    for name, model in sorted(models.items()):
+        fields, spark = model.features, test.sparkSession
+
+        def tagged(found: DataFrame, row: str | None, method: str, value: str, name: str = name) -> DataFrame:
+            return found.select(F.lit(name).alias("model"), F.lit(row).cast("string").alias("row"), F.lit(method).alias("method"), "feature", F.col(value).alias("value"))
+
+        statistics = encoding.robust_statistics(train, fields)
+        medians, spread = ({f: statistics[f][i] for f in fields} for i in (0, 1))
+        if hasattr(fitted := model.model.stages[-1], "featureImportances"):
+            parts.append(tagged(tree_importances(fitted, fields, spark), None, "importance", "importance"))
+        for kind, wanted in (("valid", 1), ("invalid", 0)):
+            one = test.where(F.col(label) == wanted).orderBy(key).select(*(F.col(f).cast("double").alias(f) for f in fields)).first()
+            if one is None:
+                continue
+            row = {f: medians[f] if one[f] is None else one[f] for f in fields}
+            parts.append(tagged(local_linear(row, spread, model.predict, spark, samples, seed), kind, "local linear", "weight"))
+            parts.append(tagged(sampled_shapley(row, medians, model.predict, spark, orders, seed), kind, "shapley", "value"))
+    if not parts:
+        return test.sparkSession.createDataFrame([], "model string, row string, method string, feature string, value double")
+    return functools.reduce(DataFrame.unionByName, parts)

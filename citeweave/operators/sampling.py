@@ -125,3 +125,10 @@ def one_of_each_and_more(rows: DataFrame, target: str, n: int, seed: object, key
     firsts = rows.groupBy(target).agg(F.min(order).alias("_least"))
     marked = rows.join(firsts, rows[target].eqNullSafe(firsts[target]), "left").drop(firsts[target])
     return marked.orderBy(F.when(order == F.col("_least"), 0).otherwise(1), *hash_order(seed, key)).limit(n).drop("_least")
+
+
+def tuning_rows(train: DataFrame, validation: DataFrame, seed: object, key: str, n: int = 50_000) -> DataFrame:
+    """At most ``n`` rows to search parameters on: up to 80 % of train (fold -1) and 20 % of validation (fold 0)."""
+    wanted = ((train, n * 8 // 10, -1), (validation, n * 2 // 10, 0))
+    fitted, held = (bounded_sample(rows, size, seed, key).withColumn("fold", F.lit(fold)) for rows, size, fold in wanted)
+    return fitted.unionByName(held)

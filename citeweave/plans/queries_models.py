@@ -131,6 +131,15 @@ def i02_permutation_importance(t: Inputs) -> DataFrame:
     return explain.permutation_importance(rows, "vec_id", names, "is_reference_valid", model.predict)
 
 
+@query()
+def i04_explained(t: Inputs) -> DataFrame:
+    rows, names = _features(t)
+    split = sampling.random_split(written(rows, "features"), 1, "vec_id")
+    train, test = (split.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    fitted = {"logistic": models.Logistic("logistic", names, maxIter=20).train(train)}
+    return explain.explained(fitted, train, test, "vec_id", "is_reference_valid", samples=500, orders=4)
+
+
 @query(f"WITH {_PRED} SELECT 'guess' AS model, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pp WHERE doc_id % 2 <> 0")
 def a25_test_scores(t: Inputs) -> DataFrame:
     rows = predictions(t)

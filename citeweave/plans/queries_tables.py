@@ -292,6 +292,13 @@ def m05_bounded_sample(t: Inputs) -> DataFrame:
     return sampling.bounded_sample(t.table("labels"), 100, 42, "doc_id")
 
 
+@query("""(SELECT doc_id, toxic, -1 AS fold FROM labels WHERE doc_id % 2 = 0 ORDER BY md5('42|' || doc_id), doc_id LIMIT 160)
+UNION ALL (SELECT doc_id, toxic, 0 AS fold FROM labels WHERE doc_id % 2 <> 0 ORDER BY md5('42|' || doc_id), doc_id LIMIT 40)""")
+def m16_tuning_rows(t: Inputs) -> DataFrame:
+    rows = t.table("labels").select("doc_id", "toxic")
+    return sampling.tuning_rows(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 <> 0"), 42, "doc_id", n=200)
+
+
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('7|' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS have FROM labels)"
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citeweave.operators import encoding, explain, graph, metrics, models, text
+from citeweave.operators import encoding, explain, graph, metrics, models, sampling, text
 
 
 @pytest.fixture(scope="module")
@@ -166,6 +166,28 @@ def test_permutation_importance_matches_plain(spark):
     assert abs(got["a"] - (right(a, b) - right(a2, b))) < 1e-9 and abs(got["b"] - (right(a, b) - right(a, b2))) < 1e-9
 
 
+def test_explained_rows_of_each_model(spark):
+    rows = spark.range(200).select("id", ((F.col("id") % 7) / 7).alias("a"), F.when(F.col("id") > 0, (F.col("id") % 5) / 5).alias("b")).withColumn("is_reference_valid", (F.col("a") + F.coalesce("b", F.lit(0.0)) > 0.8).cast("int"))
+    trees = models.BoostedTrees("trees", ["a", "b"], maxIter=2).train(rows)
+    got = explain.explained({"trees": trees}, rows, rows, "id", "is_reference_valid", samples=50, orders=2).collect()
+    kinds = {(r.row, r.method) for r in got}
+    assert kinds == {(None, "importance")} | {(k, m) for k in ("valid", "invalid") for m in ("local linear", "shapley")} and len(got) == 10
+    median = encoding.robust_statistics(rows, ["a", "b"])["b"][0]
+    asked = spark.createDataFrame([("middle", encoding.robust_statistics(rows, ["a", "b"])["a"][0], median), ("valid", 3 / 7, 0.6), ("invalid", 0.0, median)], "row string, a double, b double")
+    odds = {r.row: r.probability for r in trees.predict(asked).collect()}
+    for kind in ("valid", "invalid"):  # rows 3 and 0; the values add up to the difference from the medians' answer
+        assert abs(sum(r.value for r in got if r.row == kind and r.method == "shapley") - (odds[kind] - odds["middle"])) < 1e-9
+    one_sided = explain.explained({"trees": trees}, rows, rows.where("is_reference_valid = 1"), "id", "is_reference_valid", samples=50, orders=2)
+    assert {r.row for r in one_sided.select("row").distinct().collect()} == {None, "valid"} and explain.explained({}, rows, rows, "id", "is_reference_valid").count() == 0
+
+
+def test_tuning_rows(spark):
+    rows = spark.range(100)
+    got = sampling.tuning_rows(rows.where("id < 70"), rows.where("id >= 70"), 1, "id", n=50).collect()
+    assert sorted(r.fold for r in got) == [-1] * 40 + [0] * 10 and all((r.id < 70) == (r.fold == -1) for r in got)
+    assert sampling.tuning_rows(rows, rows.limit(0), 1, "id").count() == 100
+
+
 def test_knn_ties_and_self(spark):
     rows = spark.createDataFrame([(i, [float(i // 3), 0.0], i // 3) for i in range(9)], "id int, v array<double>, label int")
     got = {r.query: r.prediction for r in models.knn_classify(rows, rows, "id", "v", "label", 2).collect()}
