@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
-from citeweave.operators import explain, metrics, models, ordering, sampling
+from citeweave.operators import attention, explain, metrics, models, ordering, sampling
 from citeweave.plans.fixtures import Inputs
 from citeweave.plans.registry import query
 from citeweave.session import written
@@ -118,6 +118,27 @@ def l05_perceptron(t: Inputs) -> DataFrame:
     return _scored(t, models.Perceptron, hidden=(8,), maxIter=30)
 
 
+@query()
+def l05_pair_attention(t: Inputs) -> DataFrame:
+    """Whether two vectors in a row have one label."""
+    e = t.table("embeddings").select("vec_id", "label", "embedding")
+    ref = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("_label"), F.col("embedding").alias("ref"))
+    pairs = e.withColumnRenamed("embedding", "article").join(ref, "vec_id").withColumn("is_reference_valid", (F.col("label") == F.col("_label")).cast("int"))
+    return _attended(written(pairs.drop("label", "_label"), "pairs"), ["article", "ref"], size=64)
+
+
+@query()
+def l06_feature_attention(t: Inputs) -> DataFrame:
+    rows, names = _features(t)
+    return _attended(written(rows, "features"), names)
+
+
+def _attended(rows: DataFrame, tokens: list[str], **params) -> DataFrame:
+    split = sampling.random_split(rows, 1, "vec_id")
+    model = attention.Attention("attention", tokens, width=16, heads=2, layers=1, batch=64, **params).train(split.where("split = 'train'"), rounds=2)
+    return model.predict(split.where("split = 'test'")).select("vec_id", "is_reference_valid", "prediction", F.round("probability", 4).alias("probability"))
+
+
 @query()
 def l08_logistic(t: Inputs) -> DataFrame:
     return _scored(t, models.Logistic, maxIter=50)
