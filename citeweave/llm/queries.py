@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm import decontaminate, html_text, media, mixing, pii, simhash, token_ids, toxicity, url_filters, warc
+from citeweave.llm import decontaminate, divergence, html_text, interactions, media, mixing, pii, simhash, substrings, token_ids, toxicity, url_filters, warc
 from citeweave.llm.common import table, written
 from citeweave.llm.oracles import ORACLES
 
@@ -69,6 +69,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_html_text, op4_pii, op5_warc, op6_url_filters, op7_decontamination, op8_token_ids, op9_simhash, op10_media)}
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_mixing, op3_html_text, op4_pii, op5_warc, op6_url_filters, op7_decontamination, op8_token_ids, op9_simhash, op10_media, op11_interactions, op12_substrings, op13_divergence)
+}
 
 __all__ = ["ORACLES", "QUERIES"]
