@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from citeweave.llm.common import pieces, written
 
 WINDOW, ROUNDS, LONGEST, PIECE = 50, 4, 16, 1 << 17
+#: Bytes of text that a task works on at once, or one text.
+BATCH = 1 << 20
 FAR = 1 << 40
 _RUN, _LEFT, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), 0x9E3779B97F4A7C15
 #: Odd bases of the two rolling hashes, and their inverses modulo 2^64.
@@ -171,7 +173,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, window: int, rounds: int
     """(id, key, n_words, digest, signs): a row per row; ``digest`` is the SHA-256 of the words with one space between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", BATCH):
             texts = [(t.as_py() or b"").split() for t in batch.column(2).cast(pa.binary())]
             counts = [len(t) for t in texts]
             texts = [b" ".join(t) for t in texts]
@@ -195,7 +197,7 @@ def windows(texts: DataFrame, wanted: str, window: int, rounds: int, piece: int)
     """(w1, w2, id, rid, at): hash and place of each window of ``texts`` (id, rid, text) whose sign is in the ``wanted`` column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", BATCH):
             kinds = batch.schema.field(0).type
             own = [b" ".join(t.as_py().split()) for t in batch.column(2).cast(pa.binary())]
             names, others, parts = laid_out(own, window, piece)
@@ -217,12 +219,12 @@ def kept(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
     """(rid, n_removed, kept_sha256, kept_text) of ``texts`` (rid, text, at): the words under no window that starts at one of ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", BATCH):
             removed, left = [], []
-            for text, at in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
+            for text, at in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
                 words = text.as_py().split()
                 depth = np.zeros(len(words) + 1, np.int64)
-                starts = np.array(at)
+                starts = at.values.to_numpy()
                 depth[starts] += 1
                 np.add.at(depth, starts + window, -1)
                 stays = np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()
@@ -252,7 +254,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     found = windows(texts, "later", window, rounds, piece).join(sources, ["w1", "w2"]).where(F.col("least") < F.col("id"))
     covers = found.groupBy("rid").agg(F.collect_set("at").alias("at"))
     edits = kept(texts.select("rid", "text").join(covers, "rid"), window, with_text)
-    edits = edits.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")))
+    edits = written(edits.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text"))), "edits")
 
     firsts = firsts.select("rid", "digest", F.col("id").alias("first")).join(edits, "rid", "left").drop("rid")
     out = rows.drop("signs").join(firsts, "digest", "left")
