@@ -71,9 +71,12 @@ class Classifier:
     def evaluate(self, rows: DataFrame) -> DataFrame:
         return metrics.weighted_scores(self.predict(rows), self.label)
 
+    def new_folder(self, path: str) -> str:
+        return f"{path}/{self.name}_{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+
     def save(self, path: str) -> str:
         """Write the fitted pipeline and the scaler's statistics under a new time-stamped folder."""
-        at = f"{path}/{self.name}_{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+        at = self.new_folder(path)
         self.model.write().overwrite().save(f"{at}/model")
         spark = SparkSession.active()
         rows = [(c, m, r) for c, (m, r) in self.statistics.items()]
