@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.plans import flagship, queries_features, queries_models, queries_more, queries_tables  # noqa: F401  (they register)
+from citeweave.plans import flagship, queries_features, queries_models, queries_more, queries_tables, queries_trees  # noqa: F401  (they register)
 from citeweave.plans.registry import ORACLES, QUERIES
 
 

@@ -89,7 +89,7 @@ def l02_knn_classify(t: Inputs) -> DataFrame:
     return models.knn_classify(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "label", 5)
 
 
-def _features(t: Inputs, n: int = 64) -> tuple[DataFrame, list[str]]:
+def embedding_features(t: Inputs, n: int = 64) -> tuple[DataFrame, list[str]]:
     """The embeddings' first ``n`` of 64 dimensions as columns, with a binary label."""
     names = [f"e{i:02d}" for i in range(n)]
     rows = t.table("embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("is_reference_valid"), *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
@@ -97,7 +97,7 @@ def _features(t: Inputs, n: int = 64) -> tuple[DataFrame, list[str]]:
 
 
 def _scored(t: Inputs, kind, **params) -> DataFrame:
-    rows, names = _features(t)
+    rows, names = embedding_features(t)
     split = sampling.random_split(rows, 1, "vec_id")
     model = kind(kind.__name__.lower(), names, **params).train(split.where("split = 'train'"))
     return model.predict(split.where("split = 'test'")).select("vec_id", "is_reference_valid", "prediction", F.round("probability", 4).alias("probability"))
@@ -129,7 +129,7 @@ def l05_pair_attention(t: Inputs) -> DataFrame:
 
 @query()
 def l06_feature_attention(t: Inputs) -> DataFrame:
-    rows, names = _features(t)
+    rows, names = embedding_features(t)
     return _attended(written(rows, "features"), names)
 
 
@@ -146,7 +146,7 @@ def l08_logistic(t: Inputs) -> DataFrame:
 
 @query()
 def i02_permutation_importance(t: Inputs) -> DataFrame:
-    rows, names = _features(t)
+    rows, names = embedding_features(t)
     rows = written(rows.select("vec_id", "is_reference_valid", *names), "features")
     model = models.Logistic("logistic", names, maxIter=20).train(rows)
     return explain.permutation_importance(rows, "vec_id", names, "is_reference_valid", model.predict)
@@ -154,7 +154,7 @@ def i02_permutation_importance(t: Inputs) -> DataFrame:
 
 @query()
 def i04_explained(t: Inputs) -> DataFrame:
-    rows, names = _features(t)
+    rows, names = embedding_features(t)
     split = sampling.random_split(written(rows, "features"), 1, "vec_id")
     train, test = (split.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     fitted = {"logistic": models.Logistic("logistic", names, maxIter=20).train(train)}
