@@ -154,7 +154,8 @@ def tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(counts: DataFrame, min_docs: int = 10, chunk: int = 2048) -> DataFrame:
     """(lang, term, total, chunk, at) of the kept terms: their chunk and their place in it."""
     kept = written(counts.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
-    sizes = kept.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    # a row a language, written so that the planner sees how small it is and leaves the terms where they are
+    sizes = written(kept.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks")), "chunks")
     dealt = kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int")).drop("chunks")
     return dealt.withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
 

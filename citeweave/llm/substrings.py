@@ -72,13 +72,13 @@ def recompressed(names: np.ndarray, rounds: int, longest: int, run_limit: int) -
         first = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (name[1:] == 0)])
         last = np.r_[first[1:], len(name)] - 1
         times = last - first + 1
-        name, at, to, low, high = name[first], at[first], to[last], low[first], high[last]
+        # no run is longer: the symbols beside it, as they were before, say so
+        low, high = np.r_[low[:1], np.minimum(low[1:], low[:-1])][first], np.r_[np.maximum(high[:-1], high[1:]), high[-1:]][last]
+        name, at, to = name[first], at[first], to[last]
         runs = times > 1
         name = np.where(runs, mixed(name * _RUN + times.astype(np.uint64) + salt) | np.uint64(1), name)
         frozen = runs & (to - at > run_limit)
         name, low, high = np.where(frozen, np.uint64(0), name), np.where(frozen, -FAR, low), np.where(frozen, FAR, high)
-        # a symbol is in no longer run: both its neighbours say so
-        low, high = np.r_[low[:1], np.minimum(low[1:], low[:-1])], np.r_[np.maximum(high[:-1], high[1:]), high[-1:]]
         own = np.flatnonzero(runs & ~frozen)
         made.append((name[own], (to - at)[own], low[own], high[own]))
         # pairs
