@@ -129,15 +129,11 @@ def pca(rows: DataFrame, key: str, vector: str, k: int):
     return model.transform(centred).select(key, vector_to_array("p").alias("projection"), F.lit(float(sum(model.explainedVariance))).alias("explained"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """(query, rank, neighbour, cosine): the k base rows of largest cosine for each query; ties by key.
-
-    The stated queries are a bounded sample and go to each task; a task keeps its own k best for each query before
-    anything is shuffled, so what is shuffled is queries x tasks x k rows.
-    """
+def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, exclude_self: bool = False, keep: Sequence[str] = (), **ways) -> DataFrame:
+    """(query, rank, neighbour, cosine): the k base rows of largest cosine for each query; ties by key."""
     from citeweave.operators.neighbours import best_by_cosine
 
-    return best_by_cosine(queries, base, key, vector, k, exclude_self, keep)
+    return best_by_cosine(queries, base, key, vector, k, exclude_self, keep, **ways)
 
 
 def classic_matrix(pairs: DataFrame, weights: DataFrame, vocab: DataFrame, key: str, left: str, right: str, numeric: Sequence[str] = ()) -> DataFrame:

@@ -222,6 +222,14 @@ def j10_knn_join_top3(t: Inputs) -> DataFrame:
     return near.select("query", "rank", "neighbour", F.round("cosine", 5).alias("cosine"))
 
 
+@query(f"SELECT query, CAST(rank AS INTEGER) AS rank, neighbour, round(round(c, 9), 5) AS cosine FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, {_COS} AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE rank <= 3")
+def j10_knn_join_all(t: Inputs) -> DataFrame:
+    """Every row as a query, joined by pivots."""
+    e = t.table("embeddings")
+    near = text.nearest(e, e, "vec_id", "embedding", 3, exclude_self=True, direct=0)
+    return near.select("query", "rank", "neighbour", F.round("cosine", 5).alias("cosine"))
+
+
 @query("SELECT x.article_id, x.ref_id, CAST(x.is_reference_valid AS INTEGER) AS is_reference_valid, a.year AS year_article, r.year AS year_ref, CAST(d.o AS BIGINT) AS out_article FROM (SELECT article_id, ref_id, 1 AS is_reference_valid FROM fx_pairs) x JOIN fx_papers a ON a.id = x.article_id JOIN fx_papers r ON r.id = x.ref_id JOIN (SELECT article_id, count(DISTINCT ref_id) AS o FROM fx_pairs GROUP BY 1) d ON d.article_id = x.article_id")
 def j07_feature_join(t: Inputs) -> DataFrame:
     from citeweave.operators.pairs import positive_pairs
