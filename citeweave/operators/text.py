@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
+from citeweave.operators import sparse
 from citeweave.session import written
 
 STOP_WORDS = ("english", "the")
@@ -59,11 +60,7 @@ def vector_of(spark: SparkSession, value: str, idf: DataFrame) -> DataFrame:
 
 def pair_cosine(pairs: DataFrame, weights: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """(left, right, cosine) of pairs of rows; 0 if either has no term."""
-    pairs = pairs.select(left, right).distinct()
-    a = weights.select(F.col(key).alias(left), "term", F.col("weight").alias("_a"))
-    b = weights.select(F.col(key).alias(right), "term", F.col("weight").alias("_b"))
-    shared = pairs.join(a, left).join(b, [right, "term"]).groupBy(left, right).agg(F.sum(F.col("_a") * F.col("_b")).alias("s"))
-    return pairs.join(shared, [left, right], "left").select(left, right, F.coalesce("s", F.lit(0.0)).alias("cosine"))
+    return sparse.pair_products(pairs, written(sparse.packed(weights, key), "packed"), key, left, right)
 
 
 def embedding_statistics(rows: DataFrame, vector: str) -> DataFrame:
@@ -75,7 +72,8 @@ def fit_svd(weights: DataFrame, vocab: DataFrame, key: str, k: int, gram_terms:
     """(term, load): the right vectors of a truncated SVD; each component's largest entry is positive.
 
     Up to ``gram_terms`` terms they are the eigenvectors of the Gram matrix, which is summed in one pass (32 MB on the
-    driver at 2,000); beyond, MLlib's iterations pass over the rows and only V (vocabulary x k) is on the driver.
+    driver at 2,000); beyond, they come from a random projection in four passes (``sparse.truncated_svd``), with
+    blocks of vocabulary x (k + 20) on the driver.
     """
     import numpy as np
     from pyspark.ml.feature import VectorAssembler
@@ -83,21 +81,18 @@ def fit_svd(weights: DataFrame, vocab: DataFrame, key: str, k: int, gram_terms:
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
-    terms = [r["term"] for r in vocab.orderBy("term").collect()]
+    long, terms = sparse.indexed(weights, vocab)
     size = len(terms)
     if k >= size:
         raise ValueError("k must be less than the number of terms")
-    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
-    mapped = weights.join(index, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    packed = VectorAssembler(inputCols=["d"], outputCol="v").transform(mapped.select(array_to_vector(dense).alias("d"))).select("v")
-    packed = written(packed, "vectors")  # each pass reads the rows again
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(packed, "v"))
-    if size <= gram_terms:
-        v = np.linalg.eigh(matrix.computeGramianMatrix().toArray())[1][:, ::-1][:, :k]
+    if size > gram_terms:
+        v = sparse.truncated_svd(written(sparse.packed(long, key, "i"), "packed"), size, k)[1]
     else:
-        v = np.array(matrix.computeSVD(k, computeU=False).V.toArray())
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+        mapped = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+        packed = VectorAssembler(inputCols=["d"], outputCol="v").transform(mapped.select(array_to_vector(dense).alias("d"))).select("v")
+        v = np.linalg.eigh(RowMatrix(MLUtils.convertVectorColumnsFromML(packed, "v")).computeGramianMatrix().toArray())[1][:, ::-1][:, :k]
+        v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
     return weights.sparkSession.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(terms)], "term string, load array<double>")
 
 
@@ -137,16 +132,5 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
 
 
 def classic_matrix(pairs: DataFrame, weights: DataFrame, vocab: DataFrame, key: str, left: str, right: str, numeric: Sequence[str] = ()) -> DataFrame:
-    """Pairs with ``features``: numeric columns, both sides' TF-IDF vectors over ``vocab`` and their cosine."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector
-
-    terms = [r["term"] for r in vocab.orderBy("term").collect()]
-    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
-    mapped = weights.join(index, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-    dense = mapped.select(key, F.transform(F.sequence(F.lit(0), F.lit(len(terms) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("v"))
-    zero = F.array_repeat(F.lit(0.0), len(terms))
-    out = pairs.join(pair_cosine(pairs, weights, key, left, right), [left, right])
-    for side, name in ((left, "_a"), (right, "_b")):
-        out = out.join(dense.select(F.col(key).alias(side), F.col("v").alias(name)), side, "left").withColumn(name, array_to_vector(F.coalesce(name, zero)))
-    return VectorAssembler(inputCols=[*numeric, "_a", "_b", "cosine"], outputCol="features").transform(out).drop("_a", "_b")
+    """Pairs with ``cosine`` and ``features``, a sparse vector: numeric columns, both sides' weights over ``vocab``, the cosine."""
+    return sparse.vectors(sparse.pair_matrix(pairs, weights, vocab, key, left, right, numeric))

@@ -258,3 +258,36 @@ def t09_classic_matrix(t: Inputs) -> DataFrame:
     weights = written(text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id"), "weights")
     rows = text.classic_matrix(keys, weights, vocab, "doc_id", "a", "b")
     return rows.select("a", "b", F.round("cosine", 6).alias("cosine"), F.size(vector_to_array("features")).alias("n_features"))
+
+
+@query(f"""WITH {_TFIDF.replace("LIMIT 2000", "LIMIT 256")}, p AS (SELECT DISTINCT CAST(substr(article_id, 2) AS BIGINT) AS a, CAST(substr(ref_id, 2) AS BIGINT) AS b FROM fx_pairs),
+vi AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i, count(*) OVER () AS n FROM voc),
+c AS (SELECT a, b, i, weight AS value FROM p JOIN weights ON doc_id = a JOIN vi USING (term) UNION ALL SELECT a, b, n + i, weight FROM p JOIN weights ON doc_id = b JOIN vi USING (term)
+  UNION ALL SELECT a, b, 2 * any_value(n), sum(x.weight * y.weight) FROM p JOIN weights x ON x.doc_id = a JOIN weights y ON y.doc_id = b AND y.term = x.term JOIN vi ON vi.term = x.term GROUP BY a, b)
+SELECT a, b, CAST(i AS INTEGER) AS i, round(value, 6) AS value FROM c""")
+def t09_classic_cells(t: Inputs) -> DataFrame:
+    """Every cell of the sparse pair matrix that isn't 0."""
+    from citeweave.operators import sparse
+    from citeweave.operators.pairs import positive_keys
+
+    keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("a"), F.substring("ref_id", 2, 20).cast("long").alias("b")).distinct()
+    terms = written(_terms(t), "terms")
+    vocab = written(text.vocabulary(terms, 256), "vocabulary")
+    weights = written(text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id"), "weights")
+    rows = sparse.pair_matrix(written(keys, "keys"), weights, vocab, "doc_id", "a", "b")
+    cells = rows.select("a", "b", F.explode(F.arrays_zip("indices", "values")).alias("c"))
+    return cells.select("a", "b", F.col("c.indices").alias("i"), F.round("c.values", 6).alias("value"))
+
+
+@query()
+def t07_random_projection_svd(t: Inputs) -> DataFrame:
+    """Singular values of the documents' weights over 10,000 terms."""
+    from citeweave.operators import sparse
+
+    terms = written(_terms(t), "terms")
+    vocab = written(text.vocabulary(terms, 10_000), "vocabulary")
+    weights = text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id")
+    long, names = sparse.indexed(weights, vocab)
+    rows = written(sparse.packed(long, "doc_id", "i"), "packed")
+    values, _ = sparse.truncated_svd(rows, len(names), min(64, len(names) - 1))
+    return t.spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(values)], "component int, value double")
