@@ -16,9 +16,9 @@ is the first document of each, and a join verifies which windows an earlier docu
 window go. A window that two documents share always has a shared sign, so nothing is missed; nothing unverified goes.
 
 Copies of a whole text are settled by its digest: the first copy alone takes part above, later ones go as a whole. A
-group of copies or a passage of a third of all documents costs rows in proportion, never pairs; minima are combined by
-task, and the joins are plain ones, whose hot keys adaptive execution splits. What meets in one row is a document's own:
-its signs and its covered places. A text is cut into pieces of ``piece`` words that overlap by a window, which changes no
+group of copies or a passage of a third of all documents costs rows in proportion, never pairs: equal windows that meet in
+a task are settled there, all but the first's, and minima are combined by task. What meets in one row is a document's
+own: its signs and its covered places. A text is cut into pieces of ``piece`` words that overlap by a window, which changes no
 sign, so a task's memory doesn't follow the longest text's symbols.
 
 Edge cases: a null text has no words; texts of less than ``window`` words stay; a row without an id is neither earlier nor
@@ -193,26 +193,58 @@ def signed(docs: DataFrame, id_col: str, text_col: str, window: int, rounds: int
     return read.mapInArrow(run, _schema(read, "id", "key", "n_words long", "digest binary", "signs array<long>"))
 
 
-def windows(texts: DataFrame, wanted: str, window: int, rounds: int, piece: int) -> DataFrame:
-    """(w1, w2, id, rid, at): hash and place of each window of ``texts`` (id, rid, text) whose sign is in the ``wanted`` column."""
+def windows(texts: DataFrame, wanted: str, window: int, rounds: int, piece: int, held: int = 400_000) -> DataFrame:
+    """Windows of ``texts`` (id, rid, text) whose sign is in the ``wanted`` column: (w1, w2, id, rid, at, known).
+
+    A task holds some ``held`` of them (those of one batch at least) and sorts them by hash: of equal windows only the
+    first document's goes on as a row (hash, id, rid, place). The other documents' windows are settled there and then, and
+    go on as a row of places for each (``known``, under a hash of its own), so a passage that many documents share is thinned
+    out before it is shuffled.
+    """
+
+    def flush(ids: list, rids: list, found: list[tuple[np.ndarray, ...]], kinds: tuple) -> Iterator[pa.RecordBatch]:
+        w1, w2, doc, at = (np.concatenate(c) for c in zip(*found))
+        ranks = np.unique(np.array(ids, dtype=object), return_inverse=True)[1][doc]
+        order = np.lexsort((ranks, w2, w1))
+        w1, w2, doc, at, ranks = w1[order], w2[order], doc[order], at[order], ranks[order]
+        new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
+        later = ranks > ranks[np.flatnonzero(new)][np.cumsum(new) - 1]
+        for part in np.array_split(np.flatnonzero(~later), -(-int((~later).sum()) // 50_000)):
+            own = doc[part]
+            yield pa.RecordBatch.from_arrays([pa.array(w1[part]), pa.array(w2[part]), pa.array(ids, kinds[0]).take(pa.array(own)), pa.array(rids, kinds[1]).take(pa.array(own)), pa.array(at[part]), pa.nulls(len(part), pa.list_(pa.int32()))], names)
+        settled = np.flatnonzero(later)
+        if len(settled):
+            settled = settled[np.argsort(doc[settled], kind="stable")]
+            whose, starts = np.unique(doc[settled], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(settled)].astype(np.int32)), pa.array(at[settled]))
+            keys = [pa.array(mixed(np.array([rids[d] for d in whose], np.int64).view(np.uint64) + np.uint64(i)).view(np.int64)) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([ids[d] for d in whose], kinds[0]), pa.array([rids[d] for d in whose], kinds[1]), pa.nulls(len(whose), pa.int32()), lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rids, found, size, kinds = [], [], [], 0, ()
         for batch in pieces(batches, "text", BATCH):
-            kinds = batch.schema.field(0).type
+            kinds = batch.schema.field(0).type, batch.schema.field(1).type
             own = [b" ".join(t.as_py().split()) for t in batch.column(2).cast(pa.binary())]
-            names, others, parts = laid_out(own, window, piece)
-            found = signs(names, window, rounds)
-            hashes = [rolling(x, window, *b).view(np.int64) for x, b in zip((names, others), _BASES)]
+            names_, others, parts = laid_out(own, window, piece)
+            sign = signs(names_, window, rounds)
+            hashes = [rolling(x, window, *b).view(np.int64) for x, b in zip((names_, others), _BASES)]
             lists = [np.array(x, np.int64).view(np.uint64) for x in batch.column(3).to_pylist()]
-            ids, rids = batch.column(0), batch.column(1)
-            for t, first, start, size in parts:
-                hit = start + np.flatnonzero(np.isin(found[start : start + size - window + 1], lists[t]))
+            for t, first, start, length in parts:
+                hit = start + np.flatnonzero(np.isin(sign[start : start + length - window + 1], lists[t]))
                 if len(hit):
-                    row = pa.array(np.full(len(hit), t))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[0][hit]), pa.array(hashes[1][hit]), ids.take(row).cast(kinds), rids.take(row), pa.array((hit - start + first).astype(np.int32))], ["w1", "w2", "id", "rid", "at"])
-
+                    found.append((hashes[0][hit], hashes[1][hit], np.full(len(hit), len(ids) + t), (hit - start + first).astype(np.int32)))
+                    size += len(hit)
+            ids += batch.column(0).to_pylist()
+            rids += batch.column(1).to_pylist()
+            if size >= held:
+                yield from flush(ids, rids, found, kinds)
+                ids, rids, found, size = [], [], [], 0
+        if size:
+            yield from flush(ids, rids, found, kinds)
+
+    names = ["w1", "w2", "id", "rid", "at", "known"]
     read = texts.where(F.size(wanted) > 0).select("id", "rid", "text", wanted)
-    return read.mapInArrow(run, _schema(read, "w1 long", "w2 long", "id", "rid", "at int"))
+    return read.mapInArrow(run, _schema(read, "w1 long", "w2 long", "id", "rid", "at int", "known array<int>"))
 
 
 def kept(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -225,7 +257,7 @@ def kept(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                 words = text.as_py().split()
                 depth = np.zeros(len(words) + 1, np.int64)
                 starts = at.values.to_numpy()
-                depth[starts] += 1
+                np.add.at(depth, starts, 1)
                 np.add.at(depth, starts + window, -1)
                 stays = np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()
                 removed.append(len(words) - len(stays))
@@ -250,10 +282,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     texts = written(read.join(own, ["id", "key"]).select("id", "rid", "text", "later", "earlier"), "shared-texts", compression="zstd")
 
     # a window counts against those of later documents only if its sign is also theirs, and the other way round
-    sources = windows(texts, "earlier", window, rounds, piece).groupBy("w1", "w2").agg(F.min("id").alias("least"))
-    found = windows(texts, "later", window, rounds, piece).join(sources, ["w1", "w2"]).where(F.col("least") < F.col("id"))
-    covers = found.groupBy("rid").agg(F.collect_set("at").alias("at"))
-    edits = kept(texts.select("rid", "text").join(covers, "rid"), window, with_text)
+    sources = windows(texts, "earlier", window, rounds, piece).where("known IS NULL").groupBy("w1", "w2").agg(F.min("id").alias("least"))
+    found = windows(texts, "later", window, rounds, piece).join(sources, ["w1", "w2"], "left").where(F.col("known").isNotNull() | (F.col("least") < F.col("id")))
+    covers = found.groupBy("rid").agg(F.flatten(F.collect_set(F.coalesce("known", F.array("at")))).alias("at"))
+    edits = kept(texts.where(F.size("later") > 0).select("rid", "text").join(covers, "rid"), window, with_text)
     edits = written(edits.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text"))), "edits")
 
     firsts = firsts.select("rid", "digest", F.col("id").alias("first")).join(edits, "rid", "left").drop("rid")
