@@ -11,15 +11,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeweave.operators import metrics
+from citeweave.session import delete, shared_path
 
 Params = dict[str, np.ndarray]
-#: How many sums of weights reach the driver in a round.
-SUMS = 8
+#: How many sums of gradients reach the driver in a step, and how many steps a round has at most.
+SUMS, MAX_STEPS = 8, 1000
 
 
 def start(n_tokens: int, size: int, width: int, layers: int, hidden: int, shared: bool, seed: int) -> Params:
@@ -146,18 +147,23 @@ def _matrix(column: pa.Array, n_tokens: int, size: int) -> np.ndarray:
 class Attention:
     """Columns of ``tokens`` are arrays of one length (embeddings), or numbers (a token each, with its own projection).
 
-    Scale the columns first. Each round every partition goes once through its rows from the round's weights (AdamW),
-    and the weights are averaged by rows, so results depend on the partitioning, which retries keep. With validation
-    rows the weights of the best weighted F1 are kept. Nulls are zeros; rows without a label don't count; arrays of
-    another length fail.
+    Scale the columns first. Training is synchronous: rows are dealt to steps of about ``batch`` rows by a hash of their
+    values (MAX_STEPS at most, written once by step), a step's gradient is summed over all partitions, and one AdamW state
+    on the driver moves the weights. So weights don't depend on the partitioning (but for the last digits of sums), and a
+    step that many equal rows fall into is only larger. Each round goes through all steps in a keyed order. With
+    validation rows the weights of the best weighted F1 are kept. Nulls are zeros; rows without a label don't count;
+    arrays of another length fail.
     """
 
     def __init__(self, name: str, tokens: Sequence[str], size: int = 1, label: str = "is_reference_valid", width: int = 64, heads: int = 8, layers: int = 2, hidden: int | None = None, rate: float = 1e-3, decay: float = 1e-4, batch: int = 512, seed: int = 42) -> None:
         if width % heads:
             raise ValueError("width must be a multiple of heads")
         self.name, self.tokens, self.size, self.label = name, list(tokens), size, label
-        self.heads, self.rate, self.decay, self.batch = heads, rate, decay, batch
+        self.heads, self.rate, self.decay, self.batch, self.seed = heads, rate, decay, batch, seed
+        self.shape = {"width": width, "layers": layers, "hidden": hidden or 2 * width}
         self.params = start(len(self.tokens), size, width, layers, hidden or 2 * width, size > 1, seed)
+        self.moments: tuple[Params, Params] = tuple({k: np.zeros_like(v) for k, v in self.params.items()} for _ in range(2))
+        self.step = 0
 
     def _inputs(self):
         if self.size == 1:
@@ -165,49 +171,67 @@ class Attention:
         zeros = F.array_repeat(F.lit(0.0), self.size)
         return F.concat(*(F.coalesce(F.transform(F.col(c), lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), zeros) for c in self.tokens))
 
-    def _round(self, rows: DataFrame, positive_weight: float) -> None:
-        keys, shape = sorted(self.params), (len(self.tokens), self.size)
-        heads, rate, decay, batch = self.heads, self.rate, self.decay, self.batch
+    def _gradient(self, rows: DataFrame, positive_weight: float) -> Params | None:
+        """The mean gradient of the rows (x, y); None without rows."""
+        keys, shape, heads, slice_ = sorted(self.params), (len(self.tokens), self.size), self.heads, 512
         sent = rows.sparkSession.sparkContext.broadcast(self.params)  # the model: its size is set by the parameters
 
-        def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = {k: v.copy() for k, v in sent.value.items()}
-            mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-            n = step = 0
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = 0.0, 0
             for found in batches:
                 x, y = _matrix(found.column(0), *shape), found.column(1).to_numpy(zero_copy_only=False)
-                for at in range(0, len(y), batch):
-                    _, g = gradients(p, heads, x[at : at + batch], y[at : at + batch], positive_weight)
-                    step += 1
-                    for k in keys:
-                        mean[k] = 0.9 * mean[k] + 0.1 * g[k]
-                        square[k] = 0.999 * square[k] + 0.001 * g[k] ** 2
-                        p[k] -= rate * (mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8) + decay * p[k])
-                n += len(y)
+                for at in range(0, len(y), slice_):
+                    part = y[at : at + slice_]
+                    _, g = gradients(sent.value, heads, x[at : at + slice_], part, positive_weight)
+                    total = total + np.concatenate([g[k].ravel() for k in keys]) * len(part)
+                    n += len(part)
             if n:
-                yield pa.RecordBatch.from_pydict({"w": [np.concatenate([p[k].ravel() for k in keys]).tobytes()], "n": [n]})
+                yield pa.RecordBatch.from_pydict({"g": [total.tobytes()], "n": [n]})
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = 0.0, 0
             for found in batches:
-                for w, m in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
-                    total, n = total + np.frombuffer(w) * m, n + m
+                for g, m in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+                    total, n = total + np.frombuffer(g), n + m
             if n:
-                yield pa.RecordBatch.from_pydict({"w": [total.tobytes()], "n": [n]})
-
-        known = rows.where(F.col(self.label).isNotNull()).select(self._inputs().alias("x"), F.col(self.label).cast("double").alias("y"))
-        parts = known.mapInArrow(walked, "w binary, n long").repartition(SUMS, F.xxhash64("w")).mapInArrow(summed, "w binary, n long").collect()  # SUMS rows at most
-        if parts:
-            flat = sum(np.frombuffer(r["w"]) for r in sorted(parts, key=lambda r: bytes(r["w"]))) / sum(r["n"] for r in parts)
-            ends = np.cumsum([self.params[k].size for k in keys])[:-1]
-            self.params = {k: v.reshape(self.params[k].shape).copy() for k, v in zip(keys, np.split(flat, ends))}
+                yield pa.RecordBatch.from_pydict({"g": [total.tobytes()], "n": [n]})
+
+        parts = rows.select("x", "y").mapInArrow(partial, "g binary, n long").repartition(SUMS, F.xxhash64("g")).mapInArrow(summed, "g binary, n long").collect()  # SUMS rows at most
+        sent.unpersist()
+        if not parts:
+            return None
+        flat = sum(np.frombuffer(r["g"]) for r in sorted(parts, key=lambda r: bytes(r["g"]))) / sum(r["n"] for r in parts)
+        ends = np.cumsum([self.params[k].size for k in keys])[:-1]
+        return {k: v.reshape(self.params[k].shape) for k, v in zip(keys, np.split(flat, ends))}
+
+    def _moved(self, g: Params) -> None:
+        """One AdamW step."""
+        self.step += 1
+        mean, square = self.moments
+        moved = {}
+        for k, v in self.params.items():
+            mean[k] = 0.9 * mean[k] + 0.1 * g[k]
+            square[k] = 0.999 * square[k] + 0.001 * g[k] ** 2
+            moved[k] = v - self.rate * (mean[k] / (1 - 0.9**self.step) / (np.sqrt(square[k] / (1 - 0.999**self.step)) + 1e-8) + self.decay * v)
+        self.params = moved
 
     def train(self, rows: DataFrame, validation: DataFrame | None = None, rounds: int = 5, patience: int = 2) -> Attention:
+        spark = rows.sparkSession
         n, positive = rows.agg(F.count(self.label), F.coalesce(F.sum(self.label), F.lit(0))).first()
+        if not n:
+            return self
         weight = (n - positive) / positive if positive and n > positive else 1.0
+        steps = min(MAX_STEPS, max(1, n // self.batch))
+        known = rows.where(F.col(self.label).isNotNull()).select(self._inputs().alias("x"), F.col(self.label).cast("double").alias("y"))
+        path = shared_path(spark, "steps")
+        known.withColumn("step", F.pmod(F.xxhash64(F.lit(self.seed), "x", "y"), F.lit(steps)).cast("int")).hint("rebalance", "step").write.partitionBy("step").parquet(path)
+        dealt = spark.read.parquet(path)
+        order = np.random.default_rng(self.seed)
         best, kept, behind = -1.0, self.params, 0
         for _ in range(rounds):
-            self._round(rows, weight)
+            for s in order.permutation(steps).tolist():
+                if (g := self._gradient(dealt.where(F.col("step") == s), weight)) is not None:
+                    self._moved(g)
             if validation is None:
                 continue
             score = metrics.weighted_scores(self.predict(validation), self.label).first()["f1"] or 0.0
@@ -216,6 +240,25 @@ class Attention:
                 break
         if validation is not None:
             self.params = kept
+        delete(spark, path)
+        return self
+
+    def evaluate(self, rows: DataFrame) -> DataFrame:
+        return metrics.weighted_scores(self.predict(rows), self.label)
+
+    def save_into(self, at: str) -> None:
+        """The weights and moments as a table of tensors, under a folder."""
+        spark = SparkSession.active()
+        rows = [(kind, k, list(v.shape), v.ravel().tolist()) for kind, own in (("weight", self.params), ("mean", self.moments[0]), ("square", self.moments[1])) for k, v in sorted(own.items())]
+        spark.createDataFrame([("step", "", [], [float(self.step)]), *rows], "kind string, name string, shape array<int>, numbers array<double>").coalesce(1).write.parquet(f"{at}/tensors")
+
+    def load_from(self, at: str) -> Attention:
+        found: dict[str, Params] = {}
+        for r in SparkSession.active().read.parquet(f"{at}/tensors").collect():  # the model
+            found.setdefault(r["kind"], {})[r["name"]] = np.array(r["numbers"]).reshape(r["shape"])
+        if {k: v.shape for k, v in found["weight"].items()} != {k: v.shape for k, v in self.params.items()}:
+            raise ValueError("the weights are of a model of another shape")
+        self.params, self.moments, self.step = found["weight"], (found["mean"], found["square"]), int(found["step"][""])
         return self
 
     def predict(self, rows: DataFrame, threshold: float = 0.5) -> DataFrame:

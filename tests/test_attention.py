@@ -44,3 +44,25 @@ def test_features_as_tokens(spark):
     assert model.predict(rows).where("prediction = is_reference_valid").count() > 520
     before = model.params
     assert model.train(rows.limit(0), rounds=1).params is before
+
+
+def test_synchronous_steps_beat_a_linear_model_and_ignore_partitions(spark, tmp_path):
+    """A planted interaction of two features: the sign of their product."""
+    from citeweave.operators import models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 3))
+    rows = spark.createDataFrame([(i, *map(float, r), int(r[0] * r[1] > 0)) for i, r in enumerate(x)], "id int, a double, b double, c double, is_reference_valid int")
+    train, held = rows.where("id < 700"), rows.where("id >= 700")
+    make = lambda: attention.Attention("tokens", ["a", "b", "c"], width=16, heads=2, layers=1, rate=1e-2, batch=100)
+    one, two = (make().train(train.repartition(n), rounds=2) for n in (1, 5))
+    assert max(np.abs(one.params[k] - two.params[k]).max() for k in one.params) < 1e-9 and one.step == 14
+    model = make().train(train, rounds=12)
+    linear = models.Logistic("linear", ["a", "b", "c"], maxIter=50).train(train)
+    share = lambda m: m.predict(held).where("prediction = is_reference_valid").count() / 200
+    assert share(model) > 0.85 > 0.65 > share(linear)
+    model.save_into(f"file://{tmp_path}/m")
+    again = make().load_from(f"file://{tmp_path}/m")
+    assert all(np.array_equal(model.params[k], again.params[k]) for k in model.params) and again.step == model.step
+    with pytest.raises(ValueError):
+        attention.Attention("other", ["a"], width=8, heads=2).load_from(f"file://{tmp_path}/m")
