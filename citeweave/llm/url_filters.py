@@ -17,8 +17,8 @@ without labels, and all names where the place has one group only, take the purit
 is rejected if its smoothed purity is ``reject`` or more and the group that it got it from has ``min_labelled`` labelled
 urls or more; else it is allowed.
 
-All counts are grouped sums of distinct templates, combined before the shuffle; places are known by the hashes of their
-segments, so that long paths aren't copied for each level. What is gathered in one row is the names of a settled place
+All counts are grouped sums of distinct templates, combined before the shuffle; places are known by a running hash of
+their segments, so a path costs its length. What is gathered in one row is the names of a settled place
 and the levels of a path. Wildcards take one round for each level of nested places that are too wide, and one to see
 that there are no more. Urls, narrow rows, join a template's verdict where Spark may split a large host's partition.
 DataFrame functions only.
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import written
@@ -76,9 +76,15 @@ def _apart(b: F.Column, n: F.Column, other_b: F.Column, other_n: F.Column) -> F.
     return (spread > 0) & (F.abs(b / n - other_b / other_n) >= Z * spread)
 
 
-def _places(steps: F.Column) -> F.Column:
-    """Hashes of the first 0, 1, 2 ... segments."""
-    return F.aggregate(steps, F.array(F.lit(0).cast("long")), lambda found, s: F.concat(found, F.array(F.xxhash64(F.element_at(found, -1), s))))
+def _places(rows: DataFrame, key: str) -> DataFrame:
+    """The (at, name) rows of each (host, key) with ``under`` and ``place``: what stands for the segments before, and up to, ``at``.
+
+    Both are running sums (xor) of the hashes of (at, name), so a path costs its length, however long it is.
+    """
+    along = Window.partitionBy("host", key).orderBy("at")
+    hashed = rows.withColumn("_h", F.xxhash64("at", "name"))
+    before = F.bit_xor("_h").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return hashed.withColumn("under", F.coalesce(before, F.lit(0).cast("long"))).withColumn("place", F.col("under").bitwiseXOR(F.col("_h"))).drop("_h")
 
 
 def _generalised(cells: DataFrame, max_names: int) -> DataFrame:
@@ -87,8 +93,7 @@ def _generalised(cells: DataFrame, max_names: int) -> DataFrame:
     A round replaces the first such name of each path: all above it are settled, so places are too.
     """
     while True:
-        at = cells.select("host", "cell", _places(F.col("steps")).alias("places"), F.posexplode("steps").alias("at", "name"))
-        at = at.select("host", "cell", "at", "name", F.get("places", "at").alias("under"))
+        at = _places(cells.select("host", "cell", F.posexplode("steps").alias("at", "name")), "cell").drop("place")
         wide = at.select("host", "under", "name").distinct().groupBy("host", "under").agg(F.count(F.lit(1)).alias("names"))
         wide = written(wide.where(F.col("names") > max_names).drop("names"), "wide-places")
         if not wide.limit(1).count():
@@ -133,9 +138,8 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     cells = cells.withColumn("template", F.concat(F.lit("/"), F.array_join("steps", "/"))).withColumn("own", F.md5("template"))
     leaf = cells.groupBy("host", "own").agg(F.first("steps").alias("steps"), F.sum("n").alias("n"), F.sum("b").alias("b"))
     # every prefix of a template, and its end, is a place of the tree, with the counts of all below it
-    leaf = leaf.withColumn("places", _places(F.concat("steps", F.array(F.lit("")))))
-    levels = leaf.select("host", "own", "n", "b", "places", F.posexplode(F.slice("places", F.lit(2), F.size("places"))).alias("level", "place"))
-    levels = written(levels.select("host", "own", "n", "b", "level", "place", F.get("places", "level").alias("parent")), "url-levels")
+    levels = _places(leaf.select("host", "own", "n", "b", F.posexplode(F.concat("steps", F.array(F.lit("")))).alias("at", "name")), "own")
+    levels = written(levels.select("host", "own", "n", "b", F.col("at").alias("level"), "place", F.col("under").alias("parent")), "url-levels")
     groups = _groups(levels.groupBy("host", "parent", "place").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
     # the hosts' own purity
     suffix = F.regexp_extract("host", r"([^.]*(?:\.[^.]*)?)$", 1)

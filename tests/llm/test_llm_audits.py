@@ -216,3 +216,27 @@ def test_divergence_matches_plain_sums(spark):
 def test_shares_are_exact_beyond_64_bits():
     counts, total = np.array([0, 1, 10**14, 8 * 10**15 - 2]), 9 * 10**15 - 1
     assert divergence.shares(counts, total).tolist() == [1 + 10**9 * (int(c) + 2) // total for c in counts]
+
+
+# --- 6 url filters: long paths ---
+
+
+def test_a_very_long_url_costs_its_length(spark):
+    import time
+
+    from citeweave.llm import url_filters
+
+    rows = [(i, f"https://h{i % 7}.example.org/{'ab'[i % 2]}/c{i % 5}/p-{i}") for i in range(1000)]
+    rules = [("block", "h1.example.org/a/")]
+
+    def judged(own):
+        began = time.time()
+        got = {r.page_id: (r.verdict, r.template) for r in url_filters.judged(spark.createDataFrame(own, "page_id long, url string"), rules).collect()}
+        return time.time() - began, got
+
+    judged(rows)
+    plain, want = judged(rows)
+    long = "https://h1.example.org/" + "/".join(f"s{'xyz'[i % 3]}" for i in range(100_000))
+    slow, got = judged([*rows, (1000, long)])
+    assert got.pop(1000)[1].count("/") == 100_000 and got == want
+    assert slow < 2 * plain + 20
