@@ -195,3 +195,22 @@ def t10_split_similarity(t: Inputs) -> DataFrame:
 def t10_split_embeddings(t: Inputs) -> DataFrame:
     pairs = _split_pairs(t)
     return pair_texts.fit(pairs.where("split = 'train'"), 64, 2000).embeddings(pairs)
+
+
+@query("SELECT CAST(doc_id % 4 AS INTEGER) AS part, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, CASE WHEN doc_id % 4 < 2 THEN 'kept' ELSE 'written' END AS state FROM documents GROUP BY doc_id % 4")
+def s16_resumed_parts(t: Inputs) -> DataFrame:
+    """Four parts whose writer stops before the third; a second call writes what is left, and a merge makes one table."""
+    from citeweave.session import shared_path
+    from citeweave.sources import resumable
+
+    docs, path = t.table("documents").select("doc_id", "n_chars"), shared_path(t.spark, "resumable")
+    parts: dict[str, list[str]] = {str(k): [] for k in range(4)}
+
+    def make(key: str, _: list[str]) -> DataFrame:
+        return docs.where(F.col("doc_id") % 4 == int(key))
+
+    resumable.write_parts(t.spark, path, {k: parts[k] for k in ("0", "1")}, make)  # as far as the first call came
+    states = resumable.write_parts(t.spark, path, parts, make)
+    state = F.get(F.array(*(F.lit(states[str(k)]) for k in range(4))), F.col("part"))
+    rows = resumable.merge_parts(t.spark, path, parts, f"{path}/table").groupBy((F.col("doc_id") % 4).cast("int").alias("part"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")).withColumn("state", state)

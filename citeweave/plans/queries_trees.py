@@ -37,7 +37,7 @@ def _split(t: Inputs) -> tuple[DataFrame, DataFrame, list[str]]:
 
 
 @query()
-def l04_leafwise_boosting(t: Inputs) -> DataFrame:
+def l03_leafwise_boosting(t: Inputs) -> DataFrame:
     train, test, names = _split(t)
     model = boosting.LeafwiseBoosting("leafwise", names, key="vec_id", rounds=10).train(train)
     return model.predict(test).select("vec_id", "is_reference_valid", "prediction", F.round("probability", 4).alias("probability"))
