@@ -214,3 +214,19 @@ def s16_resumed_parts(t: Inputs) -> DataFrame:
     state = F.get(F.array(*(F.lit(states[str(k)]) for k in range(4))), F.col("part"))
     rows = resumable.merge_parts(t.spark, path, parts, f"{path}/table").groupBy((F.col("doc_id") % 4).cast("int").alias("part"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")).withColumn("state", state)
+
+
+@query("""WITH i AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 256 AS shard FROM documents),
+s AS (SELECT shard, count(*) AS rows FROM i GROUP BY 1), b AS (SELECT shard, sum(rows) OVER (ORDER BY md5('7|3|shard|' || shard), shard) - rows AS before FROM s),
+p AS (SELECT doc_id, n_chars, before + row_number() OVER (PARTITION BY shard ORDER BY md5('7|3|row|' || doc_id), doc_id) - 1 AS pos FROM i JOIN b USING (shard))
+SELECT CAST(pos // 32 AS BIGINT) AS batch, CAST(count(*) AS INTEGER) AS real, list(doc_id ORDER BY pos)[1] AS first_id, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM p GROUP BY pos // 32""")
+def t14_epoch_batches(t: Inputs) -> DataFrame:
+    """The batches of one epoch over shards of all documents."""
+    from citeweave.sources import batches
+
+    path = shared_path(t.spark, "shards")
+    shapes = {"doc_id": (0, "long"), "n_chars": (0, "long")}
+    docs = t.table("documents").select("doc_id", "n_chars").withColumn("id", F.col("doc_id"))
+    batches.write_shards(docs, path, "id", shapes, shard_rows=256)
+    rows = batches.packed(batches.epoch(t.spark, path, "id", 3, 32, 7), 32, shapes)
+    return rows.select("batch", "real", F.get("doc_id", F.lit(0)).alias("first_id"), F.aggregate("n_chars", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_chars"))
