@@ -95,6 +95,21 @@ def g10_components(t: Inputs) -> DataFrame:
     return graph.components(graph.vertices_of(e), e)
 
 
+@query("""WITH RECURSIVE e AS (
+  SELECT p_partkey AS a, (p_partkey * 7 + 3) % 1000 AS b FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 5 < 2),
+b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(id, component) USING KEY (id) AS (
+  SELECT DISTINCT a, a FROM b
+  UNION (SELECT b.b, min(c.component) FROM cc c JOIN b ON b.a = c.id JOIN recurring.cc r ON r.id = b.b WHERE c.component < r.component GROUP BY b.b))
+SELECT id, component FROM cc""")
+def g10_general_components(t: Inputs) -> DataFrame:
+    """A graph with cycles, chains and trees."""
+    p = t.table("part").select(F.col("p_partkey").alias("src"))
+    far = p.where("src % 3 = 0").select("src", ((F.col("src") * 7 + 3) % 1000).alias("dst"))
+    edges = far.union(p.where("src % 5 < 2").select("src", (F.col("src") + 1).alias("dst")))
+    return graph.components(graph.vertices_of(edges), edges)
+
+
 @query(f"WITH {_SPARSE} SELECT size, count(*) AS n_components FROM (SELECT d, count(*) + 1 AS size FROM se GROUP BY 1) GROUP BY 1")
 def a23_component_sizes(t: Inputs) -> DataFrame:
     e = _sparse_edges(t)

@@ -323,6 +323,13 @@ def m08_negative_pairs(t: Inputs) -> DataFrame:
     return pairs.negative_keys(positives, t.papers.select("id"), 42).select("article_id", "pos", "ref_id")
 
 
+@query(f"WITH {NEGATIVES.strip().replace(' UNION SELECT article_id, article_id FROM fx_pairs', '')} SELECT article_id, pos, ref_id FROM negatives")
+def m10_negatives_with_self(t: Inputs) -> DataFrame:
+    """Negatives where an article may be drawn as its own reference."""
+    positives = written(pairs.positive_keys(t.refs, t.papers), "positives")
+    return pairs.negative_keys(positives, t.papers.select("id"), 42, include_self=True).select("article_id", "pos", "ref_id")
+
+
 _TRAINING = f"""WITH {NEGATIVES.strip()}, p AS (SELECT id, year, lang FROM fx_papers), l AS (SELECT article_id, ref_id, 1 AS y FROM fx_pairs UNION ALL SELECT article_id, ref_id, 0 FROM negatives)
 SELECT article_id, ref_id, CAST(y AS INTEGER) AS is_reference_valid, a.year AS year_article, r.year AS year_ref, a.lang AS lang_article, r.lang AS lang_ref FROM l JOIN p a ON a.id = article_id JOIN p r ON r.id = ref_id"""
 
@@ -402,7 +409,24 @@ def a24_split_summary(t: Inputs) -> DataFrame:
     return profiling.split_summary(rows, rows.where("year > 1990"))
 
 
-@query()
+_SPLITS = """
+sp AS (
+  SELECT *, CASE split WHEN 'train' THEN '42|' WHEN 'validation' THEN '43|' ELSE '44|' END AS seed
+  FROM (SELECT id, year, CASE WHEN year < 1985 THEN 'train' WHEN year < 2005 THEN 'validation' ELSE 'test' END AS split FROM fx_papers)),
+ids AS (SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY id) - 1 AS idx FROM sp),
+n AS (SELECT split, count(*) AS n FROM ids GROUP BY 1),
+pr AS (SELECT a.split, a.seed, r.id AS article_id, r.pos, r.ref_id FROM fx_refs r JOIN sp a ON a.id = r.id JOIN sp b ON b.id = r.ref_id AND b.split = a.split),
+forbidden AS (SELECT article_id, ref_id FROM pr UNION SELECT article_id, article_id FROM pr),
+draws AS (
+  SELECT split, article_id, pos, j, CAST('0x' || substr(md5(seed || article_id || '|' || pos || '|' || j), 1, 8) AS BIGINT) % n AS idx
+  FROM pr JOIN n USING (split), range(16) t(j)),
+free AS (SELECT d.*, i.id AS ref_id FROM draws d JOIN ids i USING (split, idx) WHERE NOT EXISTS (SELECT 1 FROM forbidden f WHERE f.article_id = d.article_id AND f.ref_id = i.id)),
+l AS (
+  SELECT split, article_id, ref_id, 1 AS y FROM pr UNION ALL SELECT split, article_id, arg_min(ref_id, j), 0 FROM free GROUP BY split, article_id, pos)"""
+
+
+@query(f"""WITH {_SPLITS.strip()}
+SELECT article_id, ref_id, CAST(y AS INTEGER) AS is_reference_valid, l.split FROM l JOIN sp a ON a.id = article_id JOIN sp r ON r.id = ref_id WHERE a.year >= r.year""")
 def m12_pairs_by_split(t: Inputs) -> DataFrame:
     papers = t.papers.select("id", "year", F.when(F.col("year") < 1985, "train").when(F.col("year") < 2005, "validation").otherwise("test").alias("split"))
     return pairs.pairs_by_split(t.refs, papers, {"train": 42, "validation": 43, "test": 44}).select("article_id", "ref_id", "is_reference_valid", "split")
