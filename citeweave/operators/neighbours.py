@@ -34,33 +34,50 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _scores(q: np.ndarray, x: np.ndarray, power: float | None) -> np.ndarray:
-    """Queries x rows, the larger the nearer; term by term, not as a matrix product, so that no score depends on a batch."""
-    if power == 2:
-        s = -np.sqrt(sum((q[:, None, d] - x[None, :, d]) ** 2 for d in range(x.shape[1])))
-    elif power is not None:
-        s = -(sum(np.abs(q[:, None, d] - x[None, :, d]) ** power for d in range(x.shape[1])) ** (1 / power))
-    else:
-        dot = sum(q[:, None, d] * x[None, :, d] for d in range(x.shape[1]))
-        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-        s = np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
-    return np.round(s, 9)
+def _scores(q: np.ndarray, x: np.ndarray, power: float) -> np.ndarray:
+    """Queries x rows, the larger the nearer; term by term, so that no score depends on a batch."""
+    return np.round(-(sum(np.abs(q[:, None, d] - x[None, :, d]) ** power for d in range(x.shape[1])) ** (1 / power)), 9)
+
+
+def _pair_scores(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray, power: float | None) -> np.ndarray:
+    """The scores of some pairs, by the same sums."""
+    if power is not None:
+        apart = sum(np.abs(q[rows, d] - x[cols, d]) ** power if power != 2 else (q[rows, d] - x[cols, d]) ** 2 for d in range(x.shape[1]))
+        return np.round(-(np.sqrt(apart) if power == 2 else apart ** (1 / power)), 9)
+    dot = sum(q[rows, d] * x[cols, d] for d in range(x.shape[1]))
+    size = np.linalg.norm(q, axis=1)[rows] * np.linalg.norm(x, axis=1)[cols]
+    return np.round(np.divide(dot, size, out=np.zeros_like(dot), where=size > 0), 9)
+
+
+def _rough(q: np.ndarray, x: np.ndarray, power: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in order of the scores, but for an error below a part of ``slack``: by a matrix product."""
+    if power is None:
+        q, x = _unit(q, None), _unit(x, None)
+        return q @ x.T, np.full((len(q), 1), 1e-8)
+    sizes = (q**2).sum(axis=1)[:, None], (x**2).sum(axis=1)[None, :]
+    far = 2 * q @ x.T - sizes[0] - sizes[1]
+    return far, 1e-7 * (1 + sizes[0] + sizes[1].max())
 
 
 def _nearest(q_codes: np.ndarray, q: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int, power: float | None, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) indices of the k best rows of each query; ``codes`` are in order of the keys, and equal for equal keys."""
+    """(query, row, score) indices of the k best rows of each query; ``codes`` are in order of the keys, and equal for equal keys.
+
+    Where a matrix product can tell, it picks the rows that may be among them; those alone are scored.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     for at in range(0, len(q), 128):
-        s = _scores(q[at : at + 128], x, power)
+        part = q[at : at + 128]
+        s, slack = _rough(part, x, power) if power in (None, 2) else (_scores(part, x, power), 0.0)
         if exclude_self:
             s = np.where(q_codes[at : at + 128, None] == codes[None, :], -np.inf, s)
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, -k][:, None] - slack if s.shape[1] > k else np.full((len(s), 1), -np.inf)
         rows, cols = np.nonzero((s >= least) & (s > -np.inf))  # those that tie for the last place too
-        order = np.lexsort((codes[cols], -s[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
+        score = _pair_scores(part, x, rows, cols, power) if power in (None, 2) else s[rows, cols]
+        order = np.lexsort((codes[cols], -score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        rows, cols = rows[place < k], cols[place < k]
-        out.append((rows + at, cols, s[rows, cols]))
+        rows, cols, score = rows[place < k], cols[place < k], score[place < k]
+        out.append((rows + at, cols, score))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
@@ -122,10 +139,13 @@ def _unit(x: np.ndarray, power: float | None) -> np.ndarray:
 
 def _distances(x: np.ndarray, pivots: np.ndarray, power: float | None) -> np.ndarray:
     """Rows x pivots, a few rows at a time."""
+    if power in (None, 2):  # right to 1e-7 of the vectors' sizes, which the bounds allow for
+        square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T
+        return np.sqrt(np.maximum(square, 0))
     out = np.zeros((len(x), len(pivots)))
     for at in range(0, len(x), 64):
         apart = np.abs(x[at : at + 64, None, :] - pivots[None, :, :])
-        out[at : at + 64] = np.sqrt((apart**2).sum(axis=2)) if power in (None, 2) else (apart**power).sum(axis=2) ** (1 / power)
+        out[at : at + 64] = (apart**power).sum(axis=2) ** (1 / power)
     return out
 
 
@@ -184,7 +204,11 @@ def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
         if power is not None and power < 1:  # no triangle inequality
             under[:] = 0
         # scores are compared with 9 digits; a cosine's digits are those of the squared distance
-        near = under**2 <= most[:, None] ** 2 + 1e-7 if power is None else under <= most[:, None] + 1e-7 * np.maximum(1, most[:, None])
+        if power is None:
+            near = under**2 <= most[:, None] ** 2 + 1e-5
+        else:
+            sizes = 1 + np.linalg.norm(x, axis=1) + np.linalg.norm(pivots, axis=1).max() + high.max()
+            near = under <= most[:, None] + 1e-6 * sizes[:, None]
         if power is None:
             near[np.abs(x).sum(axis=1) == 0] = True
         return near & (number > 0)
