@@ -4,8 +4,8 @@ Up to DIRECT queries (counted first) go to every task, and one pass over the row
 are joined by pivots: rows are dealt to the cell of their nearest pivot (a keyed sample), and each cell tells its
 least and greatest distance to the pivot and its k + 1 least ones. By the triangle inequality those bound a query's k-th
 distance from above and its distance to every row of a cell from below, so a query is sent only to cells that may hold
-one of its neighbours. Cells and their queries are cut into tiles by counted sizes, so a cell that holds most
-rows is many tasks; a task holds one tile of rows while that tile's queries stream past. Both ways give the same rows.
+one of its neighbours. Small cells beside each other share a tile; large ones, and many queries, are cut into tiles by
+counted sizes, so a cell that holds most rows is many tasks; a task holds one tile of rows while that tile's queries stream past. Both ways give the same rows.
 
 Cosines are searched as distances of unit vectors; a zero vector has cosine 0 to all. Scores are rounded to 9 digits, ties
 go by key. Rows without key or vector don't take part. On the driver: DIRECT queries at most, or the pivots and their cells'
@@ -185,6 +185,15 @@ def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
         number[c], low[c], high[c] = r["n"], r["low"], r["high"]
         nearest[c, : len(r["least"])] = r["least"]
     between = _distances(pivots, pivots, 2) if power in (None, 2) and len(pivots) else None
+    # small cells go together, neighbours first, so that a query isn't sent to each of them
+    along = np.r_[np.argsort((pivots - pivots.mean(axis=0)) @ np.linalg.svd(pivots - pivots.mean(axis=0), full_matrices=False)[2][0], kind="stable"), zero_cell] if len(pivots) > 1 else np.arange(zero_cell + 1)
+    group, held = np.zeros(zero_cell + 1, np.int64), 0
+    for before, c in zip(along, along[1:]):
+        held += number[before]
+        new = held + number[c] > tile
+        group[c], held = group[before] + new, 0 if new else held
+    member = np.zeros((zero_cell + 1, int(group.max()) + 1), bool)
+    member[np.arange(zero_cell + 1), group] = True
 
     def reach(x: np.ndarray) -> np.ndarray:
         """Rows x cells: whether a cell may hold one of a query's neighbours."""
@@ -217,25 +226,26 @@ def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                rows, to = np.nonzero(reach(_unit(_vectors(part.column(1)), power)))
+                rows, to = np.nonzero(reach(_unit(_vectors(part.column(1)), power)) @ member)
                 taken = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column(0).take(taken), part.column(1).take(taken)], ["_cell", "_key", "_vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column(0).take(taken), part.column(1).take(taken)], ["_group", "_key", "_vector"])
 
     asked = queries.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
-    asked = written(asked.mapInArrow(sent, T.StructType([T.StructField("_cell", T.IntegerType()), *asked.schema.fields])), "sent-queries")
-    counts = {r["_cell"]: r["n"] for r in asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+    asked = written(asked.mapInArrow(sent, T.StructType([T.StructField("_group", T.IntegerType()), *asked.schema.fields])), "sent-queries")
+    counts = {r["_group"]: r["n"] for r in asked.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a group
     if not counts:
         return spark.createDataFrame([], schema)
-    sizes = spark.createDataFrame([(c, -(-int(number[c]) // tile), -(-int(q) // tile)) for c, q in counts.items()], "_cell int, _tiles int, _slices int")
+    sizes = spark.createDataFrame([(g, -(-int(number[group == g].sum()) // tile), -(-int(q) // tile)) for g, q in counts.items()], "_group int, _tiles int, _slices int")
+    groups = spark.createDataFrame([(c, int(g)) for c, g in enumerate(group)], "_cell int, _group int")
     placed = F.xxhash64(F.monotonically_increasing_id())
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    rows = cells.drop("_near").withColumn("_at", placed).join(sizes, "_cell").withColumn("_tile", F.pmod("_at", F.col("_tiles")).cast("int")).withColumn("_slice", every("_slices"))
-    asks = asked.withColumn("_at", placed).join(sizes, "_cell").withColumn("_slice", F.pmod("_at", F.col("_slices")).cast("int")).withColumn("_tile", every("_tiles"))
-    group, columns = ["_cell", "_tile", "_slice"], ["_key", "_vector", *(f"_k{i}" for i in range(len(keep)))]
-    both = rows.withColumn("_asks", F.lit(False)).select(*group, "_asks", *columns).unionByName(asks.withColumn("_asks", F.lit(True)).select(*group, "_asks", "_key", "_vector"), allowMissingColumns=True)
+    rows = cells.drop("_near").withColumn("_at", placed).join(groups, "_cell").join(sizes, "_group").withColumn("_tile", F.pmod("_at", F.col("_tiles")).cast("int")).withColumn("_slice", every("_slices"))
+    asks = asked.withColumn("_at", placed).join(sizes, "_group").withColumn("_slice", F.pmod("_at", F.col("_slices")).cast("int")).withColumn("_tile", every("_tiles"))
+    place, columns = ["_group", "_tile", "_slice"], ["_key", "_vector", *(f"_k{i}" for i in range(len(keep)))]
+    both = rows.withColumn("_asks", F.lit(False)).select(*place, "_asks", *columns).unionByName(asks.withColumn("_asks", F.lit(True)).select(*place, "_asks", "_key", "_vector"), allowMissingColumns=True)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
@@ -258,7 +268,7 @@ def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
                 q_codes, codes = _codes(part.column(4), table.column(4))
                 yield _found(part.column(4), table.column(4), table.columns[6:], keep, _nearest(q_codes, _vectors(part.column(5)), codes, x, k, power, exclude_self))
 
-    return both.repartition(*group).sortWithinPartitions(*group, "_asks").mapInArrow(compared, schema)
+    return both.repartition(*place).sortWithinPartitions(*place, "_asks").mapInArrow(compared, schema)
 
 
 def _best(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, power: float | None, exclude_self: bool, keep: Sequence[str], direct: int) -> DataFrame:
