@@ -19,7 +19,7 @@ from citeweave.operators import metrics
 from citeweave.session import delete, shared_path
 
 Params = dict[str, np.ndarray]
-#: How many sums of gradients reach the driver in a step, and how many steps a round has at most.
+#: How many sums of gradients (or files' sums) reach the driver in a step, and how many steps a round has at most.
 SUMS, MAX_STEPS = 8, 1000
 
 
@@ -171,8 +171,8 @@ class Attention:
         zeros = F.array_repeat(F.lit(0.0), self.size)
         return F.concat(*(F.coalesce(F.transform(F.col(c), lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), zeros) for c in self.tokens))
 
-    def _gradient(self, rows: DataFrame, positive_weight: float) -> Params | None:
-        """The mean gradient of the rows (x, y); None without rows."""
+    def _gradient(self, rows: DataFrame, positive_weight: float) -> Params:
+        """The mean gradient of the rows (x, y), of which there is one at least."""
         keys, shape, heads, slice_ = sorted(self.params), (len(self.tokens), self.size), self.heads, 512
         sent = rows.sparkSession.sparkContext.broadcast(self.params)  # the model: its size is set by the parameters
 
@@ -196,10 +196,11 @@ class Attention:
             if n:
                 yield pa.RecordBatch.from_pydict({"g": [total.tobytes()], "n": [n]})
 
-        parts = rows.select("x", "y").mapInArrow(partial, "g binary, n long").repartition(SUMS, F.xxhash64("g")).mapInArrow(summed, "g binary, n long").collect()  # SUMS rows at most
+        sums = rows.select("x", "y").mapInArrow(partial, "g binary, n long")
+        if len(rows.inputFiles()) > SUMS:  # a small step's few sums need no second stage
+            sums = sums.repartition(SUMS, F.xxhash64("g")).mapInArrow(summed, "g binary, n long")
+        parts = sums.collect()
         sent.unpersist()
-        if not parts:
-            return None
         flat = sum(np.frombuffer(r["g"]) for r in sorted(parts, key=lambda r: bytes(r["g"]))) / sum(r["n"] for r in parts)
         ends = np.cumsum([self.params[k].size for k in keys])[:-1]
         return {k: v.reshape(self.params[k].shape) for k, v in zip(keys, np.split(flat, ends))}
@@ -225,13 +226,13 @@ class Attention:
         known = rows.where(F.col(self.label).isNotNull()).select(self._inputs().alias("x"), F.col(self.label).cast("double").alias("y"))
         path = shared_path(spark, "steps")
         known.withColumn("step", F.pmod(F.xxhash64(F.lit(self.seed), "x", "y"), F.lit(steps)).cast("int")).hint("rebalance", "step").write.partitionBy("step").parquet(path)
-        dealt = spark.read.parquet(path)
+        there = {r["step"] for r in spark.read.parquet(path).select("step").distinct().collect()}  # MAX_STEPS at most
         order = np.random.default_rng(self.seed)
         best, kept, behind = -1.0, self.params, 0
         for _ in range(rounds):
             for s in order.permutation(steps).tolist():
-                if (g := self._gradient(dealt.where(F.col("step") == s), weight)) is not None:
-                    self._moved(g)
+                if s in there:
+                    self._moved(self._gradient(spark.read.schema("x array<double>, y double").parquet(f"{path}/step={s}"), weight))
             if validation is None:
                 continue
             score = metrics.weighted_scores(self.predict(validation), self.label).first()["f1"] or 0.0
