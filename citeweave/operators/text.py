@@ -14,8 +14,8 @@ from citeweave.session import written
 STOP_WORDS = ("english", "the")
 
 
-def tokens(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term): runs of two word characters or more, lower-cased, without stop words; n-grams of what is left.
+def term_lists(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, terms): runs of two word characters or more, lower-cased, without stop words; n-grams of what is left.
 
     ``stop_words`` are words, or the name of a language whose list MLlib has ("english").
     """
@@ -26,12 +26,31 @@ def tokens(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})")), lambda w: ~w.isin(*stop_words))
 
     def runs(n: int):
-        starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: i + n - 1 <= F.size("_w"))
+        starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i > 0) & (i + n - 1 <= F.size("_w")))
         return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
 
     listed = rows.select(key, words.alias("_w")).where(F.size("_w") > 0)
     terms = F.col("_w") if n_grams == (1, 1) else F.concat(*(runs(n) for n in range(n_grams[0], n_grams[1] + 1)))
-    return listed.select(key, F.explode(terms).alias("term"))
+    return listed.select(key, terms.alias("terms"))
+
+
+def tokens(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, term): a row for each of the ``term_lists``' terms."""
+    return term_lists(rows, key, text, stop_words, n_grams).select(key, F.explode("terms").alias("term"))
+
+
+def counted(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, terms, counts): each row's distinct terms and how often it has them; counted where the text is read."""
+    return sparse.counted(term_lists(rows, key, text, stop_words, n_grams), key)
+
+
+def term_statistics(counts: DataFrame, size: int, n_rows: int, weight: str | None = None) -> DataFrame:
+    """(term, n, idf) of the ``size`` most frequent terms of ``counted`` rows, ties by term; a row counts ``weight`` times."""
+    one = F.col(weight) if weight else F.lit(1).cast("long")
+    each = counts.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"), one.alias("_n"))
+    sums = each.groupBy(F.col("t.terms").alias("term")).agg(F.sum(F.col("t.counts") * F.col("_n")).alias("n"), F.sum("_n").alias("df"))
+    idf = F.log((F.lit(1.0) + n_rows) / (1 + F.col("df"))) + 1
+    return sums.orderBy(F.col("n").desc(), "term").limit(size).select("term", "n", idf.alias("idf"))
 
 
 def vocabulary(terms: DataFrame, size: int = 2000) -> DataFrame:
@@ -69,38 +88,36 @@ def embedding_statistics(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def fit_svd(weights: DataFrame, vocab: DataFrame, key: str, k: int, gram_terms: int = 2000) -> DataFrame:
-    """(term, load): the right vectors of a truncated SVD; each component's largest entry is positive.
+    """(term, load): the right vectors of a truncated SVD; each component's largest entry is positive."""
+    long, terms = sparse.indexed(weights, vocab)
+    if k >= len(terms):
+        raise ValueError("k must be less than the number of terms")
+    return loadings(written(sparse.packed(long, key, "i"), "packed"), terms, k, gram_terms)
+
+
+def loadings(rows: DataFrame, terms: Sequence[str], k: int, gram_terms: int = 2000) -> DataFrame:
+    """(term, load) as ``fit_svd``, of packed rows by their terms' places in ``terms``.
 
     Up to ``gram_terms`` terms they are the eigenvectors of the Gram matrix, which is summed in one pass (32 MB on the
     driver at 2,000); beyond, they come from a random projection in four passes (``sparse.truncated_svd``), with
     blocks of vocabulary x (k + 20) on the driver.
     """
     import numpy as np
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
 
-    long, terms = sparse.indexed(weights, vocab)
     size = len(terms)
     if k >= size:
         raise ValueError("k must be less than the number of terms")
     if size > gram_terms:
-        v = sparse.truncated_svd(written(sparse.packed(long, key, "i"), "packed"), size, k)[1]
+        v = sparse.truncated_svd(rows, size, k)[1]
     else:
-        mapped = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "weight"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-        packed = VectorAssembler(inputCols=["d"], outputCol="v").transform(mapped.select(array_to_vector(dense).alias("d"))).select("v")
-        v = np.linalg.eigh(RowMatrix(MLUtils.convertVectorColumnsFromML(packed, "v")).computeGramianMatrix().toArray())[1][:, ::-1][:, :k]
+        v = np.linalg.eigh(sparse.gram(rows, size))[1][:, ::-1][:, :k]
         v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    return weights.sparkSession.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(terms)], "term string, load array<double>")
+    return rows.sparkSession.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(terms)], "term string, load array<double>")
 
 
 def project(weights: DataFrame, loadings: DataFrame, key: str) -> DataFrame:
     """(key, embedding): the weights times the loadings."""
-    parts = weights.join(loadings, "term").select(key, F.posexplode(F.transform("load", lambda x: x * F.col("weight"))).alias("c", "x"))
-    sums = parts.groupBy(key, "c").agg(F.sum("x").alias("x"))
-    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"].cast("float")).alias("embedding"))
+    return sparse.projected(sparse.packed(weights, key), {"embedding": loadings}).select(key, "embedding")
 
 
 def svd(weights: DataFrame, vocab: DataFrame, key: str, k: int) -> DataFrame:
@@ -131,6 +148,6 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
     return best_by_cosine(queries, base, key, vector, k, exclude_self, keep, **ways)
 
 
-def classic_matrix(pairs: DataFrame, weights: DataFrame, vocab: DataFrame, key: str, left: str, right: str, numeric: Sequence[str] = ()) -> DataFrame:
-    """Pairs with ``cosine`` and ``features``, a sparse vector: numeric columns, both sides' weights over ``vocab``, the cosine."""
-    return sparse.vectors(sparse.pair_matrix(pairs, weights, vocab, key, left, right, numeric))
+def classic_matrix(pairs: DataFrame, rows: DataFrame, size: int, key: str, left: str, right: str, numeric: Sequence[str] = ()) -> DataFrame:
+    """Pairs with ``cosine`` and ``features``, a sparse vector: numeric columns, both sides' packed weights over ``size`` terms, the cosine."""
+    return sparse.vectors(sparse.matrix_of(pairs, rows, size, key, left, right, numeric))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
-from citeweave.operators import combine, encoding, graph, ordering, text
+from citeweave.operators import combine, encoding, graph, ordering, sparse, text
 from citeweave.plans.fixtures import Inputs
 from citeweave.plans.registry import query
 from citeweave.session import written
@@ -159,7 +159,8 @@ def _terms(t: Inputs) -> DataFrame:
 
 @query("SELECT doc_id, term, count(*) AS tf FROM fx_words GROUP BY 1, 2")
 def t01_token_counts(t: Inputs) -> DataFrame:
-    return _terms(t).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = text.counted(t.table("documents"), "doc_id", "text")
+    return counts.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("doc_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
 
 
 @query("SELECT g AS term, count(*) AS n FROM (SELECT term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, w[i] AS term, i FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda x: x NOT IN ('english', 'the')) AS w FROM documents) x, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i))) WHERE g IS NOT NULL GROUP BY 1")
@@ -177,15 +178,17 @@ idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*)
 len AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM raw GROUP BY 1), weights AS (SELECT doc_id, term, w / l AS weight FROM raw JOIN len USING (doc_id))"""
 
 
-def _weights(t: Inputs) -> tuple[DataFrame, DataFrame]:
-    terms = written(_terms(t), "terms")
-    vocab = written(text.vocabulary(terms), "vocabulary")
-    return text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id"), vocab
+def _weights(t: Inputs, size: int = 2000, names: bool = False) -> tuple[DataFrame, list[str]]:
+    """The documents' weights, a row each, and the vocabulary in order."""
+    counts = text.counted(t.table("documents"), "doc_id", "text")
+    terms, idf = sparse.vocabulary_of(text.term_statistics(counts, size, t.table("documents").count()))
+    return sparse.tfidf(counts, "doc_id", terms, idf, names), terms
 
 
 @query(f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def t04_tfidf_weights(t: Inputs) -> DataFrame:
-    return _weights(t)[0].select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    each = _weights(t, names=True)[0].select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("t"))
+    return each.select("doc_id", F.col("t.terms").alias("term"), F.round("t.weights", 6).alias("weight"))
 
 
 @query(f"WITH {_TFIDF}, p AS (SELECT DISTINCT CAST(substr(article_id, 2) AS BIGINT) AS a, CAST(substr(ref_id, 2) AS BIGINT) AS b FROM fx_pairs) SELECT a, b, round(coalesce((SELECT sum(x.weight * y.weight) FROM weights x JOIN weights y ON x.term = y.term WHERE x.doc_id = a AND y.doc_id = b), 0), 6) AS cosine FROM p")
@@ -193,14 +196,15 @@ def t05_pair_tfidf_cosine(t: Inputs) -> DataFrame:
     from citeweave.operators.pairs import positive_keys
 
     keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("a"), F.substring("ref_id", 2, 20).cast("long").alias("b"))
-    cosine = text.pair_cosine(keys, written(_weights(t)[0], "weights"), "doc_id", "a", "b")
+    cosine = sparse.pair_products(keys, written(_weights(t)[0], "weights"), "doc_id", "a", "b")
     return cosine.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query()
 def t08_svd_embedding(t: Inputs) -> DataFrame:
-    weights, vocab = _weights(t)
-    return text.flat(text.svd(weights, vocab, "doc_id", 64), "embedding", "article_emb", 64, ["doc_id"])
+    weights, terms = _weights(t)
+    weights = written(weights, "weights")
+    return text.flat(sparse.projected(weights, {"embedding": text.loadings(weights, terms, 64)}), "embedding", "article_emb", 64, ["doc_id"])
 
 
 @query("SELECT round(avg(n), 6) AS norm_mean, round(stddev_pop(n), 6) AS norm_std FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
@@ -268,10 +272,8 @@ def t09_classic_matrix(t: Inputs) -> DataFrame:
     from citeweave.operators.pairs import positive_keys
 
     keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("a"), F.substring("ref_id", 2, 20).cast("long").alias("b")).distinct()
-    terms = written(_terms(t), "terms")
-    vocab = written(text.vocabulary(terms, 256), "vocabulary")
-    weights = written(text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id"), "weights")
-    rows = text.classic_matrix(keys, weights, vocab, "doc_id", "a", "b")
+    weights, terms = _weights(t, 256)
+    rows = text.classic_matrix(keys, written(weights, "weights"), len(terms), "doc_id", "a", "b")
     return rows.select("a", "b", F.round("cosine", 6).alias("cosine"), F.size(vector_to_array("features")).alias("n_features"))
 
 
@@ -282,14 +284,11 @@ c AS (SELECT a, b, i, weight AS value FROM p JOIN weights ON doc_id = a JOIN vi
 SELECT a, b, CAST(i AS INTEGER) AS i, round(value, 6) AS value FROM c""")
 def t09_classic_cells(t: Inputs) -> DataFrame:
     """Every cell of the sparse pair matrix that isn't 0."""
-    from citeweave.operators import sparse
     from citeweave.operators.pairs import positive_keys
 
     keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("a"), F.substring("ref_id", 2, 20).cast("long").alias("b")).distinct()
-    terms = written(_terms(t), "terms")
-    vocab = written(text.vocabulary(terms, 256), "vocabulary")
-    weights = written(text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id"), "weights")
-    rows = sparse.pair_matrix(written(keys, "keys"), weights, vocab, "doc_id", "a", "b")
+    weights, terms = _weights(t, 256)
+    rows = sparse.matrix_of(written(keys, "keys"), written(weights, "weights"), len(terms), "doc_id", "a", "b")
     cells = rows.select("a", "b", F.explode(F.arrays_zip("indices", "values")).alias("c"))
     return cells.select("a", "b", F.col("c.indices").alias("i"), F.round("c.values", 6).alias("value"))
 
@@ -297,12 +296,7 @@ def t09_classic_cells(t: Inputs) -> DataFrame:
 @query()
 def t07_random_projection_svd(t: Inputs) -> DataFrame:
     """Singular values of the documents' weights over 10,000 terms."""
-    from citeweave.operators import sparse
-
-    terms = written(_terms(t), "terms")
-    vocab = written(text.vocabulary(terms, 10_000), "vocabulary")
-    weights = text.tfidf(terms, text.inverse_frequencies(terms, vocab, "doc_id", t.table("documents").count()), "doc_id")
-    long, names = sparse.indexed(weights, vocab)
-    rows = written(sparse.packed(long, "doc_id", "i"), "packed")
+    weights, names = _weights(t, 10_000)
+    rows = written(weights, "packed")
     values, _ = sparse.truncated_svd(rows, len(names), min(64, len(names) - 1))
     return t.spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(values)], "component int, value double")

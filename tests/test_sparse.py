@@ -71,3 +71,23 @@ def test_sparse_vectors_train_a_model(spark, weights):
     ready = sparse.vectors(sparse.pair_matrix(pairs, long, long.select("term").distinct(), "id", "a", "b"))
     fitted = models.LogisticRegression(labelCol="y", maxIter=20).fit(ready)
     assert fitted.transform(ready).where("prediction = y").count() > 70
+
+
+def test_weights_come_without_shuffle(spark, data):
+    """Counts and weights are made where a text is read; rows of one key are one text."""
+    from citeweave.plans import queries_features
+    from citeweave.plans.fixtures import Inputs
+
+    weights, terms = queries_features._weights(Inputs(spark, data))
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString() and len(terms) <= 2000
+    rows = spark.createDataFrame([(1, "cat hat cat"), (2, "hat"), (1, "dog cat"), (3, None), (None, "cat")], "id int, text string")
+    counts = {r.id: dict(zip(r.terms, r.counts)) for r in text.counted(rows, "id", "text").collect()}
+    assert counts == {1: {"cat": 3, "hat": 1, "dog": 1}, 2: {"hat": 1}, None: {"cat": 1}}
+
+
+def test_gram_of_packed_rows(spark, weights, monkeypatch):
+    long, m = weights
+    index, terms = sparse.indexed(long, long.select("term").distinct())
+    monkeypatch.setattr(sparse, "HELD", 3000)
+    rows = sparse.packed(index, "id", "i")
+    assert np.allclose(sparse.gram(rows, len(terms)), m.T @ m) and not sparse.gram(rows.limit(0), 4).any()
