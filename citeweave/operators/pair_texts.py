@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.operators import text
+from citeweave.operators import sparse, text
 from citeweave.session import written
 
 META = ("split", "article_id", "ref_id", "is_reference_valid")
@@ -25,12 +25,18 @@ def deduplicated(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
 
 
+def least_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text): the least text of each key, null first; what ``deduplicated`` keeps of pairs joined with all of them."""
+    return rows.groupBy(key).agg(F.min(F.struct(text)).alias("_t")).select(key, f"_t.{text}")
+
+
 @dataclass
 class PairTexts:
-    """Fitted vocabulary, idf and one table of loadings for each side.
+    """Fitted vocabulary with idf, and one table of loadings for each side.
 
-    Equal texts are tokenised and projected once, and count for as many pairs as have them. A null text is empty;
-    a text without a known term has similarity 0 and a zero embedding.
+    Texts come with the pairs, or as a table (id, text) of their own, which the pairs name by article_id and ref_id: then
+    no text is ever copied for its pairs. Equal texts (or ids) are tokenised and projected once, and count for as many
+    pairs as have them. A null text is empty; a text without a known term has similarity 0 and a zero embedding.
     """
 
     idf: DataFrame
@@ -40,57 +46,59 @@ class PairTexts:
     ref: str
     options: dict
 
-    def _weights(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        terms, _ = _terms(rows, self.article, self.ref, self.options)
-        return written(text.tfidf(terms, self.idf, "doc"), "weights"), rows.select("*", _text_id(F.col(self.article)).alias("_a"), _text_id(F.col(self.ref)).alias("_r"))
+    def _weights(self, rows: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        marked, texts = _keyed(rows, self.article, self.ref, texts)
+        counts = sparse.counted(text.term_lists(texts, "_id", "_text", **self.options), "_id")
+        return marked, sparse.tfidf(counts, "_id", *sparse.vocabulary_of(self.idf))
 
-    def similarities(self, rows: DataFrame) -> DataFrame:
+    def similarities(self, rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         """The rows with ``tfidf_similarity``."""
-        weights, marked = self._weights(rows)
-        return _with_cosine(marked, weights).drop("_a", "_r")
+        marked, weights = self._weights(rows, texts)
+        return sparse.multiplied(marked, written(weights, "weights"), "_id", "_a", "_r", "tfidf_similarity").drop("_a", "_r")
 
-    def embeddings(self, rows: DataFrame, meta: Sequence[str] = META) -> DataFrame:
+    def embeddings(self, rows: DataFrame, meta: Sequence[str] = META, texts: DataFrame | None = None) -> DataFrame:
         """``meta``, ``tfidf_similarity``, then article_emb_000, ... and ref_emb_000, ... as floats."""
         if missing := [c for c in meta if c not in rows.columns]:
             raise ValueError(f"missing columns: {missing}")
-        weights, out = self._weights(rows)
-        out = _with_cosine(out, weights)
-        for side, name in (("_a", "article"), ("_r", "ref")):
-            one = weights.where(F.col("doc.side") == side).select(F.col("doc.text_id").alias(side), "term", "weight")
-            out = out.join(text.project(one, self.loadings[side], side).withColumnRenamed("embedding", f"_{name}"), side, "left")
+        marked, weights = self._weights(rows, texts)
+        weights = written(sparse.projected(weights, self.loadings), "weights")
+        marked = marked.select(*meta, *(c for c in ("_a", "_r") if c not in meta))
+        out = sparse.multiplied(marked, weights, "_id", "_a", "_r", "tfidf_similarity")
+        for side, name in (("_a", "_article"), ("_r", "_ref")):
+            out = out.join(weights.select(F.col("_id").alias(side), F.col(side).alias(name)), side, "left")
         parts = [F.coalesce(F.get(f"_{name}", F.lit(i)), F.lit(0.0)).cast("float").alias(f"{name}_emb_{i:03d}") for name in ("article", "ref") for i in range(self.k)]
         return out.select(*meta, "tfidf_similarity", *parts)
 
 
-def _terms(rows: DataFrame, article: str, ref: str, options: dict) -> tuple[DataFrame, DataFrame]:
-    """(doc, term) of the distinct texts of each side, and those texts; doc is (side, text_id, n pairs)."""
-    sides = F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("text")) for s, c in (("_a", article), ("_r", ref)))))
-    texts = rows.select(sides).groupBy("side", _text_id(F.col("text")).alias("text_id")).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    texts = written(texts.select(F.struct("side", "text_id", "n").alias("doc"), "text"), "texts")
-    return text.tokens(texts, "doc", "text", **options), texts
-
-
-def _with_cosine(marked: DataFrame, weights: DataFrame) -> DataFrame:
-    a, r = (weights.where(F.col("doc.side") == s).select(F.concat(F.lit(s), F.col("doc.text_id")).alias("_id"), "term", "weight") for s in ("_a", "_r"))
-    keys = marked.select(F.concat(F.lit("_a"), "_a").alias("_x"), F.concat(F.lit("_r"), "_r").alias("_y"))
-    found = text.pair_cosine(keys, a.unionByName(r), "_id", "_x", "_y")
-    found = found.select(F.substring("_x", 3, 64).alias("_a"), F.substring("_y", 3, 64).alias("_r"), F.col("cosine").alias("tfidf_similarity"))
-    return marked.join(found, ["_a", "_r"])
+def _keyed(rows: DataFrame, article: str, ref: str, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the ids of their texts (_a, _r), and those texts (_id, _text), one row each."""
+    if texts is not None:
+        key, value = texts.columns
+        return rows.withColumns({"_a": F.col("article_id"), "_r": F.col("ref_id")}), texts.select(F.col(key).alias("_id"), F.col(value).alias("_text"))
+    marked = rows.withColumns({"_a": _text_id(F.col(article)), "_r": _text_id(F.col(ref))})
+    both = F.inline(F.array(*(F.struct(F.col(i).alias("_id"), F.coalesce(F.col(c), F.lit("")).alias("_text")) for i, c in (("_a", article), ("_r", ref)))))
+    return marked, marked.select(both).groupBy("_id").agg(F.any_value("_text").alias("_text"))
 
 
-def fit(train: DataFrame, k: int | None = 128, size: int = 10000, article: str = "vector_text_article", ref: str = "vector_text_ref", **options) -> PairTexts:
+def fit(train: DataFrame, k: int | None = 128, size: int = 10000, article: str = "vector_text_article", ref: str = "vector_text_ref", texts: DataFrame | None = None, **options) -> PairTexts:
     """Fit on the train rows; ``k`` components for each side (None: no reducers, similarities only).
 
-    ``options`` are those of ``text.tokens``. Both sides' texts fit the vocabulary; each side fits its own reducer.
+    ``texts``: a table of two columns, id and text (one row an id), for pairs without text columns. ``options`` are those
+    of ``text.term_lists``. Both sides' texts fit the vocabulary; each side fits its own reducer.
     """
-    terms, texts = _terms(train, article, ref, options)
-    terms = written(terms, "terms")
-    vocab = written(terms.groupBy("term").agg(F.sum("doc.n").alias("n")).orderBy(F.col("n").desc(), "term").limit(size), "vocabulary")
-    n_texts = texts.agg(F.coalesce(F.sum("doc.n"), F.lit(0))).first()[0]
-    df = terms.join(vocab.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.sum("doc.n").alias("df"))
-    idf = written(df.select("term", (F.log((F.lit(1.0) + n_texts) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    marked, found = _keyed(train, article, ref, texts)
+    sides = F.inline(F.array(*(F.struct(F.col(c).alias("_id"), F.lit(int(c == "_a")).alias("a"), F.lit(int(c == "_r")).alias("r")) for c in ("_a", "_r"))))
+    uses = marked.select(sides).groupBy("_id").agg(F.sum("a").alias("_a"), F.sum("r").alias("_r"))
+    uses = written(uses.withColumn("_n", F.col("_a") + F.col("_r")), "uses")
+    counts = sparse.counted(text.term_lists(found, "_id", "_text", **options), "_id")
+    n_texts = uses.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    idf = written(text.term_statistics(counts.join(uses, "_id"), size, n_texts, "_n"), "idf")
     loadings = {}
     if k is not None:
-        weights = written(text.tfidf(terms, idf, "doc").withColumn("weight", F.col("weight") * F.sqrt("doc.n")), "weights")
-        loadings = {s: written(text.fit_svd(weights.where(F.col("doc.side") == s), vocab, "doc", k), "loadings") for s in ("_a", "_r")}
+        terms, values = sparse.vocabulary_of(idf)
+        weights = written(sparse.tfidf(counts, "_id", terms, values).join(uses, "_id"), "weights")
+        for side in ("_a", "_r"):
+            own = F.transform("weights", lambda w: w * F.sqrt(F.col(side)))  # noqa: B023
+            rows = weights.where(F.col(side) > 0).select("_id", "terms", own.alias("weights"))
+            loadings[side] = written(text.loadings(rows, terms, k), "loadings")
     return PairTexts(idf, loadings, k or 0, article, ref, options)

@@ -219,7 +219,7 @@ def _products(a_terms: pa.Array, a: pa.Array, b_terms: pa.Array, b: pa.Array) ->
     return np.bincount(rows[0], np.where(right[at] == left, values[0] * theirs[at], 0.0), minlength=n)
 
 
-def _multiplied(pairs: DataFrame, rows: DataFrame, key: str, left: str, right: str, name: str, keep: bool) -> DataFrame:
+def multiplied(pairs: DataFrame, rows: DataFrame, key: str, left: str, right: str, name: str, keep: bool = False) -> DataFrame:
     """The pairs with the product of their ``packed`` rows as ``name``; with ``keep`` both rows' arrays stay (_ta, _wa, _tb, _wb)."""
     sides = [rows.select(F.col(key).alias(c), F.col("terms").alias(f"_t{s}"), F.col("weights").alias(f"_w{s}")) for c, s in ((left, "a"), (right, "b"))]
     both = pairs.join(sides[0], left, "left").join(sides[1], right, "left")
@@ -241,7 +241,7 @@ def _multiplied(pairs: DataFrame, rows: DataFrame, key: str, left: str, right: s
 
 def pair_products(pairs: DataFrame, rows: DataFrame, key: str, left: str, right: str, name: str = "cosine") -> DataFrame:
     """Distinct pairs (left, right) with the product of their ``packed`` rows; 0 if either has none."""
-    return _multiplied(pairs.select(left, right).distinct(), rows, key, left, right, name, False)
+    return multiplied(pairs.select(left, right).distinct(), rows, key, left, right, name)
 
 
 def pair_matrix(pairs: DataFrame, weights: DataFrame, vocab: DataFrame, key: str, left: str, right: str, numeric: Sequence[str] = ()) -> DataFrame:
@@ -256,7 +256,7 @@ def matrix_of(pairs: DataFrame, rows: DataFrame, n: int, key: str, left: str, ri
 
     ``rows`` are packed by index; each side is joined once, for the product and for the cells."""
     m = len(numeric)
-    out = _multiplied(pairs, rows, key, left, right, "cosine", True)
+    out = multiplied(pairs, rows, key, left, right, "cosine", True)
     cells = [F.array(F.struct(F.lit(i).alias("i"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v"))) for i, c in enumerate(numeric)]
 
     def placed(name: str, first: int):

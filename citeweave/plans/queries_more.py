@@ -164,15 +164,14 @@ def p29_feature_family(t: Inputs) -> DataFrame:
     return t.table("part").select("p_partkey", C.feature_family(names).alias("family"))
 
 
-def _split_pairs(t: Inputs) -> DataFrame:
+def _split_pairs(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The pairs' keys with their split, and the texts they name."""
     from citeweave.operators.pairs import positive_keys
 
     keys = positive_keys(t.refs, t.papers).select(F.substring("article_id", 2, 20).cast("long").alias("article_id"), F.substring("ref_id", 2, 20).cast("long").alias("ref_id"))
-    docs = t.table("documents")
-    for side in ("article", "ref"):
-        keys = keys.join(docs.select(F.col("doc_id").alias(f"{side}_id"), F.col("text").alias(f"vector_text_{side}")), f"{side}_id")
     pairs = sampling.random_split(keys.withColumn("is_reference_valid", F.lit(1)), 5, "article_id")
-    return written(pair_texts.deduplicated(pairs), "pairs")
+    texts = written(pair_texts.least_texts(t.table("documents").select("doc_id", "text"), "doc_id", "text"), "texts")
+    return written(pair_texts.deduplicated(pairs), "pairs"), texts
 
 
 @query("""WITH p AS (SELECT DISTINCT CAST(substr(article_id, 2) AS BIGINT) AS a, CAST(substr(ref_id, 2) AS BIGINT) AS b FROM fx_pairs),
@@ -186,15 +185,15 @@ weights AS (SELECT doc_id, term, w / l AS weight FROM raw JOIN len USING (doc_id
 c AS (SELECT a, b, sum(x.weight * y.weight) AS c FROM s JOIN weights x ON x.doc_id = a JOIN weights y ON y.doc_id = b AND x.term = y.term GROUP BY 1, 2)
 SELECT s.split, s.a AS article_id, s.b AS ref_id, round(coalesce(c, 0), 6) AS tfidf_similarity FROM s LEFT JOIN c ON s.a = c.a AND s.b = c.b""")
 def t10_split_similarity(t: Inputs) -> DataFrame:
-    pairs = _split_pairs(t)
-    fitted = pair_texts.fit(pairs.where("split = 'train'"), None, 2000)
-    return fitted.similarities(pairs).select("split", "article_id", "ref_id", F.round("tfidf_similarity", 6).alias("tfidf_similarity"))
+    pairs, texts = _split_pairs(t)
+    fitted = pair_texts.fit(pairs.where("split = 'train'"), None, 2000, texts=texts)
+    return fitted.similarities(pairs, texts).select("split", "article_id", "ref_id", F.round("tfidf_similarity", 6).alias("tfidf_similarity"))
 
 
 @query()
 def t10_split_embeddings(t: Inputs) -> DataFrame:
-    pairs = _split_pairs(t)
-    return pair_texts.fit(pairs.where("split = 'train'"), 64, 2000).embeddings(pairs)
+    pairs, texts = _split_pairs(t)
+    return pair_texts.fit(pairs.where("split = 'train'"), 64, 2000, texts=texts).embeddings(pairs, texts=texts)
 
 
 @query("SELECT CAST(doc_id % 4 AS INTEGER) AS part, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, CASE WHEN doc_id % 4 < 2 THEN 'kept' ELSE 'written' END AS state FROM documents GROUP BY doc_id % 4")

@@ -9,6 +9,7 @@ from math import log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citeweave.operators import cleaning, models, pair_texts, text
 
@@ -59,6 +60,20 @@ def test_pair_texts_match_numpy(spark):
     assert fitted.similarities(unique.limit(0)).count() == 0
 
 
+def test_pairs_name_their_texts(spark):
+    """Texts in a table of their own give what texts on each pair give, and no pair carries a text."""
+    rng = np.random.default_rng(4)
+    texts = spark.createDataFrame([(i, " ".join(f"word{j}" for j in rng.choice(12, 9)) if i else None) for i in range(9)], "id long, text string")
+    keys = spark.createDataFrame([("train" if i < 25 else "test", i % 9, i * 5 % 7, 1) for i in range(35)], "split string, article_id long, ref_id long, is_reference_valid int").distinct()
+    whole = keys
+    for side in ("article", "ref"):
+        whole = whole.join(texts.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"vector_text_{side}")), f"{side}_id")
+    order = ["split", "article_id", "ref_id"]
+    one = pair_texts.fit(whole.where("split = 'train'"), 3, 100).embeddings(whole).orderBy(*order).collect()
+    two = pair_texts.fit(keys.where("split = 'train'"), 3, 100, texts=texts).embeddings(keys, texts=texts).orderBy(*order).collect()
+    assert [r[:4] for r in one] == [r[:4] for r in two] and np.allclose([r[4:] for r in one], [r[4:] for r in two], atol=1e-5)
+
+
 def test_stop_words_by_language(spark):
     rows = spark.createDataFrame([(1, "the cat and its hat")], "id int, text string")
     assert sorted(r.term for r in text.tokens(rows, "id", "text", stop_words="english").collect()) == ["cat", "hat"]
