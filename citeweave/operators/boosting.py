@@ -1,6 +1,7 @@
 """Gradient boosting on histograms, grown leaf by leaf: the split of the largest gain first.
 
-Features are cut into bins once, by quantiles of a keyed sample of at most ``edge_rows`` rows; all rows are trained on, as
+Features are cut into bins once, by exact quantiles of all rows (of a keyed sample, if ``edge_rows`` is given), which takes a
+few passes for all features together; all rows are trained on, as
 one byte a feature beside label and log-odds. A pass over the rows sums gradients and Hessians by (node, feature, bin);
 sums are whole numbers (units of 2^-28), so the trees are the same however rows are partitioned. Of two children only
 the smaller one is summed, its sibling is the parent less that.
@@ -81,12 +82,12 @@ def best_split(sums: np.ndarray, least_rows: int, penalty: float) -> tuple[float
 
 
 class LeafwiseBoosting(Classifier):
-    def __init__(self, name: str, features: Sequence[str], label: str = "is_reference_valid", key: str | None = None, rounds: int = 100, leaves: int = 31, rate: float = 0.1, least_rows: int = 20, penalty: float = 0.0, bins: int = 255, edge_rows: int = 100_000, seed: object = 42) -> None:
+    def __init__(self, name: str, features: Sequence[str], label: str = "is_reference_valid", key: str | None = None, rounds: int = 100, leaves: int = 31, rate: float = 0.1, least_rows: int = 20, penalty: float = 0.0, bins: int = 255, edge_rows: int | None = None, seed: object = 42) -> None:
         super().__init__(name, features, label, rounds=rounds, leaves=leaves, rate=rate, least_rows=least_rows, penalty=penalty, bins=bins)
         if not 2 <= bins <= 256:
             raise ValueError("2 to 256 bins, as a bin is a byte")
-        if edge_rows > 100_000:
-            raise ValueError("bin edges come from 100,000 rows at most")
+        if edge_rows is not None and edge_rows > 100_000:
+            raise ValueError("a sample for bin edges has 100,000 rows at most; None takes all rows")
         self.key, self.edge_rows, self.seed = key, edge_rows, seed
         self.start, self.trees = 0.0, []
 
@@ -94,7 +95,7 @@ class LeafwiseBoosting(Classifier):
         return rows.withColumns({f: C.finite(F.col(f).cast("double")) for f in self.features})
 
     def edges(self, rows: DataFrame) -> list[np.ndarray]:
-        """Ascending bin edges of each feature: distinct quantiles of the sample."""
+        """Ascending bin edges of each feature: distinct quantiles of all rows (or of the sample)."""
         bins = self.params["bins"]
         found = profiling.quantiles(sampling.bounded_sample(rows, self.edge_rows, self.seed, self.key or self.features[0]), self.features, [i / bins for i in range(1, bins)])
         return [np.unique(np.array(found[f] or [], float)) for f in self.features]

@@ -174,6 +174,40 @@ def test_quantiles_beyond_what_is_gathered_at_once(spark):
         assert got["c"] is None and np.allclose(got["a"], np.quantile(a, shares)) and np.allclose(got["b"], np.quantile(np.r_[b, 1.0], shares))
 
 
+def test_quantiles_of_many_columns_take_few_passes(spark, monkeypatch):
+    """All columns and shares are sought together, also with infinities, NaN (the greatest) and both zeros."""
+    import numpy as np
+
+    from citeweave.operators import profiling
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 6)) * 10.0 ** np.arange(-3, 3)
+    x[:50, 1], x[50:90, 1], x[:30, 2], x[:900, 3], x[900:1500, 3] = np.inf, -np.inf, np.nan, 0.0, -0.0
+    names = [f"c{i}" for i in range(6)]
+    rows = spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names))
+    calls, real = [], profiling._parts
+    monkeypatch.setattr(profiling, "_parts", lambda *a: (calls.append(1), real(*a))[1])
+    shares = [i / 16 for i in range(17)]
+    got = profiling.quantiles(rows, names, shares, at_once=100)
+    for i, n in enumerate(names):
+        own = np.sort(x[:, i])
+        places = [s * 1999 for s in shares]
+        want = [own[int(p)] if own[int(p)] == own[min(int(p) + 1, 1999)] or p == int(p) else own[int(p)] + (p - int(p)) * (own[int(p) + 1] - own[int(p)]) for p in places]
+        assert np.allclose(got[n], want, equal_nan=True)
+    assert len(calls) <= 7
+
+
+def test_bin_edges_are_those_of_all_rows(spark):
+    import numpy as np
+
+    from citeweave.operators.boosting import LeafwiseBoosting
+
+    rows = spark.range(150_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / 7).alias("a"), (F.col("id") % 2).cast("int").alias("is_reference_valid"))
+    want = np.quantile([r.a for r in rows.select("a").collect()], [i / 16 for i in range(1, 16)])
+    model = LeafwiseBoosting("edges", ["a"], key="id", bins=16)
+    assert np.allclose(model.edges(model.preprocess(rows))[0], want, rtol=1e-12)
+
+
 def test_no_shared_folder_is_an_error_on_a_cluster():
     from types import SimpleNamespace
 
