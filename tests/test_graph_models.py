@@ -203,3 +203,25 @@ def test_queries_take_all_features(spark, data):
     assert queries["i02_permutation_importance"](spark, data).count() == 64
     assert {r.n_features for r in queries["t09_classic_matrix"](spark, data).select("n_features").distinct().collect()} == {2 * 256 + 1}
     assert [c for c in queries["t08_svd_embedding"](spark, data).columns if c.startswith("article_emb")] == [f"article_emb_{i:03d}" for i in range(64)]
+
+
+def test_neighbours_by_lists_and_by_edges(spark):
+    """Hubs are looked up by edge, other ends meet as lists; counts are those of sets either way."""
+    edges = {(i, (i * 7 + 3) % 40) for i in range(40)} | {(0, i) for i in range(1, 30)} | {(1, i) for i in range(20, 40)}
+    edges = {e for e in edges if e[0] != e[1]}
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(41)}
+    pairs = [*sorted(edges), (1, 0), (0, 1), (5, 40)]
+    frames = spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(sorted(edges), "src long, dst long")
+    for listed in (1000, 8, 0):
+        got = {(r.u, r.v): (r.common_neighbors, r.jaccard_coeff) for r in graph.neighbourhoods(*frames, listed=listed).collect()}
+        assert len(got) == len(set(pairs))
+        for (u, v), (c, j) in got.items():
+            assert c == len(near[u] & near[v]) and abs(j - c / len(near[u] | near[v])) < 1e-12
+
+
+def test_ranks_and_katz_in_one_iteration(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LISTED", 3)
+    e = spark.createDataFrame(sorted({(i, (i * 7 + j) % 20) for i in range(20) for j in range(i % 6)}), "src long, dst long")
+    v = spark.range(21).toDF("id")
+    got = graph.rank_and_katz(v, e, 4).join(graph.pagerank(v, e, max_iter=4, tol=None).withColumnRenamed("rank", "r"), "id").join(graph.katz(v, e, max_iter=4, tol=None).withColumnRenamed("katz", "k"), "id")
+    assert got.count() == 21 and got.where("abs(rank - r) > 1e-12 or abs(katz - k) > 1e-12").isEmpty()
