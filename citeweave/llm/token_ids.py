@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import fresh_path, pieces, small_batches
+from citeweave.llm.common import fresh_path, pieces, small_batches, written
 
 END_ID = 2
 #: Parquet options of the files.
@@ -45,7 +45,7 @@ LAYOUT = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+").findall
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\u00a1-\u00ac\u00ae-\u024f]")
-_CACHE_PIECES = 350_000
+_CACHE_PIECES = 250_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -176,5 +176,6 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     write(docs, path, tokenizer, id_col, text_col, end_id)
     files = read(spark, path)
     kind = dict(files.dtypes)[id_col]
-    back = files.select(id_col, "part", "local_start", "ids").mapInArrow(checksums, f"{id_col} {kind}, part int, local_start long, n_tokens long, ids_crc32 long")
+    # written here, as it must run in small batches: 10,000 rows of ids at a time are too much for a task
+    back = written(files.select(id_col, "part", "local_start", "ids").mapInArrow(checksums, f"{id_col} {kind}, part int, local_start long, n_tokens long, ids_crc32 long"), "token-checksums")
     return back.join(places(files), "part").select(id_col, (F.col("local_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -991,3 +991,26 @@ def test_media_columns_match_plain(spark):
         crossings = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:]))
         want[i, len(data), len(png), hashlib.sha256(png).hexdigest(), f"mean={sum(p) / len(p):.4f};power={sum(x * x for x in p) / len(p):.4f};peak={max(p)};crossings={crossings}"] += 1
     assert got == want
+
+
+def test_token_files_are_read_back_in_small_batches(spark, monkeypatch):
+    """The read-back runs within ``encoded``, a thousand rows at a time, and not later with the session's batches."""
+    from citeweave.llm import token_ids
+    from citeweave.llm.queries import tokenizer_path
+
+    sizes, real = spark.sparkContext.accumulator(0), token_ids.checksums
+
+    def seen(batches):
+        for b in batches:
+            sizes.add(1)
+            yield from real(iter([b]))
+
+    monkeypatch.setattr(token_ids, "checksums", seen)
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = token_ids.encoded(docs, tokenizer_path())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes.value >= 3 and out.count() == 2500
