@@ -229,3 +229,14 @@ def test_library_works_without_the_optional_part(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, check=True)
+
+
+def test_lines_of_a_task_are_bounded(spark, data, monkeypatch):
+    """What follows the join by paper works on some LINES lines a task, whatever adaptive execution would put together."""
+    from citeweave.plans import fixtures
+
+    before = fixtures.Inputs(spark, data).authorship
+    monkeypatch.setattr(fixtures, "LINES", 500, raising=False)
+    rows = fixtures.Inputs(spark, data).authorship
+    most = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 1000 and rows.exceptAll(before).count() == 0 == before.exceptAll(rows).count()
