@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import pieces, written
@@ -275,8 +275,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     firsts = written(firsts.select(F.monotonically_increasing_id().alias("rid"), "digest", "first.*"), "first-copies")
 
     each = firsts.select("rid", "id", F.explode("signs").alias("sign"))
-    shared = each.groupBy("sign").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    own = each.join(shared, "sign").groupBy("rid").agg(F.collect_list(F.when(F.col("id") > F.col("least"), F.col("sign"))).alias("later"), F.collect_list(F.when(F.col("id") < F.col("most"), F.col("sign"))).alias("earlier"))
+    # a window, not a grouping and a join: signs are most of what is shuffled, and so go once
+    alike = Window.partitionBy("sign")
+    shared = each.select("rid", "id", "sign", F.min("id").over(alike).alias("least"), F.max("id").over(alike).alias("most")).where("least < most")
+    own = shared.groupBy("rid").agg(F.collect_list(F.when(F.col("id") > F.col("least"), F.col("sign"))).alias("later"), F.collect_list(F.when(F.col("id") < F.col("most"), F.col("sign"))).alias("earlier"))
     own = own.join(firsts.select("rid", "id", "key"), "rid")
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     texts = written(read.join(own, ["id", "key"]).select("id", "rid", "text", "later", "earlier"), "shared-texts", compression="zstd")

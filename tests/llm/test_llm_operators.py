@@ -1014,3 +1014,20 @@ def test_token_files_are_read_back_in_small_batches(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sizes.value >= 3 and out.count() == 2500
+
+
+def test_substring_signs_are_shuffled_once(spark, monkeypatch):
+    """Signs are the bulk of what is shuffled: they are unnested, and dealt by sign, once."""
+    from citeweave.llm import substrings
+
+    plans, write = {}, substrings.written
+
+    def watched(df, label, **options):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label, **options)
+
+    monkeypatch.setattr(substrings, "written", watched)
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a b {passage} c"), (2, f"{passage} d e"), (3, "x y"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.report(docs).collect()}
+    assert got == {1: 0, 2: 60, 3: 0, 4: 0} and plans["shared-texts"].count("explode(signs") == 1
