@@ -4,8 +4,11 @@ Up to DIRECT queries (counted first) go to every task, and one pass over the row
 are joined by pivots: rows are dealt to the cell of their nearest pivot (a keyed sample), and each cell tells its
 least and greatest distance to the pivot and its k + 1 least ones. By the triangle inequality those bound a query's k-th
 distance from above and its distance to every row of a cell from below, so a query is sent only to cells that may hold
-one of its neighbours. Small cells beside each other share a tile; large ones, and many queries, are cut into tiles by
-counted sizes, so a cell that holds most rows is many tasks; a task holds one tile of rows while that tile's queries stream past. Both ways give the same rows.
+one of its neighbours. Small cells beside each other share a tile, and tiles beside each other a block. Rows and queries
+travel by block (BLOCK rows, or a part in PARTS of fewer), and inside a block a query meets only the tiles it must: where
+the bounds prune nothing, each row still travels about PARTS times until PARTS blocks are full. Larger cells, and many
+queries, are cut by counted sizes, so a cell that holds most rows is many tasks; a task holds one block of rows while its
+queries stream past. Both ways give the same rows.
 
 Cosines are searched as distances of unit vectors; a zero vector has cosine 0 to all. Scores are rounded to 9 digits, ties
 go by key. Rows without key or vector don't take part. On the driver: DIRECT queries at most, or the pivots and their cells'
@@ -27,6 +30,8 @@ from citeweave.operators import sampling
 from citeweave.session import written
 
 DIRECT, MAX_PIVOTS, TILE = 20_000, 1024, 4096
+#: Rows that a task holds at most, and into how many parts fewer rows are cut.
+BLOCK, PARTS = 1 << 16, 12
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -149,12 +154,13 @@ def _distances(x: np.ndarray, pivots: np.ndarray, power: float | None) -> np.nda
     return out
 
 
-def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, power: float | None, exclude_self: bool, keep: Sequence[str], tile: int = TILE, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, power: float | None, exclude_self: bool, keep: Sequence[str], tile: int = TILE, max_pivots: int = MAX_PIVOTS, block: int | None = None) -> DataFrame:
     spark = base.sparkSession
     schema = _schema(base, key, keep)
     n = base.count()
     if n == 0:
         return spark.createDataFrame([], schema)
+    block = block or max(tile, min(BLOCK, -(-n // PARTS)))
     # a zero vector has no direction: its cell, the last one, is at cosine 0 of all
     wanted = max(1, min(max_pivots, math.isqrt(n) // 2))
     sample = sampling.bounded_sample(base.select(key, vector), wanted, 42, key).toArrow().combine_chunks()
@@ -192,8 +198,16 @@ def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
         held += number[before]
         new = held + number[c] > tile
         group[c], held = group[before] + new, 0 if new else held
-    member = np.zeros((zero_cell + 1, int(group.max()) + 1), bool)
+    n_groups = int(group.max()) + 1
+    member = np.zeros((zero_cell + 1, n_groups), bool)
     member[np.arange(zero_cell + 1), group] = True
+    in_group = np.bincount(group, weights=number, minlength=n_groups).astype(np.int64)
+    blocks, held = np.zeros(n_groups, np.int64), 0
+    for g in range(1, n_groups):
+        held += in_group[g - 1]
+        new = held + in_group[g] > block
+        blocks[g], held = blocks[g - 1] + new, 0 if new else held
+    in_block = np.bincount(blocks, weights=in_group).astype(np.int64)
 
     def reach(x: np.ndarray) -> np.ndarray:
         """Rows x cells: whether a cell may hold one of a query's neighbours."""
@@ -226,26 +240,30 @@ def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                rows, to = np.nonzero(reach(_unit(_vectors(part.column(1)), power)) @ member)
-                taken = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), part.column(0).take(taken), part.column(1).take(taken)], ["_group", "_key", "_vector"])
+                groups = reach(_unit(_vectors(part.column(1)), power)) @ member
+                to = pa.array([np.unique(blocks[g]).astype(np.int32) for g in groups], pa.list_(pa.int32()))
+                bits = pa.array([b.tobytes() for b in np.packbits(groups, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([to, bits, part.column(0), part.column(1)], ["_blocks", "_reach", "_key", "_vector"])
 
     asked = queries.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
-    asked = written(asked.mapInArrow(sent, T.StructType([T.StructField("_group", T.IntegerType()), *asked.schema.fields])), "sent-queries")
-    counts = {r["_group"]: r["n"] for r in asked.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a group
+    asked = written(asked.mapInArrow(sent, T.StructType([T.StructField("_blocks", T.ArrayType(T.IntegerType())), T.StructField("_reach", T.BinaryType()), *asked.schema.fields])), "sent-queries")
+    counts = {r["_block"]: r["n"] for r in asked.select(F.explode("_blocks").alias("_block")).groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a block
     if not counts:
         return spark.createDataFrame([], schema)
-    sizes = spark.createDataFrame([(g, -(-int(number[group == g].sum()) // tile), -(-int(q) // tile)) for g, q in counts.items()], "_group int, _tiles int, _slices int")
-    groups = spark.createDataFrame([(c, int(g)) for c, g in enumerate(group)], "_cell int, _group int")
+    sizes = spark.createDataFrame([(g, -(-int(in_block[g]) // block), -(-int(q) // block)) for g, q in counts.items()], "_block int, _tiles int, _slices int")
+    places = spark.createDataFrame([(c, int(g), int(blocks[g])) for c, g in enumerate(group)], "_cell int, _group int, _block int")
     placed = F.xxhash64(F.monotonically_increasing_id())
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    rows = cells.drop("_near").withColumn("_at", placed).join(groups, "_cell").join(sizes, "_group").withColumn("_tile", F.pmod("_at", F.col("_tiles")).cast("int")).withColumn("_slice", every("_slices"))
-    asks = asked.withColumn("_at", placed).join(sizes, "_group").withColumn("_slice", F.pmod("_at", F.col("_slices")).cast("int")).withColumn("_tile", every("_tiles"))
-    place, columns = ["_group", "_tile", "_slice"], ["_key", "_vector", *(f"_k{i}" for i in range(len(keep)))]
-    both = rows.withColumn("_asks", F.lit(False)).select(*place, "_asks", *columns).unionByName(asks.withColumn("_asks", F.lit(True)).select(*place, "_asks", "_key", "_vector"), allowMissingColumns=True)
+    rows = cells.drop("_near").withColumn("_at", placed).join(places, "_cell").join(sizes, "_block").withColumn("_tile", F.pmod("_at", F.col("_tiles")).cast("int")).withColumn("_slice", every("_slices"))
+    asks = asked.withColumn("_at", placed).withColumn("_block", F.explode("_blocks")).join(sizes, "_block").withColumn("_slice", F.pmod("_at", F.col("_slices")).cast("int")).withColumn("_tile", every("_tiles"))
+    place, columns = ["_block", "_tile", "_slice"], ["_key", "_vector", *(f"_k{i}" for i in range(len(keep)))]
+    # a task's rows come before its queries, in order of their groups
+    rows = rows.select(*place, F.lit(False).alias("_asks"), "_group", F.lit(None).cast("binary").alias("_reach"), *columns)
+    asks = asks.select(*place, F.lit(True).alias("_asks"), F.lit(-1).alias("_group"), "_reach", "_key", "_vector")
+    both = rows.unionByName(asks, allowMissingColumns=True)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
@@ -263,12 +281,27 @@ def _by_pivots(queries: DataFrame, base: DataFrame, key: str, vector: str, k: in
                     continue
                 if ready is None:
                     table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    ready = table, _vectors(table.column(5))
-                table, x = ready
-                q_codes, codes = _codes(part.column(4), table.column(4))
-                yield _found(part.column(4), table.column(4), table.columns[6:], keep, _nearest(q_codes, _vectors(part.column(5)), codes, x, k, power, exclude_self))
-
-    return both.repartition(*place).sortWithinPartitions(*place, "_asks").mapInArrow(compared, schema)
+                    own_groups = table.column(4).to_numpy()
+                    firsts = np.flatnonzero(np.r_[True, own_groups[1:] != own_groups[:-1]])
+                    ready = table, _vectors(table.column(7)), list(zip(own_groups[firsts], firsts, np.r_[firsts[1:], len(own_groups)]))
+                table, x, ranges = ready
+                q_codes, codes = _codes(part.column(6), table.column(6))
+                q = _vectors(part.column(7))
+                reached = np.unpackbits(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+                picked = []
+                for g, low_, high_ in ranges:
+                    to = np.flatnonzero(reached[:, g])
+                    if len(to):
+                        query, row, score = _nearest(q_codes[to], q[to], codes[low_:high_], x[low_:high_], k, power, exclude_self)
+                        picked.append((to[query], row + low_, score))
+                if picked:
+                    query, row, score = (np.concatenate(c) for c in zip(*picked))
+                    order = np.lexsort((codes[row], -score, query))
+                    query, row, score = query[order], row[order], score[order]
+                    best = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+                    yield _found(part.column(6), table.column(6), table.columns[8:], keep, (query[best], row[best], score[best]))
+
+    return both.repartition(*place).sortWithinPartitions(*place, "_asks", "_group").mapInArrow(compared, schema)
 
 
 def _best(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, power: float | None, exclude_self: bool, keep: Sequence[str], direct: int) -> DataFrame:

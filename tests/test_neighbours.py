@@ -66,3 +66,16 @@ def test_strings_empty_and_small_tables(spark):
         assert sorted((r.query, r["rank"], r.neighbour, r.cosine) for r in near.collect()) == [("a", 1, "b", 1.0), ("a", 2, "c", 0.0), ("b", 1, "a", 1.0), ("b", 2, "c", 0.0), ("c", 1, "a", 0.0), ("c", 2, "b", 0.0)]
         for q, b in ((rows.limit(0), rows), (rows, rows.limit(0)), (rows.limit(0), rows.limit(0))):
             assert neighbours.best_by_cosine(q, b, "id", "v", 2, direct=direct).count() == 0
+
+
+def test_a_query_is_written_once_and_travels_by_block(spark):
+    """Without clusters a query must meet nearly all tiles; it is written once, and each block gets it once."""
+    rows = spark.range(600).select(F.col("id"), F.array(*(F.rand(i) for i in range(8))).alias("v")).cache()
+    seen, real = [], neighbours.written
+    try:
+        neighbours.written = lambda df, label: (seen.append((label, out := real(df, label))), out)[1]
+        found = neighbours._by_pivots(rows, rows, "id", "v", 3, None, True, [], tile=16).collect()
+    finally:
+        neighbours.written = real
+    asked = dict(seen)["sent-queries"]
+    assert asked.count() == 600 and asked.agg(F.max(F.size("_blocks"))).first()[0] <= 24 and len(found) <= 600 * 3 * 24
