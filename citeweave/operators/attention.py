@@ -71,16 +71,17 @@ class _Pass:
         slope = 0.5 * (1 + t) + 0.5 * x * (1 - t**2) * 0.7978845608 * (1 + 3 * 0.044715 * x**2)
         return 0.5 * x * (1 + t), lambda d: d * slope
 
-    def attend(self, x: np.ndarray, i: int):
-        n, t, w = x.shape
+    def attend(self, x: np.ndarray, i: int, asked: int):
+        """Attention of the first ``asked`` tokens to all."""
+        n, _, w = x.shape
 
         def split(a):
-            return a.reshape(n, t, self.heads, -1).transpose(0, 2, 1, 3)
+            return a.reshape(n, a.shape[1], self.heads, -1).transpose(0, 2, 1, 3)
 
         def joined(a):
-            return a.transpose(0, 2, 1, 3).reshape(n, t, w)
+            return a.transpose(0, 2, 1, 3).reshape(n, -1, w)
 
-        (q, q_back), (k, k_back), (v, v_back) = (self.dense(x, f"{i}.{name}") for name in ("query", "key", "value"))
+        (q, q_back), (k, k_back), (v, v_back) = (self.dense(x[:, :asked] if name == "query" else x, f"{i}.{name}") for name in ("query", "key", "value"))
         q, k, v, scale = split(q), split(k), split(v), 1 / np.sqrt(w // self.heads)
         s = q @ k.transpose(0, 1, 3, 2) * scale
         a = np.exp(s - s.max(-1, keepdims=True))
@@ -91,7 +92,9 @@ class _Pass:
             d = split(out_back(d))
             da = d @ v.transpose(0, 1, 3, 2)
             ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-            return q_back(joined(ds @ k)) + k_back(joined(ds.transpose(0, 1, 3, 2) @ q)) + v_back(joined(a.transpose(0, 1, 3, 2) @ d))
+            dx = k_back(joined(ds.transpose(0, 1, 3, 2) @ q)) + v_back(joined(a.transpose(0, 1, 3, 2) @ d))
+            dx[:, :asked] += q_back(joined(ds @ k))
+            return dx
 
         return y, back
 
@@ -100,9 +103,11 @@ class _Pass:
         tokens = np.einsum("nti,tid->ntd", x, np.broadcast_to(self.p["in"], (x.shape[1], *self.p["in"].shape[1:]))) + self.p["type"]
         h = np.concatenate([np.broadcast_to(self.p["class"], (len(x), 1, tokens.shape[2])), tokens], 1)
         steps = []
-        for i in range(sum(k.endswith(".up") for k in self.p)):
-            y, attend_back = self.attend(h, i)
-            h, norm1_back = self.norm(h + y, f"{i}.norm1")
+        layers = sum(k.endswith(".up") for k in self.p)
+        for i in range(layers):
+            asked = 1 if i == layers - 1 else h.shape[1]  # of the last layer's states only the class token's is used
+            y, attend_back = self.attend(h, i, asked)
+            h, norm1_back = self.norm(h[:, :asked] + y, f"{i}.norm1")
             u, up_back = self.dense(h, f"{i}.up")
             u, gelu_back = self.gelu(u)
             y, down_back = self.dense(u, f"{i}.down")
@@ -119,7 +124,8 @@ class _Pass:
             for attend_back, norm1_back, up_back, gelu_back, down_back, norm2_back in reversed(steps):
                 dh = norm2_back(dh)
                 dh = norm1_back(dh + up_back(gelu_back(down_back(dh))))
-                dh = dh + attend_back(dh)
+                asked, own, dh = dh.shape[1], dh, attend_back(dh)
+                dh[:, :asked] += own
             self.g["class"] += dh[:, 0].sum(0)
             self.g["type"] += dh[:, 1:].sum(0)
             each = np.einsum("nti,ntd->tid", x, dh[:, 1:])

@@ -66,3 +66,11 @@ def test_synchronous_steps_beat_a_linear_model_and_ignore_partitions(spark, tmp_
     assert all(np.array_equal(model.params[k], again.params[k]) for k in model.params) and again.step == model.step
     with pytest.raises(ValueError):
         attention.Attention("other", ["a"], width=8, heads=2).load_from(f"file://{tmp_path}/m")
+
+
+def test_the_last_layer_asks_for_the_class_token_only():
+    run = attention._Pass(attention.start(64, 1, 16, 2, 32, False, 1), 2)
+    asked, attend = [], run.attend
+    run.attend = lambda x, i, n: asked.append(n) or attend(x, i, n)
+    run.odds(np.zeros((2, 64, 1)))
+    assert asked == [65, 1]
