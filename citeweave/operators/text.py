@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import columns as C
@@ -14,29 +14,35 @@ from citeweave.session import written
 STOP_WORDS = ("english", "the")
 
 
-def term_lists(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, terms): runs of two word characters or more, lower-cased, without stop words; n-grams of what is left.
-
-    ``stop_words`` are words, or the name of a language whose list MLlib has ("english").
-    """
+def _listed(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str, n_grams: tuple[int, int]) -> DataFrame:
+    """(key, terms) of ``term_lists``, also for texts without a word."""
     if isinstance(stop_words, str):
         from pyspark.ml.feature import StopWordsRemover
 
         stop_words = StopWordsRemover.loadDefaultStopWords(stop_words)
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})")), lambda w: ~w.isin(*stop_words))
 
-    def runs(n: int):
-        starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i > 0) & (i + n - 1 <= F.size("_w")))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
+    def runs(w: Column, n: int) -> Column:
+        starts = F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.array_join(F.slice(w, i + 1, n), " "))
+
+    # the words are a lambda's variable: as a column, a filter pushed below would split the text anew for each run
+    terms = words if n_grams == (1, 1) else F.get(F.transform(F.array(words), lambda w: F.concat(*(runs(w, n) for n in range(n_grams[0], n_grams[1] + 1)))), F.lit(0))
+    return rows.select(key, words.alias("_w"), terms.alias("terms"))
 
-    listed = rows.select(key, words.alias("_w")).where(F.size("_w") > 0)
-    terms = F.col("_w") if n_grams == (1, 1) else F.concat(*(runs(n) for n in range(n_grams[0], n_grams[1] + 1)))
-    return listed.select(key, terms.alias("terms"))
+
+def term_lists(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, terms): runs of two word characters or more, lower-cased, without stop words; n-grams of what is left.
+
+    ``stop_words`` are words, or the name of a language whose list MLlib has ("english").
+    """
+    return _listed(rows, key, text, stop_words, n_grams).where(F.size("_w") > 0).select(key, "terms")
 
 
 def tokens(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:
     """(key, term): a row for each of the ``term_lists``' terms."""
-    return term_lists(rows, key, text, stop_words, n_grams).select(key, F.explode("terms").alias("term"))
+    # an outer explode, as a plain one adds a filter that makes the lists once more
+    return _listed(rows, key, text, stop_words, n_grams).select(key, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
 
 
 def counted(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] | str = STOP_WORDS, n_grams: tuple[int, int] = (1, 1)) -> DataFrame:

@@ -1,5 +1,7 @@
 """Graph metrics against plain NumPy, encoders, models, metrics on small inputs."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,17 @@ def test_tokens_keep_accents(spark):
     assert sorted(r.term for r in text.tokens(rows, "id", "t", n_grams=(1, 2)).collect()) == sorted(["of_2", "of_2 état", "étude", "étude of_2", "état"])
 
 
+def test_n_grams_split_a_text_once(spark):
+    words = [f"w{i % 701}" for i in range(20_000)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, "one"), (3, "one two"), (4, None), (5, "")], "id int, t string")
+    pairs = text.tokens(rows, "id", "t", n_grams=(2, 2))
+    plan = pairs._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("regexp_extract_all") == 1
+    assert Counter((r.id, r.term) for r in pairs.collect()) == Counter([(3, "one two"), *((1, f"{a} {b}") for a, b in zip(words, words[1:]))])
+    lists = {r.id: r.terms for r in text.term_lists(rows.where("id > 1"), "id", "t", n_grams=(2, 3)).collect()}
+    assert lists == {2: [], 3: ["one two"]}
+
+
 def test_svd_spans_numpy_subspace(spark):
     rng = np.random.default_rng(0)
     m = np.abs(rng.normal(size=(30, 8)))
